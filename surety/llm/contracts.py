@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from surety.llm import token_files
+from surety.llm import merge_automaton, packing, token_files
 
 
 def tokenizer_path(name: str) -> str:
@@ -22,5 +22,13 @@ def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_file_digest(spark, folder)
 
 
-QUERIES = {"op1_token_files": op1_token_files}
+def op6_merge_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merge_automaton.coding_digest(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
+
+
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), end_id=1)
+
+
+QUERIES = {"op1_token_files": op1_token_files, "op6_merge_automaton": op6_merge_automaton, "op7_packing": op7_packing}
 SQL: dict[str, str] = {}
