@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from surety.llm import merge_automaton, packing, token_files
+from surety.llm import cover_tree, merge_automaton, merkle, ngram_join, packing, pii, token_files, url_filter
 
 
 def tokenizer_path(name: str) -> str:
@@ -22,6 +23,28 @@ def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_file_digest(spark, folder)
 
 
+#: The rules of the URL query.
+URL_RULES = (
+    url_filter.Rule("com", "/en/", "block"),
+    url_filter.Rule("example.com", "/en/7", "allow"),
+    url_filter.Rule("net", "/de/", "allow"),
+    url_filter.Rule("example.net", "/de/8", "block"),
+    url_filter.Rule("org", "/es/", "block"),
+)
+
+
+def op2_redirects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(table(spark, sf_dir, "pages"), URL_RULES)
+
+
+def op4_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.edit_digest(table(spark, sf_dir, "documents"))
+
+
+def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op6_merge_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merge_automaton.coding_digest(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 
@@ -30,5 +53,15 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), end_id=1)
 
 
-QUERIES = {"op1_token_files": op1_token_files, "op6_merge_automaton": op6_merge_automaton, "op7_packing": op7_packing}
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(table(spark, sf_dir, "documents"))
+
+
+def op10_cover_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return cover_tree.top_k(vectors, vectors.where(F.col("vec_id") % 50 == 0), k=5)
+
+
+QUERIES = {f.__name__: f for f in (op1_token_files, op2_redirects, op4_merkle, op5_ngram_join, op6_merge_automaton, op7_packing, op9_pii, op10_cover_tree)}
+
 SQL: dict[str, str] = {}
