@@ -30,14 +30,17 @@ def leaves(text: Column) -> Column:
 
     A chunk is hashed with its number in its sentence, so chunks and sentences never mix up.
     """
-    size = F.when(F.length(text) <= SHORT_CHARS, SHORT_LEAF_CHARS).otherwise(LEAF_CHARS)
 
-    def sentence(x: Column) -> Column:
-        starts = F.sequence(F.lit(0), F.floor((F.length(x) - 1) / size).cast("int"))
-        cut = F.transform(starts, lambda i: F.xxhash64(F.substr(x, i * size + 1, size), i))
-        return F.when(F.length(x) <= size, F.array(F.xxhash64(x, F.lit(0)))).otherwise(cut)
+    def cut(size: Column) -> Column:
+        def sentence(x: Column) -> Column:
+            starts = F.sequence(F.lit(0), F.floor((F.length(x) - 1) / size).cast("int"))
+            chunks = F.transform(starts, lambda i: F.xxhash64(F.substr(x, i * size + 1, size), i))
+            return F.when(F.length(x) <= size, F.array(F.xxhash64(x, F.lit(0)))).otherwise(chunks)
 
-    return F.transform(F.split(text, "\n\n", -1), lambda s: F.transform(F.split(s, "\n", -1), lambda p: F.flatten(F.transform(F.split(p, r"\.", -1), sentence))))
+        return F.transform(F.split(text, "\n\n", -1), lambda s: F.transform(F.split(s, "\n", -1), lambda p: F.flatten(F.transform(F.split(p, r"\.", -1), sentence))))
+
+    # A lambda's variable is evaluated once; the length itself would be counted anew in every sentence.
+    return F.element_at(F.transform(F.array(F.when(F.length(text) <= SHORT_CHARS, SHORT_LEAF_CHARS).otherwise(LEAF_CHARS)), cut), 1)
 
 
 def tree(leaf: Column) -> Column:
