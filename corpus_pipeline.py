@@ -1,11 +1,64 @@
-"""Corpus pipeline over ``documents`` (stages follow as their operators land)."""
+"""Corpus pipeline over ``documents``: filter, deduplicate, redact, pack.
 
-STAGES = []
+Each stage reads all its predecessor kept, and its decisions take effect: all but
+the last return the columns of ``documents``, the last one row a packed piece.
+Rows that repeat a doc_id are kept or dropped by their own text; a null doc_id is
+never a duplicate; a null text has no letter and goes at the first stage.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from surety.llm import contracts, crf_language, ngram_join, packing, pii, quality_gbt, shared
+
+#: A document whose most likely language is less likely than this is rejected.
+LEAST_LANGUAGE_SCORE = 0.5
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Reject documents without a letter or without a clear language."""
+    model = contracts.language_model(docs)
+    found = crf_language.identify(docs, model)
+    return found.where((F.col("lang_pred") != crf_language.UNKNOWN) & (F.col("score") >= LEAST_LANGUAGE_SCORE)).select(*docs.columns)
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Reject documents that the classifier predicts as label 0."""
+    model = contracts.quality_model(docs, contracts.table(spark, sf_dir, "labels"))
+    return quality_gbt.score(docs, model).where(F.col("score") >= contracts.QUALITY_THRESHOLD).select(*docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep the document with the smallest doc_id of each group."""
+    groups = shared.materialise(ngram_join.near_duplicates(docs), "groups")
+    kept = groups.where("doc_id = component_id").groupBy("doc_id").count()
+    out = docs.join(kept.where("count = 1").select("doc_id"), "doc_id", "left_semi")
+    twice = docs.join(kept.where("count > 1").select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return out.unionByName(twice).unionByName(docs.where("doc_id is null")).select(*docs.columns)
+
+
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Put a mark in place of each span of personal data; n_chars follows the text."""
+    return pii.redact(docs).withColumn("n_chars", F.char_length("text").cast("long"))
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Deal the documents' tokens to sequences."""
+    return packing.pack(docs, contracts.tokenizer_path("byte_bpe_50k.json"), end_id=1)
+
+
+STAGES = [("language", language), ("quality", quality), ("near_duplicates", near_duplicates), ("personal_data", personal_data), ("pack", pack)]
+
+#: Trained models and tokenizers stand between the rows and SQL.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    for name, stage in STAGES:
         docs = stage(spark, docs, sf_dir)
+        if stage is not STAGES[-1][1]:
+            docs = shared.materialise(docs, name)
     return docs
