@@ -11,13 +11,14 @@ The tree is distributed.  Its top level is a partition of coordinate space: at t
 finest grouping (one hash, one coordinate) a pair that reaches the threshold must
 share one of the first ``n - ceil(t n) + 1`` coordinates of both in any common
 order, so documents that share none are never together.  The order puts hashes
-that many documents hold last, which changes the work but no result.  Documents
-connected through shared coordinates form a region; each region, or for a large
-region each pair of its blocks, is bulk-loaded into an R-tree of its own and joined
-with itself.  A pair already connected is not looked at again, and a node whose
-points are all connected to the query is skipped, so a group of copies costs its
-size times the height of its tree and emits a spanning forest, never its pairs.
-Sets that are equal are one class and enter once.
+that many documents hold last, which changes the work but no result.  The points
+that share a coordinate are bulk-loaded into an R-tree and joined with themselves;
+pairs whose bound reaches the threshold connect points into regions.  The sets of
+each region, or of each pair of blocks of a large one, then meet in an R-tree of
+their own, where survivors are verified.  A pair already connected is not looked at
+again and a leaf whose points are all connected to the query is skipped, so a group
+of copies emits a spanning forest, never its pairs.  Sets that are equal are one
+class and enter once.
 
 Defined cases: null or blank text has an empty set, links with nothing and is a
 component of its own; a null doc_id keeps its row with a null component_id and
@@ -45,8 +46,14 @@ CHUNK, REPORTED = 4_000_000, 4
 COMMON, MOST_COMMON = 64, 1_000_000
 #: Shingles that one tree holds at most, about.
 TREE_SHINGLES = 2_000_000
-#: Coordinates of a point, and points in a leaf or children in a node.
+#: Coordinates of a point where sets are verified, and points in a leaf or children in a node.
 GROUPS, FANOUT = 256, 16
+#: Elsewhere a point has at least so many coordinates, and about so many shingles in each.
+LEAST_GROUPS, PER_GROUP = 64, 8
+#: Points that one tree over a shared coordinate holds; more are joined block by block.
+TREE_POINTS = 4_096
+#: Rows up to which a side with a few numbers a row is broadcast; beyond, both sides are shuffled.
+BROADCAST_ROWS = 1_000_000
 
 
 def shingles(data: np.ndarray, bounds: np.ndarray, width: int = 5) -> tuple[np.ndarray, np.ndarray]:
@@ -90,6 +97,23 @@ def fingerprint(s: np.ndarray) -> tuple[int, int]:
     return tuple(both.view(np.int64).tolist())
 
 
+def count_vector(s: np.ndarray) -> np.ndarray:
+    """Shingles in each group, a power of two of groups that follows the set's size."""
+    groups = LEAST_GROUPS
+    while groups * PER_GROUP < len(s):
+        groups *= 2
+    while True:
+        counts = np.bincount((s & np.uint64(groups - 1)).astype(np.int64), minlength=groups)
+        if counts.max() < 256:
+            return counts.astype(np.uint8)
+        groups *= 2
+
+
+def fold(point: np.ndarray, groups: int) -> np.ndarray:
+    """The same counts in fewer groups."""
+    return point.reshape(-1, groups).sum(axis=0, dtype=np.int32)
+
+
 def common_hashes(docs: DataFrame, width: int) -> np.ndarray:
     """Hashes that at least COMMON documents hold, as far as the tasks' counts show it."""
 
@@ -117,23 +141,33 @@ def common_hashes(docs: DataFrame, width: int) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, common: np.ndarray, percent: int, width: int) -> DataFrame:
-    """doc_id, n_shingles, a 128-bit fingerprint of the set, and its first coordinates."""
+    """doc_id, n_shingles, a 128-bit fingerprint of the set, its point, and its first coordinates.
+
+    A task gives point and coordinates of equal sets once; each class has them somewhere.
+    """
     last = docs.sparkSession.sparkContext.broadcast(common)
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rare_last = last.value
+        rare_last, met = last.value, set()
         for batch in batches:
-            sizes, high, low, first = [], [], [], []
-            for s in shingle_sets(batch.column(1), width):
+            sizes, high, low, first, points = [], [], [], [], []
+            named = batch.column(0).is_valid().to_pylist()
+            for s, has_id in zip(shingle_sets(batch.column(1), width), named):
                 n = len(s)
                 sizes.append(n)
                 h, l = fingerprint(s) if n else (None, None)
                 high.append(h)
                 low.append(l)
-                if n and len(rare_last):
+                if not n or not has_id or (h, l) in met:
+                    first.append(s[:0])
+                    points.append(None)
+                    continue
+                met.add((h, l))
+                points.append(count_vector(s).tobytes())
+                if len(rare_last):
                     known = rare_last[np.minimum(np.searchsorted(rare_last, s), len(rare_last) - 1)] == s
                     s = np.concatenate((s[~known], s[known]))
-                first.append(s[: n - -(-percent * n // 100) + 1] if n else s)
+                first.append(s[: n - -(-percent * n // 100) + 1])
             upto = np.concatenate(([0], np.cumsum([len(x) for x in first]))).astype(np.int32)
             values = np.concatenate(first) if first else np.zeros(0, np.uint64)
             yield pa.record_batch(
@@ -142,35 +176,110 @@ def signatures(docs: DataFrame, common: np.ndarray, percent: int, width: int) ->
                     "n_shingles": pa.array(sizes, pa.int64()),
                     "high": pa.array(high, pa.int64()),
                     "low": pa.array(low, pa.int64()),
+                    "point": pa.array(points, pa.binary()),
                     "first": pa.ListArray.from_arrays(pa.array(upto), pa.array(values.view(np.int64))),
                 }
             )
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(sign, "doc_id long, n_shingles long, high long, low long, first array<long>")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(sign, "doc_id long, n_shingles long, high long, low long, point binary, first array<long>")
 
 
 def shared_coordinates(first: DataFrame) -> DataFrame:
-    """Edges (a, b) that connect all ``node`` with a common ``coordinate``: each to the smallest."""
+    """(run, nodes): the distinct groups of ``node`` that have a ``coordinate`` in common.
+
+    A group beyond TREE_POINTS is given as all pairs of its blocks.
+    """
 
-    def star(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key = head = None
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        met: set[int] = set()
+
+        def told(k, r):
+            """Of whole runs only."""
+            keep = np.append(True, (k[1:] != k[:-1]) | (r[1:] != r[:-1]))  # a node once a coordinate
+            k, r = k[keep], r[keep]
+            at = np.flatnonzero(np.append(True, k[1:] != k[:-1]))
+            size = np.diff(np.append(at, len(k)))
+            names, lists = [], []
+            for a, n in zip(at[size > 1].tolist(), size[size > 1].tolist()):
+                run = r[a : a + n]
+                blocks = [run[i : i + TREE_POINTS // 2] for i in range(0, n, TREE_POINTS // 2)] if n > TREE_POINTS else [run]
+                for i in range(len(blocks)):
+                    for j in range(i + (len(blocks) > 1), len(blocks)):
+                        part = blocks[i] if i == j else np.concatenate((blocks[i], blocks[j]))
+                        name = int((tb.mix(part.view(np.uint64)).sum(dtype=np.uint64)).view(np.int64))
+                        if name not in met:
+                            met.add(name)
+                            names.append(name)
+                            lists.append(part)
+            if len(met) > 2_000_000:
+                met.clear()
+            values = np.concatenate(lists) if lists else np.zeros(0, np.int64)
+            upto = np.concatenate(([0], np.cumsum([len(x) for x in lists]))).astype(np.int32)
+            return pa.record_batch({"run": pa.array(names, pa.int64()), "nodes": pa.ListArray.from_arrays(pa.array(upto), pa.array(values))})
+
+        held_k, held_r = np.zeros(0, np.int64), np.zeros(0, np.int64)
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            k, r = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            opens = np.append(True, k[1:] != k[:-1])
-            at = np.flatnonzero(opens)
-            heads = r[at].copy()
-            if key is not None and k[0] == key:
-                heads[0] = head
-            lead = np.repeat(heads, np.diff(np.append(at, len(k))))
-            key, head = k[-1], heads[-1]
-            found = lead != r
-            if found.any():
-                lead, r = np.unique(np.stack((lead[found], r[found]), axis=1), axis=0).T
-                yield pa.record_batch({"a": pa.array(lead), "b": pa.array(r)})
-
-    return first.repartition("coordinate").sortWithinPartitions("coordinate", "node").mapInArrow(star, "a long, b long")
+            k = np.concatenate((held_k, batch.column(0).to_numpy()))
+            r = np.concatenate((held_r, batch.column(1).to_numpy()))
+            if len(k):
+                done = int(np.searchsorted(k, k[-1], "left"))
+                held_k, held_r = k[done:].copy(), r[done:].copy()
+                if done:
+                    yield told(k[:done], r[:done])
+        if len(held_k):
+            yield told(held_k, held_r)
+
+    runs = first.repartition("coordinate").sortWithinPartitions("coordinate", "node").mapInArrow(gather, "run long, nodes array<long>")
+    return runs.groupBy("run").agg(F.first("nodes").alias("nodes"))
+
+
+def may_link(nodes: np.ndarray, sizes: np.ndarray, points: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
+    """Forest (node, node) of the pairs whose bound on the overlap reaches the threshold."""
+    own = np.array([len(p) for p in points])
+    out = []
+    for groups in np.unique(own).tolist():
+        # Sets that can link differ in size by a quarter at most, so in groups by a factor of two (or four, where counts overflowed).
+        at = np.flatnonzero((own >= groups) & (own <= 4 * groups))
+        if len(at) < 2:
+            continue
+        at = at[np.argsort(sizes[at], kind="stable")]
+        tree = CountTree(np.stack([fold(points[i], groups) for i in at]), sizes[at])
+        group, leaf, one_group = np.arange(len(at)), np.arange(0, len(at), FANOUT), None
+        for i in np.flatnonzero(own[at] == groups).tolist():
+            if one_group is None:
+                low = np.minimum.reduceat(group, leaf)
+                one_group = np.where(low == np.maximum.reduceat(group, leaf), low, -1)
+            for j in tree.search(tree.levels[0][0][i], int(sizes[at[i]]), percent, group, int(group[i]), one_group).tolist():
+                if group[i] != group[j]:
+                    out.append((int(nodes[at[i]]), int(nodes[at[j]])))
+                    group[group == group[j]] = group[i]
+                    one_group = None
+    return out
+
+
+def region_edges(runs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """Edges (a, b) between nodes of a run whose bound reaches the threshold."""
+
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def told(nodes, sizes, points):
+            links = may_link(np.array(nodes), np.array(sizes), [np.frombuffer(p, np.uint8) for p in points], percent) if len(nodes) > 1 else []
+            return pa.record_batch({"a": pa.array([x[0] for x in links], pa.int64()), "b": pa.array([x[1] for x in links], pa.int64())})
+
+        run, nodes, sizes, points = None, [], [], []
+        for batch in batches:
+            for r, node, n, point in zip(*(batch.column(i).to_pylist() for i in range(4))):
+                if r != run and nodes:
+                    yield told(nodes, sizes, points)
+                    nodes, sizes, points = [], [], []
+                run = r
+                nodes.append(node)
+                sizes.append(n)
+                points.append(point)
+        if nodes:
+            yield told(nodes, sizes, points)
+
+    members = runs.select("run", F.explode("nodes").alias("node")).join(classes.select("node", "n", "point"), "node").select("run", "node", "n", "point")
+    return members.repartition("run").sortWithinPartitions("run", "node").mapInArrow(join, "a long, b long")
 
 
 class CountTree:
@@ -295,7 +404,8 @@ def join_regions(docs: DataFrame, cells: DataFrame, percent: int, width: int) ->
         if nodes:
             yield told(nodes, held)
 
-    texts = docs.join(cells, docs["doc_id"] == cells["rep"]).select("node", "cells", "text")
+    few = cells.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    texts = docs.join(F.broadcast(cells) if few else cells, docs["doc_id"] == cells["rep"]).select("node", "cells", "text")
     each = texts.mapInArrow(sets, "node long, cells array<long>, hashes binary").where("hashes is not null").select(F.explode("cells").alias("cell"), "node", "hashes")
     return each.repartition("cell").sortWithinPartitions("cell", "node").mapInArrow(join, "node long, root long")
 
@@ -308,18 +418,19 @@ def near_duplicates(docs: DataFrame, percent: int = 80, width: int = 5) -> DataF
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     signs = shared.materialise(signatures(docs, common_hashes(docs, width), percent, width), "signatures")
-    classes = signs.where("doc_id is not null and n_shingles > 0").groupBy("high", "low").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"))
-    classes = shared.materialise(classes.withColumnRenamed("high", "node"), "classes")
-    first = signs.join(classes.select(F.col("node").alias("high"), "low", F.col("rep").alias("doc_id")), ["doc_id", "high", "low"], "left_semi")
-    edges = shared.materialise(shared_coordinates(first.select(F.explode("first").alias("coordinate"), F.col("high").alias("node"))).distinct(), "shared")
+    linked = signs.where("doc_id is not null and n_shingles > 0").withColumnRenamed("high", "node")
+    classes = linked.groupBy("node", "low").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.max("point").alias("point"))
+    classes = shared.materialise(classes, "classes")
+    runs = shared.materialise(shared_coordinates(linked.select(F.explode("first").alias("coordinate"), "node")), "runs")
+    edges = shared.materialise(region_edges(runs, classes, percent).distinct(), "shared")
     region = connected_components(edges)
     region = region.unionByName(region.select(F.col("root").alias("node"), "root").distinct()).withColumnRenamed("root", "region")
     nodes = shared.materialise(region.join(classes, "node").select("node", "rep", "region", "n"), "nodes")
     cells, split = _cells(nodes)
-    links = shared.materialise(join_regions(docs, cells, percent, width), "links")
+    links = shared.materialise(join_regions(docs, shared.materialise(cells, "cells"), percent, width), "links")
     roots = connected_components(links.select(F.col("node").alias("a"), F.col("root").alias("b"))) if split else links
     roots = roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
-    named = roots.join(classes, "node")
+    named = roots.join(classes.drop("point"), "node")
     named = named.join(named.groupBy("root").agg(F.min("rep").alias("component")), "root").select("node", "component")
-    of = signs.select("doc_id", "n_shingles", F.col("high").alias("node"), "low").join(classes.drop("n").join(named, "node", "left"), ["node", "low"], "left")
+    of = signs.select("doc_id", "n_shingles", F.col("high").alias("node"), "low").join(classes.drop("n", "point").join(named, "node", "left"), ["node", "low"], "left")
     return of.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "rep", "doc_id")).alias("component_id"))
