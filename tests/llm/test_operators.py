@@ -1,0 +1,255 @@
+"""Each operator against a brute-force version on small tables with awkward rows."""
+
+import hashlib
+import re
+import zlib
+
+import numpy as np
+import pytest
+
+pytest.importorskip("surety.llm")
+from pyspark.sql import functions as F  # noqa: E402
+
+from surety.llm import connected, contracts, cover_tree, merge_automaton, merkle, ngram_join, packing, pii, token_files, url_filter  # noqa: E402
+
+BYTE_BPE, WORD_BPE = "byte_bpe_50k.json", "word_bpe_49k.json"
+BASE = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau upsilon".split()
+TEXTS = [
+    None, "", "   ", "word", "Two Words", " ".join(BASE), " ".join(BASE), " ".join(BASE).upper(), " ".join([*BASE, "extra"]),
+    "It's don't 'RE we'll\n\n  x  \t end ", "<|endoftext|> inside <|startoftext|>", "naïve café ÉCOLE Ωmega 中文 ½ ２ é", "1 2 3 " * 700, "long " * 30_000, "a.b@c.de, 1.2.3.4 and 999.1.1.1; 4111 1111 1111 1111 +1 (212) 555-0100 DE89370400440532013000",
+]
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    rows = [(i, t, "xx", i * 7) for i, t in enumerate(TEXTS)] + [(3, "word", "xx", 0), (None, "no id here", "xx", 1)]
+    return spark.createDataFrame(rows, "doc_id long, text string, start string, length long").repartition(3)
+
+
+@pytest.fixture(scope="module")
+def empty(docs):
+    return docs.where("false")
+
+
+def texts(docs):
+    return sorted(((r["doc_id"], r["text"]) for r in docs.collect()), key=lambda r: (r[0] is not None, r[0] or 0, r[1] or ""))
+
+
+def encoded(name, docs, end=None):
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(contracts.tokenizer_path(name))
+    t.no_truncation()
+    t.no_padding()
+    return t, [(i, t.encode(x or "", add_special_tokens=False).ids + ([end] if end else [])) for i, x in texts(docs)]
+
+
+def crc(ids):
+    return zlib.crc32(np.array(ids, "<u4").tobytes())
+
+
+def test_token_files_round_trip(spark, docs, empty):
+    path = contracts.tokenizer_path(BYTE_BPE)
+    folder = token_files.write_token_files(docs, path, end_id=2)
+    got = [tuple(r)[:4] for r in token_files.token_file_digest(spark, folder).orderBy("start").collect()]
+    want, start = [], 0
+    for i, ids in encoded(BYTE_BPE, docs, 2)[1]:
+        want.append((i, start, len(ids), crc(ids)))
+        start += len(ids)
+    assert got == want
+    assert token_files.read_tokens(folder, 5).tolist() == encoded(BYTE_BPE, docs, 2)[1][5][1]
+    assert token_files.token_file_digest(spark, token_files.write_token_files(empty, path, end_id=2)).count() == 0
+
+
+def test_packing_covers_every_id_once(spark, docs, empty):
+    path = contracts.tokenizer_path(BYTE_BPE)
+    rows = [r.asDict() for r in packing.pack(docs, path, end_id=1).collect()]
+    ids = {}
+    for i, x in encoded(BYTE_BPE, docs, 1)[1]:
+        ids.setdefault(i, []).append(x)
+    seen = {}
+    for r in rows:
+        whole = next(x for x in ids[r["doc_id"]] if len(x) == r["doc_tokens"])
+        assert crc(whole[r["start"] : r["start"] + r["length"]]) == r["ids_crc32"] and r["length"] > 0
+        seen[r["doc_id"]] = seen.get(r["doc_id"], 0) + r["length"]
+    assert seen == {i: sum(map(len, x)) for i, x in ids.items()}
+    by = {}
+    for r in sorted(rows, key=lambda r: (r["sequence_id"], r["offset"])):
+        assert r["offset"] == by.get(r["sequence_id"], 0)
+        by[r["sequence_id"]] = r["offset"] + r["length"]
+    assert max(by.values()) <= 2048
+    assert packing.pack(empty, path, end_id=1).count() == 0
+
+
+def test_pattern_program_packs_tightly():
+    rng = np.random.default_rng(3)
+    lengths, counts = np.unique(rng.integers(1, 512, 20_000), return_counts=True)
+    plan = packing.plan_patterns(dict(zip(lengths.tolist(), counts.tolist())), 512)
+    held = {}
+    for pattern, times in plan:
+        assert sum(k * n for k, n in pattern.items()) <= 512
+        for k, n in pattern.items():
+            held[k] = held.get(k, 0) + n * times
+    assert held == dict(zip(lengths.tolist(), counts.tolist()))
+    assert sum(t for _, t in plan) * 512 <= 1.03 * float((lengths * counts).sum())
+
+
+def test_merge_automaton_matches_library(docs, empty):
+    path = contracts.tokenizer_path(WORD_BPE)
+    t, want = encoded(WORD_BPE, docs)
+    got = sorted(((r["doc_id"], r["ids"], r["decoded"]) for r in merge_automaton.encode_decode(docs, path).collect()), key=repr)
+    assert got == sorted(((i, ids, t.decode(ids, skip_special_tokens=False)) for i, ids in want), key=repr)
+    digest = sorted((tuple(r) for r in merge_automaton.coding_digest(docs, path).collect()), key=repr)
+    sha = lambda b: hashlib.sha256(b).hexdigest()
+    assert digest == sorted(((i, len(ids), sha(np.array(ids, "<u4").tobytes()), sha(t.decode(ids, skip_special_tokens=False).encode())) for i, ids in want), key=repr)
+    assert merge_automaton.coding_digest(empty, path).count() == 0
+
+
+def test_merge_automaton_of_repeated_symbols():
+    letters = merge_automaton.byte_letters()
+    vocab = {c: i for i, c in enumerate(letters)} | {c + "$": 256 + i for i, c in enumerate(letters)}
+    merges = [("a", "a"), ("aa", "b"), ("aa", "a$")]
+    for a, b in merges:
+        vocab[a + b] = len(vocab)
+    machine = merge_automaton.MergeAutomaton(vocab, merges, "$")
+    names = lambda w: [machine.label[t] for t in machine.accept(w)]
+    assert names(b"aaab") == ["aa", "a", "b$"] and names(b"aaba") == ["aab", "a$"] and names(b"aaaa") == ["aa", "a", "a$"] and names(b"aaa") == ["aaa$"]
+
+
+def brute_components(rows):
+    word, low = re.compile("[^\x20\x09-\x0d]+"), str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    sets = []
+    for i, x in rows:
+        w = word.findall((x or "").translate(low))
+        sets.append((i, {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()))
+    group = list(range(len(sets)))
+    for a in range(len(sets)):
+        for b in range(a):
+            n = len(sets[a][1] & sets[b][1])
+            if n and sets[a][0] is not None and sets[b][0] is not None and 100 * n >= 80 * len(sets[a][1] | sets[b][1]):
+                group = [group[a] if g == group[b] else g for g in group]
+    least = {g: min((s[0] for s, h in zip(sets, group) if h == g and s[0] is not None), default=None) for g in group}
+    return sorted(((i, len(s), least[g] if i is not None else None) for (i, s), g in zip(sets, group)), key=repr)
+
+
+def test_ngram_join_components(spark, docs, empty):
+    got = sorted((tuple(r) for r in ngram_join.near_duplicates(docs).collect()), key=repr)
+    assert got == brute_components(texts(docs))
+    assert ngram_join.near_duplicates(empty).count() == 0
+
+
+def test_ngram_join_near_copies_and_split_regions(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    base = [f"w{i}" for i in range(150)]
+    rows = []
+    for i in range(160):
+        words = list(base) if i % 4 else [f"u{i}_{k}" for k in range(90)] + base[:60]
+        for k in rng.integers(0, len(words), int(rng.integers(0, 7))):
+            words[k] = f"x{rng.integers(1000)}"
+        rows.append((i, " ".join(words)))
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    want = brute_components(rows)
+    assert sorted((tuple(r) for r in ngram_join.near_duplicates(frame).collect()), key=repr) == want
+    monkeypatch.setattr(ngram_join, "TREE_SHINGLES", 3_000)
+    monkeypatch.setattr(ngram_join, "BROADCAST_ROWS", 10)
+    assert sorted((tuple(r) for r in ngram_join.near_duplicates(frame).collect()), key=repr) == want
+
+
+def test_connected_components(spark):
+    rng = np.random.default_rng(1)
+    pairs = [(int(a), int(b)) for a, b in rng.integers(0, 400, (330, 2))] + [(1000 + k, 1001 + k) for k in range(40)] + [(7, 7)]
+    root = {x: x for p in pairs for x in p}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in pairs:
+        a, b = sorted((find(a), find(b)))
+        root[b] = a
+    got = {r["node"]: r["root"] for r in connected.connected_components(spark.createDataFrame(pairs, "a long, b long")).collect()}
+    assert got == {x: find(x) for x in root if find(x) != x}
+
+
+def test_urls(spark, empty):
+    rows = [
+        (0, "https://a.example.com/en/1?q#f", ""), (1, "https://a.example.com/en/7/x", ""), (2, "http://x.NET/de/1", None), (3, "no scheme", ""), (4, None, ""), (5, "http://y.org/es/", ""), (6, "http://www.y.org/es", ""),
+        (7, "http://alias.test/p", '<link href="http://z.org/es/q" rel="canonical">'), (8, "http://other.test/p", "<META http-equiv=refresh content='0; url=http://alias.test/p'>"), (9, "http://z.org/es/q", ""),
+        (10, "http://both.test/", '<link rel=canonical href=http://example.com/en/7>'), (11, "http://example.com/en/7", '<link rel="canonical" href="http://z.org/es/q">'), (0, "https://a.example.com/en/1?q#f", ""),
+    ]
+    pages = spark.createDataFrame(rows[:10] + rows[12:], "page_id long, url string, html string")
+    got = {r["page_id"]: (r["host"], r["path"], r["rule"], r["verdict"]) for r in url_filter.judge(pages, contracts.URL_RULES).collect()}
+    assert got[0] == ("a.example.com", "/en/1", "com/en/", "block") and got[1][2:] == ("example.com/en/7", "allow") and got[2] == ("x.net", "/de/1", "net/de/", "allow")
+    assert got[3] == got[4] == ("", "", None, "allow") and got[5][2:] == ("org/es/", "block") and got[6][2:] == (None, "block")
+    assert got[7][3] == got[8][3] == "block"
+    more = {r["page_id"]: r["verdict"] for r in url_filter.judge(spark.createDataFrame(rows, pages.schema), contracts.URL_RULES).collect()}
+    assert more[7] == more[8] == more[10] == "allow" and more[9] == "block"  # an allowed alias takes precedence
+    assert url_filter.judge(pages.where("false"), contracts.URL_RULES).count() == 0
+
+
+def brute_spans(t):
+    digits = lambda m: re.sub("[^0-9]", "", m)
+
+    def luhn(d):
+        return sum(int(c) if i % 2 == 0 else (2 * int(c) - 9 if int(c) > 4 else 2 * int(c)) for i, c in enumerate(reversed(d))) % 10 == 0
+
+    rules = [
+        ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", lambda m: True),
+        ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", lambda m: all(int(x) <= 255 for x in m.split("."))),
+        ("card", r"[0-9]([\x20-]?[0-9])+", lambda m: 16 <= len(digits(m)) <= 19 and luhn(digits(m))),
+        ("phone", r"\+[0-9][\x20().0-9-]+[0-9]", lambda m: 8 <= len(digits(m)) <= 15),
+    ]
+    return ",".join(f"{k}:{m.start()}:{m.end()}" for k, p, ok in rules for m in re.finditer(p, t) if ok(m[0]))
+
+
+def test_pii(spark, docs, empty):
+    odd = ["a@b.c@d.e_x@y.zz", "a@b.com_x@y.zz x@y", "1.2.3.4.5.6.7.8 0001.002.3.256 1.2.3", "4111-1111-1111-1111-1 4111111111111111", "+1-2 +49 (30) 1234.5678 + 1 +12345678901234567", "é ü 中 j.d@x.org 😀 8.8.8.8", "7 " * 9_000, "SSN: 123-45-6789; call 212 555-0100", "x" * 50_000 + "@"]
+    rows = [(i, t) for i, t in enumerate(odd)] + [(100 + i if i is not None else None, t) for i, t in texts(docs)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r["doc_id"] is None, r["doc_id"] or 0, r["base_sha256"]) for r in pii.digest(frame).collect())
+    assert got == sorted((i is None, i or 0, hashlib.sha256(brute_spans(t or "").encode()).hexdigest()) for i, t in rows)
+    spans = {r["doc_id"]: r["spans"] for r in pii.digest(frame).collect()}
+    assert "ssn:5:16" in spans[7] and "local_phone:23:35" in spans[7] and "iban" in spans[114]
+    clean = {r["doc_id"]: r["text"] for r in pii.redact(frame.where("doc_id in (5, 100, 101)")).collect()}
+    assert clean == {5: "é ü 中 <EMAIL> 😀 <IP>", 100: None, 101: ""}
+    assert pii.digest(empty).count() == 0
+
+
+def test_merkle(spark, docs, empty):
+    got = sorted(((r["doc_id"], r["n_chars"], r["edited_sha256"]) for r in merkle.edit_digest(docs).collect()), key=repr)
+    rows = [(i, t or "") for i, t in texts(docs)]
+    want = []
+    for k, (i, t) in enumerate(rows):
+        following = rows[(k + 1) % len(rows)][1]
+        edited = t[: len(t) - len(t) // 2] + following[: len(t) // 2]
+        want.append((i, len(t), hashlib.sha256(edited.encode()).hexdigest()))
+    assert got == sorted(want, key=repr)
+    prints = {}
+    for r in merkle.edit_digest(docs).collect():
+        assert 0 <= r["near_edited"] <= 1 and 0 <= r["near_next"] <= 1
+        prints.setdefault(r["doc_id"], set()).add(r["fingerprint"])
+    assert prints[5] == prints[6] != prints[7] and prints[0] == prints[1] != prints[2]
+    assert merkle.edit_digest(empty).count() == 0 and merkle.edit_digest(docs.where("doc_id = 5")).first()["near_next"] == 1.0
+
+
+def test_merkle_locates_an_edit(spark):
+    frame = spark.createDataFrame([("one.\ntwo.\n\nthree\nfour", "one.\ntwo.\n\nthree\nFOUR"), ("same", "same")], "a string, b string")
+    found = frame.select(merkle.changed_paragraphs(merkle.tree(merkle.leaves(F.col("a"))), merkle.tree(merkle.leaves(F.col("b")))).alias("c")).collect()
+    assert [[tuple(x) for x in r["c"]] for r in found] == [[(1, 1)], []]
+
+
+def test_cover_tree_top_k(spark):
+    rng = np.random.default_rng(2)
+    rows = [(i, [float(x) for x in rng.normal(size=8)], 0) for i in range(700)]
+    rows += [(700 + i, [0.5] * 8, 0) for i in range(300)] + [(2000, None, 0), (2001, [1.0, None], 0), (2002, [float("nan")] * 8, 0), (2003, [1.0] * 3, 0), (2050, [2.0] * 3, 0), (None, [1.0] * 8, 0), (50, rows[50][1], 1)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>, rank int")
+    got = {}
+    for r in cover_tree.top_k(frame, frame.where("vec_id % 50 = 0")).orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append((r["vec_id"], r["score"]))
+    good = [(i, np.floor(256 * np.array(v, np.float32).astype(float))) for i, v, _ in rows if i is not None and v and None not in v and np.isfinite(v).all()]
+    for q in [0, 50, 700, 950, 2050]:
+        x = next(v for i, v in good if i == q)
+        want = sorted(((i, int(v @ x)) for i, v in good if i != q and len(v) == len(x)), key=lambda p: (-p[1], p[0]))[:5]
+        assert got[q][:5] == want
+    assert cover_tree.top_k(frame.where("false"), frame.where("false")).count() == 0
