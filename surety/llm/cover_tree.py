@@ -9,7 +9,8 @@ best scores from one candidate block to the next, so later blocks prune more.
 Defined cases: a null vector, or one with a null or non-finite component, takes no
 part as query or candidate; a null vec_id neither; a candidate with the query's own
 vec_id is its own row; vectors of different lengths never meet; ties go to the
-smaller vec_id; repeated vec_ids are candidates each; an empty table gives no rows.
+smaller vec_id; repeated vec_ids are candidates each and ask once, with the smallest
+of their vectors; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -23,6 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from surety.llm import shared
+from surety.llm import textbytes as tb
 
 QUERY_BLOCK, CANDIDATE_BLOCK = 4_096, 8_192
 #: Points in a leaf, and the factor by which covering radii shrink from level to level.
@@ -46,6 +48,9 @@ class CoverTree:
         self.center_norm = np.sqrt((self.center_at**2).sum(axis=1))
         self.radius_at = np.array(self.radius)
         self.children_at = [np.array(c, np.int64) for c in self.children]
+        self.has_children = np.array([bool(c) for c in self.children])
+        self.starts_at = np.array([lo for lo, _ in self.span])
+        self.sizes_at = np.array([hi - lo for lo, hi in self.span])
 
     def _distances(self, center: int, rows: np.ndarray) -> np.ndarray:
         d = self.norms[rows] + self.norms[center] - 2 * (self.points[rows] @ self.points[center])
@@ -84,10 +89,20 @@ class CoverTree:
                     center = int(left[0])
 
 
-def _merge(scores: np.ndarray, ids: np.ndarray, more: np.ndarray, more_ids: np.ndarray, k: int):
-    scores, ids = np.concatenate((scores, more), axis=1), np.concatenate((ids, more_ids), axis=1)
-    best = np.lexsort((ids, -scores), axis=1)[:, :k]
-    return np.take_along_axis(scores, best, 1), np.take_along_axis(ids, best, 1)
+def _merge(scores: np.ndarray, ids: np.ndarray, more: np.ndarray, more_ids: np.ndarray, k: int) -> None:
+    """Put the best ``k`` of both sides into ``scores`` and ``ids``, ties to the smaller id."""
+    width = scores.shape[1] + more.shape[1]
+    both = np.concatenate((scores, more), axis=1)
+    least = np.partition(both, width - k, axis=1)[:, width - k]
+    row, at = np.nonzero((both >= least[:, None]) & (both > -np.inf))
+    value = both[row, at]
+    name = np.where(at < k, ids[row, np.minimum(at, k - 1)], more_ids[np.maximum(at - k, 0)])
+    order = np.lexsort((name, -value, row))
+    row, value, name = row[order], value[order], name[order]
+    rank = np.arange(len(row)) - np.searchsorted(row, row)
+    keep = rank < k
+    scores[:], ids[:] = -np.inf, np.iinfo(np.int64).max
+    scores[row[keep], rank[keep]], ids[row[keep], rank[keep]] = value[keep], name[keep]
 
 
 def dual_search(queries: CoverTree, query_ids: np.ndarray, best: tuple[np.ndarray, np.ndarray], points: CoverTree, ids: np.ndarray, k: int):
@@ -96,37 +111,51 @@ def dual_search(queries: CoverTree, query_ids: np.ndarray, best: tuple[np.ndarra
     own, ids = query_ids[queries.order], ids[points.order]
 
     def bound(q, c):
-        reach = queries.center_at[q] @ points.center_at[c].T
+        """Largest inner product of any two points below the nodes."""
         rq, rc = queries.radius_at[q], points.radius_at[c]
-        top = reach + queries.center_norm[q] * rc + points.center_norm[c] * rq + rq * rc
+        top = queries.center_at[q] @ points.center_at[c].T + queries.center_norm[q] * rc + points.center_norm[c] * rq + rq * rc
         return top + 1e-9 * np.abs(top) + 1e-6
 
+    def meet(a: int, b: int, at: np.ndarray) -> None:
+        """Scores of the queries in a span and the points ``at``."""
+        for low in range(a, b, 1024):
+            rows = slice(low, min(low + 1024, b))
+            more = queries.points[rows] @ points.points[at].T
+            more[own[rows, None] == ids[at]] = -np.inf
+            some = np.flatnonzero(more.max(axis=1) >= scores[rows, -1])
+            if len(some):
+                best_scores, best_ids = scores[rows][some], found[rows][some]
+                _merge(best_scores, best_ids, more[some], ids[at], k)
+                scores[low + some], found[low + some] = best_scores, best_ids
+
     todo = [(0, 0, np.inf)]
     while todo:
         q, c, top = todo.pop()
         a, b = queries.span[q]
         if top < scores[a:b, -1].min():
             continue
-        split_q, split_c = len(queries.children[q]), len(points.children[c])
-        if not split_q and not split_c:
-            lo, hi = points.span[c]
-            for lo in range(lo, hi, 1024):  # a leaf of equal points may be large
-                part = slice(lo, min(lo + 1024, points.span[c][1]))
-                for at in range(a, b, 1024):
-                    rows = slice(at, min(at + 1024, b))
-                    more = queries.points[rows] @ points.points[part].T
-                    more_ids = np.broadcast_to(ids[part], more.shape)
-                    more = np.where(more_ids == own[rows, None], -np.inf, more)
-                    if (more.max(axis=1) >= scores[rows, -1]).any():
-                        scores[rows], found[rows] = _merge(scores[rows], found[rows], more, more_ids, k)
+        if not points.children[c]:
+            for low in range(*points.span[c], 1024):  # a leaf of equal points may be large
+                meet(a, b, np.arange(low, min(low + 1024, points.span[c][1])))
             continue
-        if split_c and (not split_q or points.radius[c] >= queries.radius[q]):
-            next_c = points.children_at[c]
-            tops = bound(q, next_c)
-            order = np.argsort(tops)
-            todo += [(q, int(next_c[i]), float(tops[i])) for i in order]
-        else:
+        if queries.children[q] and queries.radius[q] > points.radius[c]:
             todo += [(int(i), c, float(bound(int(i), c))) for i in queries.children_at[q]]
+            continue
+        below = points.children_at[c]
+        tops = bound(q, below)
+        order = np.argsort(-tops, kind="stable")
+        below, tops = below[order], tops[order]
+        inner = points.has_children[below]
+        todo += [(q, int(i), float(t)) for i, t in zip(below[inner][::-1], tops[inner][::-1])]
+        # Leaves of one node mostly hold a point each: they meet the queries together, best first.
+        below, tops = below[~inner], tops[~inner]
+        while len(below) and tops[0] >= scores[a:b, -1].min():
+            sizes = points.sizes_at[below]
+            n = max(1, int(np.searchsorted(np.cumsum(sizes), 512)))
+            meet(a, b, tb.gather(points.starts_at[below[:n]], sizes[:n]))
+            below, tops = below[n:], tops[n:]
+            fits = tops >= scores[a:b, -1].min()
+            below, tops = below[fits], tops[fits]
     return scores, found
 
 
@@ -172,6 +201,7 @@ def top_k(candidates: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: the ``k`` largest inner products of each query."""
     spark = candidates.sparkSession
     spread = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    queries = queries.groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
     few = max(1, -(-queries.count() // QUERY_BLOCK))
     asked = shared.materialise(blocks(queries.repartition(few, "vec_id"), QUERY_BLOCK), "queries")
     held = shared.materialise(blocks(candidates, CANDIDATE_BLOCK), "candidates")
