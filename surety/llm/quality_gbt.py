@@ -105,7 +105,7 @@ class BoostedTrees:
     def fit(cls, x: np.ndarray, y: np.ndarray) -> "BoostedTrees":
         share = float(y.mean()) if len(y) else 0.5
         inner = (1 << DEPTH) - 1
-        if not 0 < share < 1:
+        if not len(y) or not 0 < share < 1:
             return cls(float(np.log((share + 1e-3) / (1 - share + 1e-3))), np.zeros((0, inner), np.int64), np.zeros((0, inner)), np.zeros((0, inner + 1)))
         rows, width = x.shape
         cuts = [np.unique(np.quantile(x[:, f], np.linspace(0, 1, BINS + 1)[1:-1])) for f in range(width)]
