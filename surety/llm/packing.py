@@ -42,6 +42,7 @@ def cut_pieces(docs: DataFrame, tokenizer_path: str, end_id: int | None, capacit
 
     A random ``share`` of the documents keeps the ids of its last piece in ``ids``.
     """
+    shared.bound_batches(docs.sparkSession)
     source = docs.sparkSession.sparkContext.broadcast(open(tokenizer_path).read())
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -90,14 +91,15 @@ def price_column(values: np.ndarray, weights: np.ndarray, room: int) -> tuple[fl
     return best[room], column
 
 
-def first_patterns(demand: np.ndarray, weights: np.ndarray, room: int) -> tuple[np.ndarray, np.ndarray]:
-    """A feasible basis: fill up the largest length left until some length is used up, and so on.
+def first_patterns(demand: np.ndarray, weights: np.ndarray, room: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A feasible basis, its inverse and amounts: fill up the largest length left until some length is used up, and so on.
 
     Each pattern holds the length that it uses up and none used up before, so the
     columns are triangular in that order and the amounts are exact.
     """
     m = len(demand)
     left, columns, x, open_ = demand.astype(np.float64), np.zeros((m, m)), np.zeros(m), np.ones(m, bool)
+    order = []
     for k in range(m):
         live = np.flatnonzero(open_)
         top = live[-1]
@@ -112,8 +114,16 @@ def first_patterns(demand: np.ndarray, weights: np.ndarray, room: int) -> tuple[
         done = int(used[ratio.argmin()])
         left[done] = 0
         open_[done] = False
+        order.append(done)
         columns[:, k] = column
-    return columns, x
+    lower, inverse = columns[order], np.eye(m)
+    for k in range(m):
+        inverse[k] /= lower[k, k]
+        below = k + 1 + np.flatnonzero(lower[k + 1 :, k])
+        inverse[below] -= lower[below, k, None] * inverse[k]
+    turned = np.empty((m, m))
+    turned[:, order] = inverse
+    return columns, turned, x
 
 
 def solve_patterns(demand: np.ndarray, weights: np.ndarray, room: int, gap: float = 2e-3, limit: int = 300) -> tuple[np.ndarray, np.ndarray]:
@@ -122,18 +132,19 @@ def solve_patterns(demand: np.ndarray, weights: np.ndarray, room: int, gap: floa
     Stops once the dual bound is within ``gap`` of the primal value, or after
     ``limit`` columns; the amounts are feasible at every step.
     """
-    columns, x = first_patterns(demand, weights, room)
-    inverse = np.linalg.inv(columns)
-    bound = float(weights @ demand) / room
+    columns, inverse, x = first_patterns(demand, weights, room)
+    bound = float((weights * demand).sum()) / room
     for _ in range(limit):
         if x.sum() <= bound * (1 + gap):
             break
         duals = np.maximum(inverse.sum(axis=0), 0)
         value, column = price_column(duals, weights, room)
-        bound = max(bound, float(duals @ demand) / max(value, 1e-9))
+        bound = max(bound, float((duals * demand).sum()) / max(value, 1e-9))
         if value <= 1 + 1e-9:
             break
-        step = inverse @ column
+        # Columns are sparse, so a plain sum is enough.
+        held = np.flatnonzero(column)
+        step = (inverse[:, held] * column[held]).sum(axis=1)
         rows = np.flatnonzero(step > 1e-9)
         ratio = x[rows] / step[rows]
         out = rows[int(ratio.argmin())]
