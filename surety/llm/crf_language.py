@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from surety.llm import shared
 from surety.llm import textbytes as tb
 
 PER_LANGUAGE, SAMPLE_CHARS = 300, 1_500
@@ -177,7 +178,7 @@ class LanguageCrf:
             share = forward_backward(emit, step, bounds, past)
             # Adjacent labels' joint probability, summed: past x step x (share / what the step leads to).
             before = past[after - 1]
-            joint = step * (before.T @ (share[after] / np.maximum(before @ step, 1e-300)))
+            joint = step * np.einsum("ti,tj->ij", before, share[after] / np.maximum(before @ step, 1e-300))
             miss = -share
             miss[np.arange(len(ids)), tags] += 1
             by_word = np.stack([np.bincount(ids, miss[:, k], len(words)) for k in range(m)], axis=1)
@@ -207,6 +208,7 @@ def identify(docs: DataFrame, model: LanguageCrf) -> DataFrame:
     from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
     parts = docs.sparkSession.sparkContext.broadcast((model.labels, model.lexicon, model.weights, model.steps))
+    shared.bound_batches(docs.sparkSession)
     docs = docs.drop("lang_pred", "score")
     names = docs.columns
     schema = StructType([*docs.schema.fields, StructField("lang_pred", StringType()), StructField("score", DoubleType())])
@@ -224,7 +226,7 @@ def identify(docs: DataFrame, model: LanguageCrf) -> DataFrame:
 
         for batch in batches:
             label, score = [], []
-            for lo, hi, data, bounds in tb.text_slices(batch.column(names.index("text")), 4 << 20):
+            for lo, hi, data, bounds in tb.text_slices(batch.column(names.index("text")), 2 << 20):
                 low = lower(data)
                 starts, ends, upto = word_spans(low, bounds)
                 best, top = np.full(hi - lo, m), np.zeros(hi - lo)

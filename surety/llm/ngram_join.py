@@ -41,7 +41,7 @@ from surety.llm import textbytes as tb
 from surety.llm.connected import connected_components
 
 #: Hashes counted together in a task, and the least count there that is reported.
-CHUNK, REPORTED = 4_000_000, 4
+CHUNK, REPORTED = 2_000_000, 4
 #: Document count from which a hash goes last, and how many hashes go last at most.
 COMMON, MOST_COMMON = 64, 1_000_000
 #: Shingles that one tree holds at most, about.
@@ -416,6 +416,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80, width: int = 5) -> DataF
     A class of equal sets is one node, named by half its fingerprint; ``rep`` is its
     smallest doc_id.
     """
+    shared.bound_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     signs = shared.materialise(signatures(docs, common_hashes(docs, width), percent, width), "signatures")
     linked = signs.where("doc_id is not null and n_shingles > 0").withColumnRenamed("high", "node")

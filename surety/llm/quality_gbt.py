@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from surety.llm import ngram_join
+from surety.llm import ngram_join, shared
 from surety.llm import textbytes as tb
 
 TRAINING_ROWS = 20_000
@@ -168,6 +168,7 @@ def score(docs: DataFrame, model: BoostedTrees, name: str = "score") -> DataFram
     from pyspark.sql.types import DoubleType, StructField, StructType
 
     parts = docs.sparkSession.sparkContext.broadcast((model.prior, model.feature, model.cut, model.value))
+    shared.bound_batches(docs.sparkSession)
     docs = docs.drop(name)
     names = docs.columns
 

@@ -48,3 +48,14 @@ def drop_scratch(spark: SparkSession, *frames: DataFrame) -> None:
             folder = path_of(file).getParent()
             if folder.toString().replace("file:///", "file:/").startswith(root.replace("file:///", "file:/")):
                 folder.getFileSystem(hadoop).delete(folder, True)
+
+
+#: Rows of one Arrow batch: a batch of long texts must fit beside an executor's heap.
+BATCH_ROWS = 2_000
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Keep Arrow batches of texts small; a smaller setting of the session stands."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))

@@ -6,6 +6,7 @@ end and an array of document bounds, so no Python string is made per word.
 
 from __future__ import annotations
 
+import ctypes
 import functools
 import unicodedata
 from collections.abc import Callable, Iterator
@@ -16,7 +17,7 @@ import pyarrow.compute as pc
 
 OTHER, LETTER, NUMBER, SPACE = 0, 1, 2, 3
 #: Bytes of text handled at once; a longer document is a slice of its own.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
@@ -50,11 +51,25 @@ def text_slices(column, size: int = SLICE_BYTES) -> Iterator[tuple[int, int, np.
     data, bounds = buffers(column)
     for lo, hi in slices(bounds, size):
         yield lo, hi, data[bounds[lo] : bounds[hi]], bounds[lo : hi + 1] - bounds[lo]
+    release()
+
+
+def release() -> None:
+    """Give freed memory back to the system; a worker shares an executor's with others."""
+    pa.default_memory_pool().release_unused()
+    trim = _trim()
+    if trim:
+        trim(0)
+
+
+@functools.cache
+def _trim():
+    return getattr(ctypes.CDLL(None), "malloc_trim", None)
 
 
 def _grow_powers(n: int) -> None:
     if len(_powers[0]) < n:
-        m = max(n, 4 << 20)
+        m = max(n + n // 4, 1 << 20)
         for k, base in enumerate((_PRIME, _INVERSE)):
             p = np.full(m, base, np.uint64)
             p[0] = 1
@@ -179,7 +194,7 @@ class SpanTable:
     memory: it starts anew beyond so many spans, which costs time only.
     """
 
-    def __init__(self, dtype, limit: int = 1_500_000):
+    def __init__(self, dtype, limit: int = 600_000):
         self.dtype, self.limit = dtype, limit
         self.bits = max(10, int(limit * 2 - 1).bit_length())
         self.clear()

@@ -68,6 +68,7 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, end_id: int | None,
     a slice of texts and its own ids; only one row a segment reaches the driver.
     """
     spark = docs.sparkSession
+    shared.bound_batches(spark)
     folder = folder or shared.scratch(spark, "tokens")
     json_text = open(tokenizer_path).read()
     largest = max([*json.loads(json_text)["model"]["vocab"].values(), end_id or 0])
