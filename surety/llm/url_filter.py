@@ -6,7 +6,8 @@ fragment) fold into one key without any join; canonical links and refresh
 redirects found in a page are edges between keys, whose connected components are
 found in distributed rounds.  A page that a rule fits has the rule's verdict.  Any
 other page is blocked if an alias is blocked by rule and none is allowed by rule:
-an explicit allow takes precedence; else it is allowed.
+an explicit allow takes precedence; else it is allowed.  The target of a link is an
+alias whether or not it is a row of the table.
 
 Defined cases: a null url, or one without ``://``, has empty host and path, no
 alias, and is allowed; null html has no links; repeated rows are judged alike;
@@ -21,6 +22,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from surety.llm import shared
 from surety.llm.connected import connected_components
 
 
@@ -73,9 +75,13 @@ def judge(pages: DataFrame, rules: Sequence[Rule]) -> DataFrame:
     )
     linked = address.where((F.col("host") != "") & (F.col("html").contains("canonical") | F.col("html").contains("refresh")))
     targets = linked.select("key", F.explode(F.array(F.regexp_extract("html", _CANONICAL, 1), F.regexp_extract("html", _REFRESH, 1))).alias("to"))
-    targets = targets.select("key", alias_key(host_of(F.col("to")), path_of(F.col("to"))).alias("to")).where("to is not null")
-    groups = connected_components(targets.select(F.col("key").alias("a"), F.xxhash64("to").alias("b")))
-    said = judged.where("ruled is not null and alias is not null").groupBy("key").agg(F.max(F.col("ruled") == "block").alias("block"), F.max(F.col("ruled") == "allow").alias("allow"))
+    targets = targets.select("key", host_of(F.col("to")).alias("host"), path_of(F.col("to")).alias("path")).where("host <> ''")
+    # A target need not be a row of pages: the rules judge it as they judge a page.
+    ruled = first_rule(F.col("host"), F.col("path"), rules, lambda r: r.verdict).alias("ruled")
+    targets = shared.materialise(targets.select("key", F.xxhash64(alias_key(F.col("host"), F.col("path"))).alias("to"), ruled), "targets")
+    groups = connected_components(targets.select(F.col("key").alias("a"), F.col("to").alias("b")))
+    said = judged.where("alias is not null").select("key", "ruled").unionByName(targets.select(F.col("to").alias("key"), "ruled"))
+    said = said.where("ruled is not null").groupBy("key").agg(F.max(F.col("ruled") == "block").alias("block"), F.max(F.col("ruled") == "allow").alias("allow"))
     said = said.join(groups.select(F.col("node").alias("key"), "root"), "key", "left").withColumn("root", F.coalesce("root", "key"))
     blocked = said.groupBy("root").agg(F.max("block").alias("block"), F.max("allow").alias("allow")).where("block and not allow").select("root")
     # The blocked groups' keys: their own names, and all that lead to them.

@@ -188,6 +188,19 @@ def test_urls(spark, empty):
     assert url_filter.judge(pages.where("false"), contracts.URL_RULES).count() == 0
 
 
+def test_urls_rules_judge_link_targets(spark):
+    rows = [
+        (0, "http://one.test/p", '<link rel="canonical" href="http://z.org/es/q">'), (1, "http://two.test/p", "<meta http-equiv=refresh content='0; url=http://www.z.org/es/r'>"),
+        (2, "http://three.test/p", '<link rel="canonical" href="http://z.org/es/q"><meta http-equiv=refresh content="0; url=http://example.com/en/7/x">'), (3, "http://four.test/p", '<link rel="canonical" href="http://z.org/fr/q">'),
+        (4, "http://y.org/es", '<link rel="canonical" href="http://y.org/es/">'), (5, "http://five.test/p", '<meta http-equiv="refresh" content="0; url=http://three.test/p">'),
+    ]
+    frame = spark.createDataFrame(rows[:2] + rows[3:5], "page_id long, url string, html string")
+    got = {r["page_id"]: r["verdict"] for r in url_filter.judge(frame, contracts.URL_RULES).collect()}
+    assert got == {0: "block", 1: "block", 3: "allow", 4: "block"}
+    got = {r["page_id"]: r["verdict"] for r in url_filter.judge(spark.createDataFrame(rows, frame.schema), contracts.URL_RULES).collect()}
+    assert got == {0: "allow", 1: "block", 2: "allow", 3: "allow", 4: "block", 5: "allow"}  # an allowed target takes precedence
+
+
 def brute_spans(t):
     digits = lambda m: re.sub("[^0-9]", "", m)
 
