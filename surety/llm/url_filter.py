@@ -7,7 +7,8 @@ redirects found in a page are edges between keys, whose connected components are
 found in distributed rounds.  A page that a rule fits has the rule's verdict.  Any
 other page is blocked if an alias is blocked by rule and none is allowed by rule:
 an explicit allow takes precedence; else it is allowed.  The target of a link is an
-alias whether or not it is a row of the table.
+alias whether or not it is a row of the table; all links of a page count, relative
+ones from the page's address or its ``<base>``.
 
 Defined cases: a null url, or one without ``://``, has empty host and path, no
 alias, and is allowed; null html has no links; repeated rows are judged alike;
@@ -34,8 +35,11 @@ class Rule(NamedTuple):
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _SPLIT = r"(?s)^.*?://([^/?#]*)([^?#]*)"
-_CANONICAL = r"(?is)<link\b(?=[^>]*\brel\s*=\s*[\"']?canonical\b)[^>]*\bhref\s*=\s*[\"']?([^\"'\s>]+)"
-_REFRESH = r"(?is)<meta\b(?=[^>]*\bhttp-equiv\s*=\s*[\"']?refresh\b)[^>]*\bcontent\s*=\s*[\"'][^\"'>]*?url\s*=\s*([^\"'\s>]+)"
+_CANONICAL = r"(?is)<link\b(?=[^>]*\brel\s*=\s*[\"']?canonical\b)[^>]*\bhref\s*=\s*[\"']?\s*([^\"'\s>]+)"
+#: Group 2 is the target; quotes within a quoted value are of the other kind.
+_REFRESH = r"(?is)<meta\b(?=[^>]*\bhttp-equiv\s*=\s*[\"']?refresh\b)[^>]*\bcontent\s*=\s*(?:([\"'])[^\"'>]*?|[^\"'\s>]*?)url\s*=\s*(?:(?!\1)[\"']\s*)?([^\"'\s>]+)"
+_BASE = r"(?is)<base\b[^>]*\bhref\s*=\s*[\"']?\s*([^\"'\s>]+)"
+_ABSOLUTE, _SCHEME = r"^[A-Za-z][A-Za-z0-9+.-]*://", r"^[A-Za-z][A-Za-z0-9+.-]*:"
 
 
 def host_of(url: Column) -> Column:
@@ -52,6 +56,23 @@ def alias_key(host: Column, path: Column) -> Column:
     return F.when(host != "", F.concat(bare, F.regexp_replace(path, r"(?:/index)?\.html?$|/+$", "")))
 
 
+def without_dots(path: Column) -> Column:
+    """``path`` with its ``.`` and ``..`` segments resolved."""
+    kept = F.aggregate(F.split(F.substr(path, F.lit(2)), "/", -1), F.array().cast("array<string>"), lambda a, x: F.when(x == "..", F.slice(a, 1, F.greatest(F.size(a) - 1, F.lit(0)))).when(x == ".", a).otherwise(F.concat(a, F.array(x))))
+    ends = F.when(path.rlike(r"/\.\.?$"), F.when(F.size(kept) > 0, "/").otherwise("")).otherwise("")
+    return F.when(path.rlike(r"/\.\.?(?:/|$)"), F.concat(F.lit("/"), F.array_join(kept, "/"), ends)).otherwise(path)
+
+
+def resolved(to: Column, host: Column, path: Column) -> Column:
+    """struct(host, path) of the link ``to`` in a document at ``host`` and ``path``; an empty host where it is no address."""
+    whole = F.when(to.startswith("//"), F.concat(F.lit("http:"), to)).when(to.rlike(_ABSOLUTE), to)
+    bare = F.regexp_extract(to, r"(?s)^[^?#]*", 0)
+    folder = F.regexp_replace(path, r"[^/]*$", "")
+    below = F.when(bare == "", path).when(bare.startswith("/"), without_dots(bare)).otherwise(without_dots(F.concat(F.when(folder == "", "/").otherwise(folder), bare)))
+    own = F.when(to.rlike(_SCHEME), "").otherwise(host)
+    return F.struct(F.when(whole.isNotNull(), host_of(whole)).otherwise(own).alias("host"), F.when(whole.isNotNull(), path_of(whole)).otherwise(below).alias("path"))
+
+
 def first_rule(host: Column, path: Column, rules: Sequence[Rule], value) -> Column:
     """``value(rule)`` of the longest rule that fits, else null."""
     out = F.lit(None).cast("string")
@@ -73,9 +94,13 @@ def judge(pages: DataFrame, rules: Sequence[Rule]) -> DataFrame:
         first_rule(F.col("host"), F.col("path"), rules, lambda r: r.host + r.path).alias("rule"),
         first_rule(F.col("host"), F.col("path"), rules, lambda r: r.verdict).alias("ruled"),
     )
-    linked = address.where((F.col("host") != "") & (F.col("html").contains("canonical") | F.col("html").contains("refresh")))
-    targets = linked.select("key", F.explode(F.array(F.regexp_extract("html", _CANONICAL, 1), F.regexp_extract("html", _REFRESH, 1))).alias("to"))
-    targets = targets.select("key", host_of(F.col("to")).alias("host"), path_of(F.col("to")).alias("path")).where("host <> ''")
+    html = F.lower("html")
+    linked = address.where((F.col("host") != "") & (html.contains("canonical") | html.contains("refresh")))
+    found = F.concat(F.regexp_extract_all("html", F.lit(_CANONICAL), F.lit(1)), F.regexp_extract_all("html", F.lit(_REFRESH), F.lit(2)))
+    linked = linked.select("key", "host", "path", F.regexp_extract("html", _BASE, 1).alias("base"), F.explode(found).alias("to"))
+    linked = linked.withColumn("base", F.when(F.col("base") != "", resolved(F.col("base"), F.col("host"), F.col("path"))))
+    linked = linked.withColumn("base", F.when(F.col("base.host") != "", F.col("base")).otherwise(F.struct("host", "path")))
+    targets = linked.select("key", resolved(F.col("to"), F.col("base.host"), F.col("base.path")).alias("to")).select("key", "to.host", "to.path").where("host <> ''")
     # A target need not be a row of pages: the rules judge it as they judge a page.
     ruled = first_rule(F.col("host"), F.col("path"), rules, lambda r: r.verdict).alias("ruled")
     targets = shared.materialise(targets.select("key", F.xxhash64(alias_key(F.col("host"), F.col("path"))).alias("to"), ruled), "targets")

@@ -201,6 +201,22 @@ def test_urls_rules_judge_link_targets(spark):
     assert got == {0: "allow", 1: "block", 2: "allow", 3: "allow", 4: "block", 5: "allow"}  # an allowed target takes precedence
 
 
+def test_urls_forms_of_links(spark):
+    blocked = [
+        '<meta http-equiv="Refresh" content="0; url=http://z.org/es/q">', '<LINK REL="CANONICAL" HREF="http://z.org/es/q">', '<link rel=canonical href="//z.org/es/q">', '<link rel=canonical href=" http://z.org/es/q ">',
+        """<meta http-equiv="refresh" content="0; url='http://z.org/es/q'">""", """<meta http-equiv='refresh' content='0; URL="http://z.org/es/q"'>""", "<meta http-equiv=refresh content=0;url=http://z.org/es/q>",
+        '<link rel=canonical href="http://a.test/"><link rel=canonical href="http://z.org/es/q">', '<meta http-equiv=refresh content="9; url=http://a.test/"><meta http-equiv=refresh content="0; url=http://z.org/es/q">',
+        '<base href="http://z.org/es/"><link rel=canonical href="q">', '<base href="//z.org/fr/x"><meta http-equiv=refresh content="0; url=../es/q">',
+    ]
+    free = ['<link rel=canonical href="/go?u=http://z.org/es/q">', '<meta http-equiv="refresh" content="0; url="/>', '<meta http-equiv=refresh content="5">', '<link rel=canonical href="mailto:x@z.org">', "<link rel=canonical href='http://z.org/fr/q'>", None]
+    pages = [(k, f"http://p{k}.test/a/b", h) for k, h in enumerate(blocked)] + [(100 + k, f"http://f{k}.test/a/b", h) for k, h in enumerate(free)]
+    # Relative links from pages that no rule fits, to paths of their own host that one does.
+    pages += [(200, "http://s.org/a/b", '<link rel=canonical href="/es/q">'), (201, "http://t.org/a/b/c", '<link rel=canonical href="../../es/q#x">'), (202, "http://u.org", '<link rel=canonical href="es/q">'), (203, "http://v.org/a/b", '<link rel=canonical href="./es/q">'), (204, "http://w.org/a/b", '<link rel=canonical href="?es/q">')]
+    got = {r["page_id"]: r["verdict"] for r in url_filter.judge(spark.createDataFrame(pages, "page_id long, url string, html string"), contracts.URL_RULES).collect()}
+    assert [k for k in range(len(blocked)) if got[k] != "block"] == [] and [k for k in range(len(free)) if got[100 + k] != "allow"] == []
+    assert [got[k] for k in range(200, 205)] == ["block", "block", "block", "allow", "allow"]
+
+
 def brute_spans(t):
     digits = lambda m: re.sub("[^0-9]", "", m)
 
