@@ -4,7 +4,8 @@ Blank lines part sections, line feeds paragraphs; full stops, and every LEAF_CHA
 characters without one, part the leaves of a paragraph.  A node's
 hash covers its children's in order, so equal roots mean equal texts, and two trees
 are compared from the root down: only branches with different hashes are opened,
-which locates an edit to its paragraph.  The fingerprint writes the root, then all
+which locates an edit to its paragraph.  Short texts have finer leaves; a short and a
+long text are compared by finer leaves of both.  The fingerprint writes the root, then all
 leaves with the tree's shape (``;`` sections, ``/`` paragraphs, ``.`` leaves), from
 which each inner hash follows.
 
@@ -21,26 +22,38 @@ from pyspark.sql import functions as F
 #: Rows of one range group, about; its size bounds what a window holds.
 GROUP_ROWS, MOST_GROUPS = 3_000, 4_096
 LEAF_CHARS = 32
-#: Texts up to so many characters have finer leaves.
+#: Texts up to so many characters have finer leaves, and so has what is compared with them.
 SHORT_CHARS, SHORT_LEAF_CHARS = 96, 4
+#: Sentences of more characters are cut in one pass; the leaves are the same.
+ONE_PASS = 1_024
 
 
-def leaves(text: Column) -> Column:
+def brief(text: Column) -> Column:
+    """Whether ``text`` has finer leaves by itself."""
+    return F.length(text) <= SHORT_CHARS
+
+
+def leaves(text: Column, fine: Column | None = None) -> Column:
     """Hashes of all leaves: sections of paragraphs of chunks.
 
     A chunk is hashed with its number in its sentence, so chunks and sentences never mix up.
+    Trees that are compared need one rule: ``fine`` if either text is brief; without it, the text's own.
     """
+    fine = brief(text) if fine is None else fine
 
     def cut(size: Column) -> Column:
         def sentence(x: Column) -> Column:
             starts = F.sequence(F.lit(0), F.floor((F.length(x) - 1) / size).cast("int"))
             chunks = F.transform(starts, lambda i: F.xxhash64(F.substr(x, i * size + 1, size), i))
-            return F.when(F.length(x) <= size, F.array(F.xxhash64(x, F.lit(0)))).otherwise(chunks)
+            # A substring is found by counting from the sentence's start, so long sentences are cut in one pass.
+            passed = F.regexp_extract_all(x, F.concat(F.lit("(?s).{1,"), size.cast("string"), F.lit("}")), F.lit(0))
+            passed = F.transform(passed, lambda c, i: F.xxhash64(c, i))
+            return F.when(F.length(x) <= size, F.array(F.xxhash64(x, F.lit(0)))).when(F.length(x) <= ONE_PASS, chunks).otherwise(passed)
 
         return F.transform(F.split(text, "\n\n", -1), lambda s: F.transform(F.split(s, "\n", -1), lambda p: F.flatten(F.transform(F.split(p, r"\.", -1), sentence))))
 
     # A lambda's variable is evaluated once; the length itself would be counted anew in every sentence.
-    return F.element_at(F.transform(F.array(F.when(F.length(text) <= SHORT_CHARS, SHORT_LEAF_CHARS).otherwise(LEAF_CHARS)), cut), 1)
+    return F.element_at(F.transform(F.array(F.when(fine, SHORT_LEAF_CHARS).otherwise(LEAF_CHARS)), cut), 1)
 
 
 def tree(leaf: Column) -> Column:
@@ -124,10 +137,13 @@ def edit_digest(docs: DataFrame) -> DataFrame:
     n = F.char_length("text")
     half = F.floor(n / 2).cast("int")
     pairs = with_next(docs).withColumn("edited", F.concat(F.substr("text", F.lit(1), n - half), F.substr("next_text", F.lit(1), half)))
-    grown = pairs.select("doc_id", n.cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), leaves(F.col("text")).alias("own"), leaves(F.col("edited")).alias("new"), leaves(F.col("next_text")).alias("next"))
+    texts = {"own": F.col("text"), "new": F.col("edited"), "next": F.col("next_text")}
+    grown = pairs.select("doc_id", "text", "edited", "next_text", n.cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), leaves(F.col("text")).alias("own"), leaves(F.col("edited")).alias("new"), leaves(F.col("next_text")).alias("next"))
     printed = grown.select("*", *[fingerprint(F.col(c)).alias(f"print_{c}") for c in ("own", "new", "next")])
 
     def near(other: str) -> Column:
-        return F.when(F.col("print_own") == F.col(f"print_{other}"), F.lit(1.0)).otherwise(likeness(flat(F.col("own")), flat(F.col(other))))
+        fine = [flat(leaves(texts[x], F.lit(True))) for x in ("own", other)]
+        alike = F.when(brief(texts["own"]) == brief(texts[other]), likeness(flat(F.col("own")), flat(F.col(other)))).otherwise(likeness(*fine))
+        return F.when(F.col("print_own") == F.col(f"print_{other}"), F.lit(1.0)).otherwise(alike)
 
     return printed.select("doc_id", "n_chars", "edited_sha256", F.col("print_own").alias("fingerprint"), F.col("print_new").alias("edited_fingerprint"), near("new").alias("near_edited"), near("next").alias("near_next"))

@@ -268,6 +268,38 @@ def test_merkle_locates_an_edit(spark):
     assert [[tuple(x) for x in r["c"]] for r in found] == [[(1, 1)], []]
 
 
+def test_merkle_compares_short_with_long_texts_by_one_rule(spark):
+    words = "abcdefghijklmnopqrstuvwxyz" * 8
+    rows = [(1, words[:149]), (2, "0123456789A"), (3, words[:97]), (4, words[:96]), (5, words[:150]), (6, "")]
+    got = {r["doc_id"]: r for r in merkle.edit_digest(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+
+    def cut(t):
+        return {(t[k : k + 4], k) for k in range(0, len(t), 4)}
+
+    def share(a, b):
+        return 2 * len(cut(a) & cut(b)) / (len(cut(a)) + len(cut(b)))
+
+    assert got[1]["near_edited"] == pytest.approx(share(words[:149], words[:75] + "0123456789A")) and got[1]["near_edited"] > 0.5
+    assert got[3]["near_next"] == pytest.approx(share(words[:97], words[:96])) and got[4]["near_next"] == pytest.approx(share(words[:96], words[:150]))
+    assert got[5]["near_edited"] == pytest.approx(share(words[:150], words[:75])) and got[2]["near_next"] == got[5]["near_next"] == 0
+
+
+def test_merkle_locates_an_edit_across_the_short_length(spark):
+    frame = spark.createDataFrame([("one two three four\n" + "x" * 80, "one two three four\n" + "x" * 70)], "a string, b string")
+    fine = merkle.brief(F.col("a")) | merkle.brief(F.col("b"))
+    found = frame.select(merkle.changed_paragraphs(*[merkle.tree(merkle.leaves(F.col(x), fine)) for x in "ab"]).alias("c")).first()["c"]
+    assert [tuple(x) for x in found] == [(0, 1)]
+
+
+def test_merkle_long_sentences_have_the_same_leaves(spark, monkeypatch):
+    frame = spark.createDataFrame([("aé中😀\r" * 300 + "x",), ("y" * 64,)], "t string")
+    leaf = [merkle.leaves(F.col("t"), F.lit(f)) for f in (True, False)]
+    monkeypatch.setattr(merkle, "ONE_PASS", 1_000_000)
+    slow = [merkle.leaves(F.col("t"), F.lit(f)) for f in (True, False)]
+    rows = frame.select(*[x.alias(f"c{k}") for k, x in enumerate(leaf + slow)]).collect()
+    assert all(r["c0"] == r["c2"] and r["c1"] == r["c3"] for r in rows) and len(rows[0]["c0"][0][0]) == 376
+
+
 def test_cover_tree_top_k(spark):
     rng = np.random.default_rng(2)
     rows = [(i, [float(x) for x in rng.normal(size=8)], 0) for i in range(700)]
