@@ -31,12 +31,18 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document with the smallest doc_id of each group."""
-    groups = shared.materialise(ngram_join.near_duplicates(docs), "groups")
-    kept = groups.where("doc_id = component_id").groupBy("doc_id").count()
-    out = docs.join(kept.where("count = 1").select("doc_id"), "doc_id", "left_semi")
-    twice = docs.join(kept.where("count > 1").select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return out.unionByName(twice).unionByName(docs.where("doc_id is null")).select(*docs.columns)
+    """Keep the document with the smallest doc_id of each group, one row of it.
+
+    A row is found by doc_id and text: rows of one doc_id may be in several groups.
+    """
+    keyed = docs.withColumn("text_key", F.xxhash64("text"))
+    groups = shared.materialise(ngram_join.components(keyed), "groups")
+    alone = F.when(F.col("component").isNull(), F.col("text_key")).alias("alone")  # an empty set links with nothing
+    kept = groups.where("doc_id = component_id").groupBy("doc_id", "component", alone, "text_key").count()
+    kept = kept.groupBy("doc_id", "component", "alone").agg(F.min(F.struct("text_key", "count")).alias("one")).select("doc_id", "one.*")
+    out = keyed.join(kept.where("count = 1").select("doc_id", "text_key"), ["doc_id", "text_key"], "left_semi")
+    twice = keyed.join(kept.where("count > 1").select("doc_id", "text_key"), ["doc_id", "text_key"], "left_semi").dropDuplicates(["doc_id", "text_key"])
+    return out.unionByName(twice).unionByName(keyed.where("doc_id is null")).select(*docs.columns)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -144,7 +144,9 @@ def signatures(docs: DataFrame, common: np.ndarray, percent: int, width: int) ->
     """doc_id, n_shingles, a 128-bit fingerprint of the set, its point, and its first coordinates.
 
     A task gives point and coordinates of equal sets once; each class has them somewhere.
+    A column ``text_key`` of ``docs`` stays.
     """
+    keyed = "text_key" in docs.columns
     last = docs.sparkSession.sparkContext.broadcast(common)
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -179,9 +181,11 @@ def signatures(docs: DataFrame, common: np.ndarray, percent: int, width: int) ->
                     "point": pa.array(points, pa.binary()),
                     "first": pa.ListArray.from_arrays(pa.array(upto), pa.array(values.view(np.int64))),
                 }
+                | ({"text_key": batch.column(2)} if keyed else {})
             )
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(sign, "doc_id long, n_shingles long, high long, low long, point binary, first array<long>")
+    extra = ["text_key"] if keyed else []
+    return docs.select(F.col("doc_id").cast("long"), "text", *extra).mapInArrow(sign, "doc_id long, n_shingles long, high long, low long, point binary, first array<long>" + ", text_key long" * keyed)
 
 
 def shared_coordinates(first: DataFrame) -> DataFrame:
@@ -411,13 +415,20 @@ def join_regions(docs: DataFrame, cells: DataFrame, percent: int, width: int) ->
 
 
 def near_duplicates(docs: DataFrame, percent: int = 80, width: int = 5) -> DataFrame:
-    """doc_id, n_shingles, component_id for each row of ``docs(doc_id, text)``.
+    """doc_id, n_shingles, component_id for each row of ``docs(doc_id, text)``."""
+    return components(docs.select("doc_id", "text"), percent, width).select("doc_id", "n_shingles", "component_id")
+
+
+def components(docs: DataFrame, percent: int = 80, width: int = 5) -> DataFrame:
+    """``near_duplicates`` with ``component``, which tells components under one component_id apart.
 
     A class of equal sets is one node, named by half its fingerprint; ``rep`` is its
-    smallest doc_id.
+    smallest doc_id.  A component has the name of one of its nodes, null for an empty
+    set.  A column ``text_key`` of ``docs``, a long, stays.
     """
     shared.bound_batches(docs.sparkSession)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    extra = [c for c in docs.columns if c == "text_key"]
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *extra)
     signs = shared.materialise(signatures(docs, common_hashes(docs, width), percent, width), "signatures")
     linked = signs.where("doc_id is not null and n_shingles > 0").withColumnRenamed("high", "node")
     classes = linked.groupBy("node", "low").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.max("point").alias("point"))
@@ -432,6 +443,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80, width: int = 5) -> DataF
     roots = connected_components(links.select(F.col("node").alias("a"), F.col("root").alias("b"))) if split else links
     roots = roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
     named = roots.join(classes.drop("point"), "node")
-    named = named.join(named.groupBy("root").agg(F.min("rep").alias("component")), "root").select("node", "component")
-    of = signs.select("doc_id", "n_shingles", F.col("high").alias("node"), "low").join(classes.drop("n", "point").join(named, "node", "left"), ["node", "low"], "left")
-    return of.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "rep", "doc_id")).alias("component_id"))
+    named = named.join(named.groupBy("root").agg(F.min("rep").alias("least")), "root").select("node", "root", "least")
+    of = signs.select("doc_id", "n_shingles", F.col("high").alias("node"), "low", *extra).join(classes.drop("n", "point").join(named, "node", "left"), ["node", "low"], "left")
+    least = F.when(F.col("doc_id").isNotNull(), F.coalesce("least", "rep", "doc_id"))
+    return of.select("doc_id", "n_shingles", least.alias("component_id"), F.coalesce("root", "node").alias("component"), *extra)

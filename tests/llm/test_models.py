@@ -102,3 +102,13 @@ def test_near_duplicate_stage_keeps_one_of_repeated_rows(spark):
     docs = spark.createDataFrame([(1, words, "en", "s", 1), (1, words, "en", "s", 1), (2, words + " end", "en", "s", 1), (3, "other", "en", "s", 1), (None, words, "en", "s", 1), (4, None, "en", "s", 1)], "doc_id long, text string, lang string, source string, n_chars long")
     got = sorted((r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, docs, SMALL).collect()), key=str)
     assert got == [1, 3, 4, None]
+
+
+def test_near_duplicate_stage_judges_repeated_doc_ids_by_text(spark):
+    words = [" ".join(f"{c}{i}" for i in range(30)) for c in "abcdef"]
+    rows = [(1, words[0]), (1, words[1]), (2, words[2]), (3, words[2] + " end"), (3, words[3]), (4, words[4]), (4, words[4] + " end"), (4, words[4]), (5, words[5]), (5, words[5]), (6, "!!!"), (6, "???"), (6, "???")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = sorted((r["doc_id"], r["text"]) for r in corpus_pipeline.near_duplicates(spark, docs, SMALL).collect())
+    four = [x for x in got if x[0] == 4]
+    assert [x for x in got if x[0] != 4] == sorted([(1, words[0]), (1, words[1]), (2, words[2]), (3, words[3]), (5, words[5]), (6, "!!!"), (6, "???")])
+    assert len(four) == 1 and four[0][1] in (words[4], words[4] + " end")
