@@ -1,7 +1,7 @@
 """Personal data by patterns, checksums and context, in SQL functions only.
 
 A pattern proposes spans; a check (digits, ranges, Luhn, modulo 97) confirms them;
-for kinds without a check of their own, words just before the span raise the score,
+for kinds without a check of their own, words close to the span raise the score,
 and spans below the threshold are dropped.  Positions count code points.  A
 pattern's pieces and matches come from one split and one extraction, and a running
 sum of their lengths gives each position, so the cost is linear in the text.
@@ -31,7 +31,7 @@ class Kind(NamedTuple):
     hint: str
     check: str
     score: float
-    #: Words that raise the score when they stand just before the span.
+    #: Words that raise the score when they stand close to the span, before or after it.
     context: str = ""
     raised: float = 0.0
 
@@ -86,29 +86,38 @@ ADDED = (
     Kind("ssn", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", r"[0-9]{3}-[0-9]{2}-[0-9]{4}", "none", 0.3, r"(?i)\b(?:ssn|social security|sozialversicherung|seguridad social|sécurité sociale)\b", 0.6),
     Kind("local_phone", r"(?<![0-9+.-])(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9-])", r"[0-9]{3}[ .)-]{1,2}[0-9]{3}[ .-][0-9]{4}", "none", 0.4, r"(?i)\b(?:tel|telefon|phone|call|mobile|fax|téléphone|teléfono)\b", 0.4),
 )
-#: Spans of the added kinds below this score are dropped; characters before a span that count as context.
+#: Spans of the added kinds below this score are dropped; characters before and after a span that count as context.
 THRESHOLD, CONTEXT_CHARS = 0.6, 40
+#: Put behind a pattern, group 1 is the text after the match, which stays unread.
+AFTER = rf"(?=((?s:.{{0,{CONTEXT_CHARS}}})))"
 
 
 def spans_of(text: Column, kind: Kind) -> Column:
     """Confirmed spans of one kind."""
     found = F.regexp_extract_all(text, F.lit(kind.pattern), F.lit(0))
-    pieces = F.zip_with(F.split(text, kind.pattern, -1), found, lambda g, m: F.struct(g.alias("gap"), m.alias("match")))
+    if kind.context:
+        after = F.regexp_extract_all(text, F.lit(kind.pattern + AFTER), F.lit(1))
+        found = F.zip_with(found, after, lambda m, a: F.struct(m.alias("match"), a.alias("after")))
+        pieces = F.zip_with(F.split(text, kind.pattern, -1), found, lambda g, m: F.struct(g.alias("gap"), m["match"].alias("match"), m["after"].alias("after")))
+    else:
+        pieces = F.zip_with(F.split(text, kind.pattern, -1), found, lambda g, m: F.struct(g.alias("gap"), m.alias("match")))
     none = F.array().cast(SPAN)
 
     def step(state, x):
         start = state["at"] + F.length(x["gap"])
         end = start + F.coalesce(F.length(x["match"]), F.lit(0))
         score = F.lit(kind.score)
-        if kind.context:
-            score = F.when(F.right(x["gap"], F.lit(CONTEXT_CHARS)).rlike(kind.context), score + kind.raised).otherwise(score)
         good = x["match"].isNotNull() & CHECKS[kind.check](x["match"])
+        passed = []
         if kind.context:
+            before = F.right(F.concat(state["before"], x["gap"]), F.lit(CONTEXT_CHARS))
+            score = F.when(before.rlike(kind.context) | x["after"].rlike(kind.context), score + kind.raised).otherwise(score)
             good &= score >= THRESHOLD
+            passed = [F.right(F.concat(before, F.coalesce(x["match"], F.lit(""))), F.lit(CONTEXT_CHARS)).alias("before")]
         one = F.array(F.struct(F.lit(kind.name).alias("kind"), start.cast("int").alias("start"), end.cast("int").alias("end"), score.cast("double").alias("score")))
-        return F.struct(end.cast("int").alias("at"), F.when(good, F.concat(state["out"], one.cast(SPAN))).otherwise(state["out"]).alias("out"))
+        return F.struct(end.cast("int").alias("at"), F.when(good, F.concat(state["out"], one.cast(SPAN))).otherwise(state["out"]).alias("out"), *passed)
 
-    first = F.struct(F.lit(0).alias("at"), none.alias("out"))
+    first = F.struct(F.lit(0).alias("at"), none.alias("out"), *[F.lit("").alias("before")] * bool(kind.context))
     all_ = F.aggregate(pieces, first, step, lambda s: s["out"])
     hint = F.instr(text, kind.hint) > 0 if len(kind.hint) == 1 else text.rlike(kind.hint)
     return F.when(hint, all_).otherwise(none)

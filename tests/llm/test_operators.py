@@ -245,6 +245,18 @@ def test_pii(spark, docs, empty):
     assert pii.digest(empty).count() == 0
 
 
+def test_pii_context_is_the_text_around_a_span(spark):
+    rows = [
+        (0, "SSN: 123-45-6789, 987-65-4321"), (1, "Tel 212 555-0100, 212 555-0101 or 212 555-0102"), (2, "123-45-6789 (SSN)"), (3, "212 555-0100 (mobile)"), (4, "123-45-6789, 987-65-4321"),
+        (5, "SSN " + "x" * 40 + " 123-45-6789 " + "y" * 40 + " SSN"), (6, "é 😀 SSN: 123-45-6789, 987-65-4321"), (7, "SSN 123-45-6789" + " 987-65-4321" * 4),
+    ]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r["spans"] for r in pii.digest(frame).collect()}
+    assert got[0] == "ssn:5:16,ssn:18:29" and got[1] == "local_phone:4:16,local_phone:18:30,local_phone:34:46" and got[2] == "ssn:0:11" and got[3] == "local_phone:0:12"
+    assert got[4] == got[5] == "" and got[6] == "ssn:9:20,ssn:22:33" and got[7] == "ssn:4:15,ssn:16:27,ssn:28:39,ssn:40:51"
+    assert {r["text"] for r in pii.redact(frame.where("doc_id = 0")).collect()} == {"SSN: <SSN>, <SSN>"}
+
+
 def test_merkle(spark, docs, empty):
     got = sorted(((r["doc_id"], r["n_chars"], r["edited_sha256"]) for r in merkle.edit_digest(docs).collect()), key=repr)
     rows = [(i, t or "") for i, t in texts(docs)]
