@@ -9,8 +9,8 @@ best scores from one candidate block to the next, so later blocks prune more.
 Defined cases: a null vector, or one with a null or non-finite component, takes no
 part as query or candidate; a null vec_id neither; a candidate with the query's own
 vec_id is its own row; vectors of different lengths never meet; ties go to the
-smaller vec_id; repeated vec_ids are candidates each and ask once, with the smallest
-of their vectors; an empty table gives no rows.
+smaller vec_id; rows that repeat a vec_id are candidates each, and each of their
+different vectors asks for itself; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -198,10 +198,10 @@ def blocks(vectors: DataFrame, size: int) -> DataFrame:
 
 
 def top_k(candidates: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
-    """query_id, rank (from 1), vec_id, score: the ``k`` largest inner products of each query."""
+    """query_id, rank (from 1), vec_id, score: the ``k`` largest inner products of each query row but exact repeats."""
     spark = candidates.sparkSession
     spread = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    queries = queries.groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
+    queries = queries.select("vec_id", "embedding").distinct()
     few = max(1, -(-queries.count() // QUERY_BLOCK))
     asked = shared.materialise(blocks(queries.repartition(few, "vec_id"), QUERY_BLOCK), "queries")
     held = shared.materialise(blocks(candidates, CANDIDATE_BLOCK), "candidates")
@@ -217,13 +217,14 @@ def top_k(candidates: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     together = dealt.unionByName(heads).repartition("query_block", "share").sortWithinPartitions("query_block", "share", "block")
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tree = ids = best = None
+        tree = ids = best = asking = None
 
         def told():
             scores, found = best
             at, rank = np.nonzero(scores > -np.inf)
             own = ids[tree.order]
-            return pa.record_batch({"query_id": pa.array(own[at]), "vec_id": pa.array(found[at, rank]), "score": pa.array(np.rint(scores[at, rank]).astype(np.int64))})
+            # A vec_id may ask with several vectors: a query is its place in its block.
+            return pa.record_batch({"query_block": pa.array(np.full(len(at), asking)), "place": pa.array(tree.order[at]), "query_id": pa.array(own[at]), "vec_id": pa.array(found[at, rank]), "score": pa.array(np.rint(scores[at, rank]).astype(np.int64))})
 
         for batch in batches:
             for row in batch.to_pylist():
@@ -231,7 +232,7 @@ def top_k(candidates: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
                 if row["block"] == -1:  # sorts before the run's candidates
                     if tree is not None:
                         yield told()
-                    ids = np.frombuffer(row["query_ids"], "<i8")
+                    asking, ids = row["query_block"], np.frombuffer(row["query_ids"], "<i8")
                     tree = CoverTree(np.frombuffer(row["query_values"], "<f8").reshape(len(ids), dims))
                     best = np.full((len(ids), k), -np.inf), np.full((len(ids), k), np.iinfo(np.int64).max)
                     continue
@@ -241,6 +242,6 @@ def top_k(candidates: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
         if tree is not None:
             yield told()
 
-    found = together.mapInArrow(search, "query_id long, vec_id long, score long")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    found = together.mapInArrow(search, "query_block long, place long, query_id long, vec_id long, score long")
+    order = Window.partitionBy("query_block", "place").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

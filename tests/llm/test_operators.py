@@ -326,3 +326,15 @@ def test_cover_tree_top_k(spark):
         want = sorted(((i, int(v @ x)) for i, v in good if i != q and len(v) == len(x)), key=lambda p: (-p[1], p[0]))[:5]
         assert got[q][:5] == want
     assert cover_tree.top_k(frame.where("false"), frame.where("false")).count() == 0
+
+
+def test_cover_tree_asks_with_each_vector_of_a_vec_id(spark):
+    rows = [(i, [float(i % 7), float(i % 5), 1.0]) for i in range(1, 60)]
+    asked = [(1000, [1.0, -2.0, 0.5]), (1000, [-1.0, 3.0, 0.25]), (1000, [-1.0, 3.0, 0.25]), (1000, [None, 1.0, 1.0]), (1001, [1.0, 1.0, 1.0]), (1001, None), (1002, [float("-inf"), 0.0, 0.0]), (1002, [0.0, 2.0, 1.0])]
+    schema = "vec_id long, embedding array<float>"
+    got = sorted(tuple(r) for r in cover_tree.top_k(spark.createDataFrame(rows, schema), spark.createDataFrame(asked, schema)).collect())
+    want = []
+    for q, v in {(q, tuple(v)) for q, v in asked if v and None not in v and np.isfinite(v).all()}:
+        best = sorted((-int(256 * np.array(x) @ np.array(v) * 256), i) for i, x in rows)[:5]
+        want += [(q, k + 1, i, -s) for k, (s, i) in enumerate(best)]
+    assert got == sorted(want)
