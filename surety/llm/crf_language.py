@@ -8,7 +8,7 @@ the transitions learn code-switching.  Forward-backward gives each word's label
 probabilities in the whole text; their mean over the words is the document's.
 
 The model is fitted on a bounded sample: ``PER_LANGUAGE`` labelled documents of each
-language and their first ``SAMPLE_CHARS`` characters.  Prediction reads whole texts.
+language, of longer ones about ``SAMPLE_CHARS`` characters from all over the text.  Prediction reads whole texts.
 
 Defined cases: null text, or text without a letter, is ``und`` with score 0; rows
 without lang are never learned from; if nothing can be learned from, every row is
@@ -29,6 +29,9 @@ from surety.llm import shared
 from surety.llm import textbytes as tb
 
 PER_LANGUAGE, SAMPLE_CHARS = 300, 1_500
+#: A long text's sample is drawn in pieces of about so many characters, which end beside words.
+PIECE_CHARS = 150
+_PIECE = rf"(?sU).{{1,{PIECE_CHARS}}}(?!\w)|.{{1,{PIECE_CHARS}}}"
 #: Rows of the n-gram weight table, longest n-gram, least count of a lexicon word.
 TABLE, LONGEST, LEXICON_COUNT = 1 << 16, 4, 2
 SEQUENCE_WORDS, EPOCHS, RATE, DECAY = 48, 60, 0.15, 1e-4
@@ -192,14 +195,21 @@ class LanguageCrf:
 
 
 def training_rows(docs: DataFrame, per_language: int = PER_LANGUAGE) -> list[tuple[str, str]]:
-    """A sample of labelled ``docs(doc_id, text, lang)``, chosen by hash, of bounded size."""
+    """A sample of labelled ``docs(doc_id, text, lang)``, chosen by hash, of bounded size.
+
+    Of a text longer than SAMPLE_CHARS, pieces from all over it are drawn by hash.
+    """
     docs = docs.where("text is not null and lang is not null")
     counts = {r["lang"]: r["count"] for r in docs.groupBy("lang").count().collect()}
     if not counts:
         return []
     share = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, min(1.0, 1.2 * per_language / n))])
     drawn = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1_000_003)) < share[F.col("lang")] * 1_000_003
-    rows = docs.where(drawn).select("lang", F.substr("text", F.lit(1), F.lit(SAMPLE_CHARS)).alias("text")).limit(2 * per_language * len(counts)).collect()
+    pieces = F.transform(F.regexp_extract_all("text", F.lit(_PIECE), F.lit(0)), lambda p, i: F.struct(F.xxhash64("doc_id", i).alias("by"), i.alias("at"), p.alias("piece")))
+    least = F.slice(F.array_sort(pieces), 1, SAMPLE_CHARS // PIECE_CHARS)
+    inside = F.array_sort(F.transform(least, lambda p: F.struct(p["at"].alias("at"), p["piece"].alias("piece"))))
+    sample = F.when(F.char_length("text") <= SAMPLE_CHARS, F.col("text")).otherwise(F.array_join(F.transform(inside, lambda p: p["piece"]), " "))
+    rows = docs.where(drawn).select("lang", sample.alias("text")).limit(2 * per_language * len(counts)).collect()
     return sorted((r["lang"], r["text"]) for r in rows)
 
 

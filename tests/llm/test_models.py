@@ -32,6 +32,17 @@ def test_language_of_odd_rows(spark):
     assert crf_language.identify(docs.where("false"), model).count() == 0 and crf_language.training_rows(docs.where("false").select("doc_id", "text", "lang")) == []
 
 
+def test_language_sample_reaches_the_whole_text(spark):
+    boilerplate = "the house and the garden are here " * 60
+    rows = [(i, boilerplate + " ".join(f"wort{k:04d}é" for k in range(3_000)), "de") for i in range(20)] + [(50, "kurz und gut", "de")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = [t for _, t in crf_language.training_rows(docs)]
+    long = [t for t in got if t != "kurz und gut"]
+    assert len(got) == 21 and max(map(len, got)) <= crf_language.SAMPLE_CHARS + 20
+    places = [int(w[4:8]) for t in long for w in t.split() if w.startswith("wort")]
+    assert min(places) < 400 and max(places) > 2_600 and set(" ".join(long).split()) <= set(" ".join(t for _, t, _ in rows).split())
+
+
 def test_forward_backward_by_enumeration():
     rng = np.random.default_rng(0)
     emit, step, upto = rng.random((5, 2)), rng.random((2, 2)), np.array([0, 3, 3, 5])
