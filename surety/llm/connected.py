@@ -14,12 +14,11 @@ from surety.llm import shared
 
 
 def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
-    """(node, root) for every node of ``edges(a, b)`` but the roots themselves.
+    """(node, root) for every node of ``edges(a, b)`` but the roots themselves; nodes of any type with an order.
 
     ``root`` is the smallest node that edges reach.  Loops and null ends count for
     nothing, repeated edges once; no edges give no rows.
     """
-    spark = edges.sparkSession
     edge = shared.materialise(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
     mark = _mark(edge)
     for _ in range(rounds):
@@ -34,7 +33,7 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         after = shared.materialise(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "edges")
         now = _mark(after)
-        shared.drop_scratch(spark, edge)
+        shared.drop_scratch(edge)
         edge = after
         if now == mark:
             break

@@ -1,4 +1,4 @@
-"""Scratch space that the driver and all executors share."""
+"""Scratch space that the driver and all executors share, and names that cannot clash."""
 
 from __future__ import annotations
 
@@ -11,14 +11,16 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_dir(spark: SparkSession) -> str:
     """URI of the shared scratch folder: ``spark.checkpoint.dir``.
 
-    Only where that setting is absent (single-machine sessions such as tests) a
-    local temporary folder is made and set as the checkpoint folder.
+    Only where that setting is absent and the master is local (one machine, as in
+    tests) a temporary folder is made; on a cluster the setting is asked for.
     """
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    context = spark.sparkContext
+    base = context.getConf().get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="surety-")
-        spark.sparkContext.setCheckpointDir(base)
-        base = spark.sparkContext.getCheckpointDir() or base
+        if not (context.master == "local" or context.master.startswith("local[")):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="surety-"))
+        base = context.getCheckpointDir()
     return base.rstrip("/")
 
 
@@ -35,19 +37,27 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     """
     path = scratch(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._scratch = path
+    return out
 
 
-def drop_scratch(spark: SparkSession, *frames: DataFrame) -> None:
-    """Delete the files behind materialised frames that nothing reads any more."""
-    hadoop = spark.sparkContext._jsc.hadoopConfiguration()
-    path_of = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-    root = shared_dir(spark)
+def drop_scratch(*frames: DataFrame) -> None:
+    """Delete the files behind materialised frames that nothing reads any more; others are left alone."""
     for frame in frames:
-        for file in frame.inputFiles()[:1]:
-            folder = path_of(file).getParent()
-            if folder.toString().replace("file:///", "file:/").startswith(root.replace("file:///", "file:/")):
-                folder.getFileSystem(hadoop).delete(folder, True)
+        if path := getattr(frame, "_scratch", None):
+            spark = frame.sparkSession
+            folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """``name``, or it with a number behind it, whichever no column of ``df`` has (letters' case aside)."""
+    taken, out, k = {c.lower() for c in df.columns}, name, 1
+    while out.lower() in taken:
+        k += 1
+        out = f"{name}_{k}"
+    return out
 
 
 #: Rows of one Arrow batch: a batch of long texts must fit beside an executor's heap.

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import ctypes
 import functools
+import hashlib
 import unicodedata
 from collections.abc import Callable, Iterator
 
@@ -19,9 +20,10 @@ OTHER, LETTER, NUMBER, SPACE = 0, 1, 2, 3
 #: Bytes of text handled at once; a longer document is a slice of its own.
 SLICE_BYTES = 1 << 20
 
-_PRIME = np.uint64(0x9E3779B97F4A7C15)
-_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
-_powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+#: Spans of more bytes are hashed by a digest and compared as bytes, one by one.
+LONG_SPAN = 1 << 10
+#: The bytes of an eight-byte word that belong to a span with so many bytes left.
+_MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 
 
 def buffers(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
@@ -67,15 +69,6 @@ def _trim():
     return getattr(ctypes.CDLL(None), "malloc_trim", None)
 
 
-def _grow_powers(n: int) -> None:
-    if len(_powers[0]) < n:
-        m = max(n + n // 4, 1 << 20)
-        for k, base in enumerate((_PRIME, _INVERSE)):
-            p = np.full(m, base, np.uint64)
-            p[0] = 1
-            _powers[k] = np.multiply.accumulate(p)
-
-
 def mix(h: np.ndarray) -> np.ndarray:
     """The splitmix64 finaliser."""
     h = h ^ (h >> np.uint64(30))
@@ -85,14 +78,34 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
+def words_at(data: np.ndarray) -> np.ndarray:
+    """The little-endian eight-byte word from every place of ``data``, zeros behind its end."""
+    padded = np.concatenate((data, np.zeros(8, np.uint8)))
+    return np.ndarray((len(data) + 1,), "<u8", padded, 0, (1,))
+
+
 def span_hash(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hash of each byte span, by prefix sums of a polynomial modulo 2**64."""
-    n = len(data)
-    _grow_powers(n + 1)
-    total = np.zeros(n + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * _powers[0][:n], out=total[1:])
-    h = (total[ends] - total[starts]) * _powers[1][starts]
-    return mix(h + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+    """64-bit hash of each byte span: eight bytes a step, mixed into a state that began with the length.
+
+    A step is a bijection of the state, so spans of up to eight bytes and one length never
+    collide, and no regular pair of texts does; others do with chance 2**-64 a pair.
+    """
+    size = (ends - starts).astype(np.int64)
+    h = mix(size.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15))
+    if not len(size):
+        return h
+    word, step = words_at(data), 0
+    live = None
+    while True:
+        live = np.flatnonzero((size > 8 * step) & (size <= LONG_SPAN)) if live is None else live[size[live] > 8 * step]
+        if not len(live):
+            break
+        part = word[starts[live] + 8 * step] & _MASKS[np.minimum(size[live] - 8 * step, 8)]
+        h[live] = mix((h[live] ^ part) + np.uint64(0xD6E8FEB86659FD93))
+        step += 1
+    for k in np.flatnonzero(size > LONG_SPAN):
+        h[k] = int.from_bytes(hashlib.blake2b(data[starts[k] : ends[k]].tobytes(), digest_size=8).digest(), "little")
+    return h
 
 
 @functools.cache
@@ -188,22 +201,27 @@ def gather(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 
 
 class SpanTable:
-    """Hash of a span to its encoded values, kept between batches of a worker.
+    """A span's bytes to its encoded values, kept between batches of a worker.
 
-    Open addressing in arrays, probed for all spans at once.  ``limit`` bounds its
-    memory: it starts anew beyond so many spans, which costs time only.
+    Open addressing by hash in arrays, probed for all spans at once; the bytes of every
+    span found are compared, and spans that share a hash with others are kept by their
+    bytes.  ``limit`` spans and ``room`` bytes of spans bound its memory: beyond them it
+    starts anew, which costs time only.
     """
 
-    def __init__(self, dtype, limit: int = 600_000):
-        self.dtype, self.limit = dtype, limit
-        self.bits = max(10, int(limit * 2 - 1).bit_length())
+    def __init__(self, dtype, limit: int = 600_000, room: int = 32 << 20):
+        self.dtype, self.limit, self.room = dtype, limit, room
         self.clear()
 
     def clear(self) -> None:
+        self.bits = 16
         self.keys = np.zeros(1 << self.bits, np.uint64)
         self.slot = np.zeros(1 << self.bits, np.int32)
+        self.hashes = np.zeros(1024, np.uint64)
         self.start, self.size, self.values = np.zeros(1024, np.int64), np.zeros(1024, np.int32), np.zeros(8192, self.dtype)
-        self.rows = self.used = 0
+        self.span_start, self.span_size, self.text = np.zeros(1024, np.int64), np.zeros(1024, np.int64), np.zeros(8192, np.uint8)
+        self.rows = self.used = self.held = 0
+        self.shared: dict[bytes, int] = {}
 
     def find(self, h: np.ndarray) -> np.ndarray:
         """Row of each hash, -1 where it is new."""
@@ -222,49 +240,88 @@ class SpanTable:
             open_ = open_[~hit & (seen != 0)]
         return row
 
-    def add(self, h: np.ndarray, sizes: np.ndarray, values: np.ndarray) -> None:
-        """New distinct hashes with their values, end to end."""
-        n = len(h)
-        for name, need in (("start", self.rows + n), ("size", self.rows + n), ("values", self.used + len(values))):
-            old = getattr(self, name)
-            if need > len(old):
-                new = np.zeros(max(need, 2 * len(old)), old.dtype)
-                new[: len(old)] = old
-                setattr(self, name, new)
-        self.size[self.rows : self.rows + n] = sizes
-        self.start[self.rows : self.rows + n] = self.used + np.cumsum(sizes) - sizes
-        self.values[self.used : self.used + len(values)] = values
+    def _grow(self, name: str, need: int) -> None:
+        old = getattr(self, name)
+        if need > len(old):
+            new = np.zeros(max(need, 2 * len(old)), old.dtype)
+            new[: len(old)] = old
+            setattr(self, name, new)
+
+    def _place(self, h: np.ndarray, rows: np.ndarray) -> None:
         mask = np.uint64((1 << self.bits) - 1)
-        at, left = h & mask, np.arange(n)
+        at, left = h & mask, np.arange(len(h))
         while len(left):
             free = self.keys[at[left]] == 0
             spot, first = np.unique(at[left[free]], return_index=True)
             won = left[free][first]
             self.keys[spot] = h[won]
-            self.slot[spot] = self.rows + won
+            self.slot[spot] = rows[won]
             left = np.setdiff1d(left, won, assume_unique=True)
             at[left] = (at[left] + np.uint64(1)) & mask
+
+    def add(self, spans: list[bytes], sizes: np.ndarray, values: np.ndarray) -> np.ndarray:
+        """Rows for new spans with their values, end to end."""
+        n, long = len(spans), np.fromiter(map(len, spans), np.int64, len(spans))
+        raw = np.frombuffer(b"".join(spans), np.uint8)
+        for name in ("start", "size", "span_start", "span_size", "hashes"):
+            self._grow(name, self.rows + n)
+        self._grow("values", self.used + len(values))
+        self._grow("text", self.held + len(raw) + 8)
+        rows = np.arange(self.rows, self.rows + n)
+        self.size[rows], self.span_size[rows] = sizes, long
+        self.start[rows] = self.used + np.cumsum(sizes) - sizes
+        self.span_start[rows] = self.held + np.cumsum(long) - long
+        self.values[self.used : self.used + len(values)] = values
+        self.text[self.held : self.held + len(raw)] = raw
         self.rows += n
         self.used += len(values)
+        self.held += len(raw)
+        return rows
+
+    def differ(self, row: np.ndarray, word: np.ndarray, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Which spans are not the bytes that their rows keep."""
+        size = ends - starts
+        wrong = self.span_size[row] != size
+        kept = np.ndarray((len(self.text) - 7,), "<u8", self.text, 0, (1,))
+        live, step = np.flatnonzero(~wrong & (size <= LONG_SPAN)), 0
+        while len(live := live[size[live] > 8 * step]):
+            mask = _MASKS[np.minimum(size[live] - 8 * step, 8)]
+            bad = ((kept[self.span_start[row[live]] + 8 * step] ^ word[starts[live] + 8 * step]) & mask) != 0
+            wrong[live[bad]] = True
+            live = live[~bad]
+            step += 1
+        for k in np.flatnonzero(~wrong & (size > LONG_SPAN)):
+            at = self.span_start[row[k]]
+            wrong[k] = not np.array_equal(self.text[at : at + size[k]], data[starts[k] : ends[k]])
+        return np.flatnonzero(wrong)
 
     def rows_of(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, encode: Callable) -> np.ndarray:
         """Row of every span; ``encode(spans as bytes) -> (sizes, values)`` serves the new ones."""
+        if self.rows > self.limit or self.held > self.room:
+            self.clear()
         h = span_hash(data, starts, ends)
         h[h == 0] = 1
         row = self.find(h)
         new = np.flatnonzero(row < 0)
         if len(new):
             fresh, first = np.unique(h[new], return_index=True)
-            if self.rows + len(fresh) > self.limit and self.rows:
-                self.clear()
-                fresh, first = np.unique(h, return_index=True)
-                new = np.arange(len(h))
-            if self.rows + len(fresh) > self.limit:
-                self.bits = int(2 * (self.rows + len(fresh)) - 1).bit_length()
-                self.clear()
             at = new[first]
             raw = data.tobytes()
             spans = [raw[a:b] for a, b in zip(starts[at].tolist(), ends[at].tolist())]
-            self.add(fresh, *encode(spans))
+            rows = self.add(spans, *encode(spans))
+            self.hashes[rows] = fresh
+            if 2 * self.rows > 1 << self.bits:
+                self.bits = int(4 * self.rows - 1).bit_length()
+                self.keys, self.slot = np.zeros(1 << self.bits, np.uint64), np.zeros(1 << self.bits, np.int32)
+                keyed = np.flatnonzero(self.hashes[: self.rows])  # a span kept by its bytes has no hash here
+                self._place(self.hashes[keyed], keyed)
+            else:
+                self._place(fresh, rows)
             row[new] = self.find(h[new])
+        for k in self.differ(row, words_at(data), data, starts, ends):
+            span = data[starts[k] : ends[k]].tobytes()
+            if span not in self.shared:
+                self.shared[span] = int(self.add([span], *encode([span]))[0])
+                self.hashes[self.shared[span]] = 0
+            row[k] = self.shared[span]
         return row
