@@ -10,6 +10,9 @@ a class in one task, are then dealt to the patterns' places by rank.  The last
 pieces of a few documents (a number that does not grow with the corpus) stay out
 of the program and are cut to fill what the patterns leave open.
 
+A sequence is as long as its pieces; whoever writes it pads it to the capacity, unless its
+length is a power of two, which needs no padding.
+
 Defined cases: null text counts as empty and packs its end id alone; null and
 repeated doc_ids are kept as rows of their own; an empty table gives no pieces;
 other columns are ignored.
@@ -29,8 +32,8 @@ from pyspark.sql import functions as F
 from surety.llm import byte_bpe, shared
 from surety.llm import textbytes as tb
 
-#: Pieces that share one ranking group, about.
-GROUP_ROWS = 50_000
+#: Pieces that share one ranking group, at most about and at least about; cuts of a bar's ranks where its patterns are looked up.
+GROUP_ROWS, LEAST_ROWS, RANK_CUTS = 50_000, 64, 64
 #: Documents, about and at most a share of all, whose last pieces fill open sequences.
 FILLERS, FILLER_SHARE = 1_500, 0.2
 #: The smallest opening that is filled.
@@ -38,7 +41,7 @@ SMALLEST_FILL = 32
 
 
 def cut_pieces(docs: DataFrame, tokenizer_path: str, end_id: int | None, capacity: int = 2048, share: float = 0.0) -> DataFrame:
-    """doc_id, start, length, ids_crc32, doc_tokens of each piece of at most ``capacity`` ids.
+    """doc_id, start, length, ids_crc32, doc_tokens of each piece of at most ``capacity`` ids, and its ``lot``, a random number.
 
     A random ``share`` of the documents keeps the ids of its last piece in ``ids``.
     """
@@ -64,10 +67,10 @@ def cut_pieces(docs: DataFrame, tokenizer_path: str, end_id: int | None, capacit
                 last = (start + length == total[doc]) & (length < capacity) & (chance.random(len(doc)) < share)
                 kept = [bytes(raw[4 * a : 4 * b]) if k else None for a, b, k in zip(first.tolist(), (first + length).tolist(), last.tolist())]
                 yield pa.record_batch(
-                    {"doc_id": batch.column(0).slice(lo, hi - lo).take(pa.array(doc)), "start": pa.array(start), "length": pa.array(length), "ids_crc32": pa.array(crc, pa.int64()), "doc_tokens": pa.array(total[doc]), "ids": pa.array(kept, pa.binary())}
+                    {"doc_id": batch.column(0).slice(lo, hi - lo).take(pa.array(doc)), "start": pa.array(start), "length": pa.array(length), "ids_crc32": pa.array(crc, pa.int64()), "doc_tokens": pa.array(total[doc]), "ids": pa.array(kept, pa.binary()), "lot": pa.array(chance.integers(0, 1 << 40, len(doc)))}
                 )
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(cut, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, ids binary")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(cut, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, ids binary, lot long")
 
 
 def price_column(values: np.ndarray, weights: np.ndarray, room: int) -> tuple[float, np.ndarray]:
@@ -78,7 +81,7 @@ def price_column(values: np.ndarray, weights: np.ndarray, room: int) -> tuple[fl
         best[cap] = best[cap - 1]
         if n:
             gain = values[:n] + best[cap - weights[:n]]
-            k = int(gain.argmax())
+            k = n - 1 - int(gain[::-1].argmax())  # of equal gains the longest: short pieces are kept for later
             if gain[k] > best[cap] + 1e-12:
                 best[cap], take[cap] = gain[k], k
     column, cap = np.zeros(len(values)), room
@@ -126,17 +129,15 @@ def first_patterns(demand: np.ndarray, weights: np.ndarray, room: int) -> tuple[
     return columns, turned, x
 
 
-def solve_patterns(demand: np.ndarray, weights: np.ndarray, room: int, gap: float = 2e-3, limit: int = 300) -> tuple[np.ndarray, np.ndarray]:
+def solve_patterns(demand: np.ndarray, weights: np.ndarray, room: int, gap: float = 1e-3) -> tuple[np.ndarray, np.ndarray]:
     """Columns and amounts of the linear program min sum(x), A x = demand, x >= 0.
 
-    Stops once the dual bound is within ``gap`` of the primal value, or after
-    ``limit`` columns; the amounts are feasible at every step.
+    Ends when the dual bound is within ``gap`` of the primal value, or when no column
+    improves it: at the optimum, or (rounding aside) after 50 degenerate steps a class.
     """
     columns, inverse, x = first_patterns(demand, weights, room)
-    bound = float((weights * demand).sum()) / room
-    for _ in range(limit):
-        if x.sum() <= bound * (1 + gap):
-            break
+    bound, stalled, least = float((weights * demand).sum()) / room, 0, float(x.sum())
+    while x.sum() > bound * (1 + gap) and stalled < 50 * len(demand):
         duals = np.maximum(inverse.sum(axis=0), 0)
         value, column = price_column(duals, weights, room)
         bound = max(bound, float((duals * demand).sum()) / max(value, 1e-9))
@@ -155,6 +156,8 @@ def solve_patterns(demand: np.ndarray, weights: np.ndarray, room: int, gap: floa
         inverse[out] = pivot
         columns[:, out] = column
         np.maximum(x, 0, out=x)
+        stalled = 0 if x.sum() < least * (1 - 1e-12) else stalled + 1
+        least = min(least, float(x.sum()))
     return columns, x
 
 
@@ -220,28 +223,31 @@ def deal(pieces: DataFrame, capacity: int = 2048, grain: int = 4) -> DataFrame:
     fillers = pieces.where("ids is not null").collect()  # about FILLERS at most, by the share drawn
     pieces = pieces.where("ids is null").drop("ids").withColumn("bar", F.ceil(F.col("length") / F.lit(grain)).cast("int"))
     counts = {r["bar"]: r["count"] for r in pieces.groupBy("bar").count().collect()}
+    total, partitions = sum(counts.values()), int(spark.conf.get("spark.sql.shuffle.partitions"))
+    group_rows = min(GROUP_ROWS, max(LEAST_ROWS, total // (4 * partitions)))
+    salts, cuts = {b: -(-n // group_rows) for b, n in counts.items()}, {b: -(-n // RANK_CUTS) for b, n in counts.items()}
     rows, upto, first, openings, wanted = [], dict.fromkeys(counts, 0), 0, [], sum(r["length"] for r in fillers)
     for pattern, times in plan_patterns(counts, room):
         slot = 0
         for bar in sorted(pattern, reverse=True):
-            each = pattern[bar]
-            rows.append((bar, upto[bar], upto[bar] + each * times, each, first, slot))
-            upto[bar] += each * times
+            each, lo = pattern[bar], upto[bar]
+            hi = upto[bar] = lo + each * times
+            rows += [(bar, cut, lo, hi, each, first, slot) for cut in range(lo // cuts[bar], (hi - 1) // cuts[bar] + 1)]
             slot += each
         free = capacity - grain * sum(bar * n for bar, n in pattern.items())
         if free >= SMALLEST_FILL:
             openings += [(first + i, free) for i in range(min(times, wanted // free + 1))]
         first += times
     dealt_fillers = fill(sorted(openings, key=lambda o: -o[1]), fillers, first, capacity)
-    # At most one row for each bar of each pattern: its size has a bound that no corpus exceeds.
-    places = spark.createDataFrame(rows, "bar int, lo long, hi long, each long, first long, slot long")
-    groups = max(1, -(-sum(counts.values()) // GROUP_ROWS))
-    salted = pieces.withColumn("salt", F.pmod(F.xxhash64("doc_id", "start"), F.lit(groups)).cast("int"))
+    # At most one row for each bar of each pattern and each cut of each bar: sizes that no corpus exceeds.
+    places = spark.createDataFrame(rows, "bar int, cut long, lo long, hi long, each long, first long, slot long")
+    bars = spark.createDataFrame([(b, salts[b], cuts[b]) for b in counts], "bar int, salts long, step long")
+    salted = pieces.join(F.broadcast(bars), "bar").withColumn("salt", F.pmod(F.xxhash64("doc_id", "start", "lot"), F.col("salts")))
     before = salted.groupBy("bar", "salt").count()
     before = before.select("bar", "salt", (F.sum("count").over(Window.partitionBy("bar").orderBy("salt")) - F.col("count")).alias("before"))
-    ranked = salted.withColumn("rank", F.row_number().over(Window.partitionBy("bar", "salt").orderBy("doc_id", "start", "ids_crc32")) - 1)
-    ranked = ranked.join(before, ["bar", "salt"]).withColumn("rank", F.col("rank") + F.col("before"))
-    dealt = ranked.join(F.broadcast(places), "bar").where("rank >= lo and rank < hi")
+    ranked = salted.withColumn("rank", F.row_number().over(Window.partitionBy("bar", "salt").orderBy("doc_id", "start", "ids_crc32", "lot")) - 1)
+    ranked = ranked.join(before, ["bar", "salt"]).withColumn("rank", F.col("rank") + F.col("before")).withColumn("cut", F.floor(F.col("rank") / F.col("step")))
+    dealt = ranked.join(F.broadcast(places), ["bar", "cut"]).where("rank >= lo and rank < hi")
     dealt = dealt.withColumn("sequence_id", (F.col("first") + F.floor((F.col("rank") - F.col("lo")) / F.col("each"))).cast("long"))
     dealt = dealt.withColumn("place", (F.col("slot") + F.pmod(F.col("rank") - F.col("lo"), F.col("each"))).cast("long"))
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, place long"

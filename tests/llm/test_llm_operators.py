@@ -10,7 +10,8 @@ import pytest
 pytest.importorskip("surety.llm")
 from pyspark.sql import functions as F  # noqa: E402
 
-from surety.llm import connected, contracts, cover_tree, merge_automaton, merkle, ngram_join, packing, pii, token_files, url_filter  # noqa: E402
+from surety.llm import byte_bpe, connected, contracts, cover_tree, merge_automaton, merkle, ngram_join, packing, pii, token_files, url_filter  # noqa: E402
+from surety.llm import textbytes as tb  # noqa: E402
 
 BYTE_BPE, WORD_BPE = "byte_bpe_50k.json", "word_bpe_49k.json"
 BASE = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau upsilon".split()
@@ -57,10 +58,23 @@ def test_token_files_round_trip(spark, docs, empty):
         want.append((i, start, len(ids), crc(ids)))
         start += len(ids)
     assert got == want
+    assert [(i is None) for i, *_ in got] == [i is None for i, *_ in want]
     assert token_files.read_tokens(folder, 5).tolist() == encoded(BYTE_BPE, docs, 2)[1][5][1]
     assert token_files.token_file_digest(spark, token_files.write_token_files(empty, path, end_id=2)).count() == 0
 
 
+def test_token_files_of_extreme_and_hot_ids(spark, monkeypatch):
+    rows = [(-(1 << 63), "least"), (None, "none"), ((1 << 63) - 1, "most"), (7, None)] + [(5, f"text {i % 40}") for i in range(400)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    monkeypatch.setattr(token_files, "READ_DOCS", 16)
+    folder = token_files.write_token_files(frame, contracts.tokenizer_path(BYTE_BPE), end_id=2, segments=6)
+    got = [tuple(r) for r in token_files.token_file_digest(spark, folder).orderBy("start").collect()]
+    assert [r[0] for r in got] == [None, -(1 << 63)] + [5] * 400 + [7, (1 << 63) - 1]
+    assert [r[1] for r in got] == np.concatenate(([0], np.cumsum([r[2] for r in got])))[:-1].tolist()
+    assert sorted((i is None, i or 0, crc(x)) for i, x in encoded(BYTE_BPE, frame, 2)[1]) == sorted((r[0] is None, r[0] or 0, r[3]) for r in got)
+    assert len({r[4] for r in got if r[0] == 5}) > 1  # a hot doc_id is not one task's
+
+
 def test_packing_covers_every_id_once(spark, docs, empty):
     path = contracts.tokenizer_path(BYTE_BPE)
     rows = [r.asDict() for r in packing.pack(docs, path, end_id=1).collect()]
@@ -78,6 +92,8 @@ def test_packing_covers_every_id_once(spark, docs, empty):
         assert r["offset"] == by.get(r["sequence_id"], 0)
         by[r["sequence_id"]] = r["offset"] + r["length"]
     assert max(by.values()) <= 2048
+    waste = sum(2048 - n for n in by.values() if n & (n - 1))
+    assert waste < 2048 + 0.02 * sum(by.values())
     assert packing.pack(empty, path, end_id=1).count() == 0
 
 
@@ -91,7 +107,27 @@ def test_pattern_program_packs_tightly():
         for k, n in pattern.items():
             held[k] = held.get(k, 0) + n * times
     assert held == dict(zip(lengths.tolist(), counts.tolist()))
-    assert sum(t for _, t in plan) * 512 <= 1.03 * float((lengths * counts).sum())
+    assert sum(t for _, t in plan) * 512 <= 1.01 * float((lengths * counts).sum())
+
+
+def test_pattern_program_reaches_its_bound():
+    """Three pieces of 172 to a sequence of 512 are too long, so two: the dual bound proves it, the volume does not."""
+    for lengths, counts, least in (([172], [10], 5), ([200, 300, 12], [7, 7, 7], 7), ([130, 172, 200, 257], [1255, 1229, 1247, 1269], 2090)):
+        weights, demand = np.array(sorted(lengths)), np.array([n for _, n in sorted(zip(lengths, counts))], float)
+        columns, x = packing.solve_patterns(demand, weights, 512, gap=0)
+        assert np.allclose(columns @ x, demand) and (weights @ columns <= 512).all() and np.ceil(x.sum() - 1e-6) <= least
+
+
+def test_priced_column_is_the_best_multiset():
+    rng = np.random.default_rng(6)
+    for _ in range(20):
+        weights = np.unique(rng.integers(2, 20, 4))
+        values = rng.random(len(weights))
+        best = {0: 0.0}
+        for room in range(1, 31):
+            best[room] = max([best[room - 1]] + [values[k] + best[room - w] for k, w in enumerate(weights) if w <= room])
+        value, column = packing.price_column(values, weights, 30)
+        assert abs(value - best[30]) < 1e-9 and weights @ column <= 30 and abs(values @ column - value) < 1e-9
 
 
 def test_merge_automaton_matches_library(docs, empty):
@@ -105,6 +141,71 @@ def test_merge_automaton_matches_library(docs, empty):
     assert merge_automaton.coding_digest(empty, path).count() == 0
 
 
+def thue_morse(n):
+    s = "a"
+    while len(s) < n:
+        s += s.translate(str.maketrans("ab", "ba"))
+    return s
+
+
+def test_spans_that_hashes_could_mix_up(spark, monkeypatch):
+    """Two words that a polynomial modulo 2**64 cannot tell apart, and a table whose hashes collide all the time."""
+    word = thue_morse(2048)
+    other = word.translate(str.maketrans("ab", "ba"))
+    raw = np.frombuffer((word + other).encode(), np.uint8)
+    assert len(set(tb.span_hash(raw, np.array([0, 2048]), np.array([2048, 4096])).tolist())) == 2
+    rows = [(1, word), (2, other), (3, f"{word} {other} x"), (4, "short ab ba aab"), (5, " ".join(f"w{i}" for i in range(300)))]
+    own = tb.span_hash
+    for name, coder in ((BYTE_BPE, byte_bpe.ByteBpe), (WORD_BPE, merge_automaton.WordBpe)):
+        library, _ = encoded(name, spark.createDataFrame(rows, "doc_id long, text string"))
+        for weak in (False, True):
+            monkeypatch.setattr(tb, "span_hash", (lambda *x: own(*x) % np.uint64(7) + np.uint64(1)) if weak else own)
+            made = coder(open(contracts.tokenizer_path(name)).read())
+            for _ in range(2):  # the second time from the table
+                data = np.frombuffer("".join(t for _, t in rows).encode(), np.uint8)
+                ids, upto = made.encode(data, np.concatenate(([0], np.cumsum([len(t) for _, t in rows]))))
+                assert [ids[a:b].tolist() for a, b in zip(upto[:-1], upto[1:])] == [library.encode(t, add_special_tokens=False).ids for _, t in rows]
+
+
+def test_span_table_starts_anew_beyond_its_limits():
+    table = tb.SpanTable(np.uint32, limit=50, room=400)
+    for k in range(6):
+        words = [f"{k}-{i}".encode() for i in range(40)] + [b"y" * 3000, b"", b"same"]
+        data = np.frombuffer(b"".join(words), np.uint8)
+        ends = np.cumsum([len(w) for w in words])
+        row = table.rows_of(data, ends - [len(w) for w in words], ends, lambda s: (np.ones(len(s), np.int64), np.array([sum(x) for x in s], np.uint32)))
+        assert table.values[table.start[row]].tolist() == [sum(w) for w in words]
+
+
+def test_merge_automaton_walks_words_together_as_one_by_one():
+    rng = np.random.default_rng(9)
+    _, machine = encoded_words()
+    words = ["".join(rng.choice(list("abcdetns'é1"), rng.integers(1, 26))).encode() for _ in range(2000)] + [b"x" * 5000, b""]
+    sizes, tokens = machine.accept_all(words, np.uint32)
+    upto = np.concatenate(([0], np.cumsum(sizes)))
+    assert [tokens[a:b].tolist() for a, b in zip(upto[:-1], upto[1:])] == [machine.accept(w) for w in words]
+
+
+def encoded_words():
+    coder = merge_automaton.WordBpe(open(contracts.tokenizer_path(WORD_BPE)).read())
+    return coder, coder.automaton
+
+
+def test_merge_automaton_leaves_out_letters_without_a_symbol():
+    from tokenizers import Tokenizer, models
+
+    letters = merge_automaton.byte_letters()
+    vocab = {c: i for i, c in enumerate("abc")} | {c + "$": 3 + i for i, c in enumerate("ab")} | {"ab": 5, "ab$": 6, "aab$": 7}
+    merges = [("a", "b"), ("a", "b$"), ("a", "ab$")]
+    machine = merge_automaton.MergeAutomaton(vocab, merges, "$")
+    library = Tokenizer(models.BPE(vocab, merges, end_of_word_suffix="$"))
+    words = ["ab", "axb", "abx", "aab", "aaxb", "xx", "abc", "cab", "xab", "c", "x", "aabab"]
+    assert letters[ord("x")] not in vocab
+    assert [machine.accept(w.encode()) for w in words] == [library.encode(w).ids for w in words]
+    sizes, tokens = machine.accept_all([w.encode() for w in words], np.uint32)
+    assert tokens.tolist() == [i for w in words for i in library.encode(w).ids] and sizes.sum() == len(tokens)
+
+
 def test_merge_automaton_of_repeated_symbols():
     letters = merge_automaton.byte_letters()
     vocab = {c: i for i, c in enumerate(letters)} | {c + "$": 256 + i for i, c in enumerate(letters)}
