@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from surety.llm import cover_tree, crf_language, merge_automaton, merkle, ngram_join, packing, pii, quality_gbt, token_files, url_filter
+from surety.llm import cover_tree, crf_language, merge_automaton, merkle, ngram_join, oracle, packing, pii, quality_gbt, token_files, url_filter
 
 
 def tokenizer_path(name: str) -> str:
@@ -94,4 +94,4 @@ def op10_cover_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_token_files, op2_redirects, op3_quality_gbt, op4_merkle, op5_ngram_join, op6_merge_automaton, op7_packing, op8_crf_language, op9_pii, op10_cover_tree)}
 
-SQL: dict[str, str] = {}
+SQL = oracle.SQL

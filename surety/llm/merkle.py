@@ -1,92 +1,119 @@
 """Merkle trees over sections and paragraphs, in SQL functions only.
 
-Blank lines part sections, line feeds paragraphs; full stops, and every LEAF_CHARS
-characters without one, part the leaves of a paragraph.  A node's
-hash covers its children's in order, so equal roots mean equal texts, and two trees
-are compared from the root down: only branches with different hashes are opened,
-which locates an edit to its paragraph.  Short texts have finer leaves; a short and a
-long text are compared by finer leaves of both.  The fingerprint writes the root, then all
-leaves with the tree's shape (``;`` sections, ``/`` paragraphs, ``.`` leaves), from
-which each inner hash follows.
-
-Defined cases: null text counts as empty, whose fingerprint is that of one empty
-leaf; null doc_ids sort first, equal ones by text; a table of one row has itself as
-next document; an empty table gives no rows; other columns are ignored.
+Blank lines part sections, line feeds paragraphs.  A paragraph's hash is the SHA-256 of
+its text, a section's that of its paragraphs' hashes in order, the root that of its
+sections', so equal roots mean equal texts.  The fingerprint writes the root, then eight
+digits of each paragraph's hash in the tree's shape (``;`` sections, ``/`` paragraphs).
+
+Two trees are compared from the root down.  Equal roots end the comparison; of the
+sections, then of the paragraphs of what is left, those with a hash on both sides count
+as shared, unopened; the leaves of the other paragraphs are compared last.  A leaf is a
+word with the blanks before it (every 32 characters of a longer run are one), together
+with the leaf before it in its paragraph: where leaves end follows from the text around
+them, whatever the text's length, so an edit moves none but its own.  The likeness is
+the share of characters, 0 to 1, in what both sides have, each different branch or leaf
+counted once.
+
+Defined cases: null text counts as empty; null doc_ids sort first, equal ones by a hash
+of the text; of equal rows the first have each other as next document; a table of one
+row has itself as next document; texts without a character in common are alike to 0.0,
+and only equal texts to 1.0; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Rows of one range group, about; its size bounds what a window holds.
-GROUP_ROWS, MOST_GROUPS = 3_000, 4_096
-LEAF_CHARS = 32
-#: Texts up to so many characters have finer leaves, and so has what is compared with them.
-SHORT_CHARS, SHORT_LEAF_CHARS = 96, 4
-#: Sentences of more characters are cut in one pass; the leaves are the same.
-ONE_PASS = 1_024
+from surety.llm import shared
 
+#: Fixed values of the rule for leaves: blanks, then the longest piece of a word; the most characters that a leaf weighs.
+BLANK = r" \t\n\x0B\f\r"
+LEAF, MOST_WEIGHT = rf"[{BLANK}]*+[^{BLANK}]{{1,32}}+|[{BLANK}]++", 63
+#: Equal rows that one task writes at most.
+SPREAD = 1_000_000
+HEX, DIGITS = 64, 10
 
-def brief(text: Column) -> Column:
-    """Whether ``text`` has finer leaves by itself."""
-    return F.length(text) <= SHORT_CHARS
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` evaluated once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
 
-def leaves(text: Column, fine: Column | None = None) -> Column:
-    """Hashes of all leaves: sections of paragraphs of chunks.
 
-    A chunk is hashed with its number in its sentence, so chunks and sentences never mix up.
-    Trees that are compared need one rule: ``fine`` if either text is brief; without it, the text's own.
-    """
-    fine = brief(text) if fine is None else fine
+def _hash(kind: str, content: Column) -> Column:
+    return F.sha2(F.concat(F.lit(kind), content), 256)
+
+
+def tree(text: Column) -> Column:
+    """struct(root, sections array<struct(hash, paragraphs array<hash>)>)."""
+    paragraphs = F.transform(F.split(text, "\n\n", -1), lambda s: F.transform(F.split(s, "\n", -1), lambda p: _hash("p", p)))
+    sections = F.transform(paragraphs, lambda p: F.struct(_hash("s", F.array_join(p, ",")).alias("hash"), p.alias("paragraphs")))
+    return let(sections, lambda s: F.struct(_hash("r", F.array_join(F.transform(s, lambda x: x["hash"]), ",")).alias("root"), s.alias("sections")))
+
+
+def fingerprint(of: Column) -> Column:
+    """Text form of a tree."""
+    shape = F.transform(of["sections"], lambda s: F.array_join(F.transform(s["paragraphs"], lambda p: F.substr(p, F.lit(1), F.lit(8))), "/"))
+    return F.concat(of["root"], F.lit("|"), F.array_join(shape, ";"))
+
+
+def _branch(hashed: Column, text: Column) -> Column:
+    """A branch as one string: its hash, which tells branches apart, then its weight and what it opens to."""
+    return F.concat(hashed, F.lpad(F.char_length(text).cast("string"), DIGITS, "0"), text)
 
-    def cut(size: Column) -> Column:
-        def sentence(x: Column) -> Column:
-            starts = F.sequence(F.lit(0), F.floor((F.length(x) - 1) / size).cast("int"))
-            chunks = F.transform(starts, lambda i: F.xxhash64(F.substr(x, i * size + 1, size), i))
-            # A substring is found by counting from the sentence's start, so long sentences are cut in one pass.
-            passed = F.regexp_extract_all(x, F.concat(F.lit("(?s).{1,"), size.cast("string"), F.lit("}")), F.lit(0))
-            passed = F.transform(passed, lambda c, i: F.xxhash64(c, i))
-            return F.when(F.length(x) <= size, F.array(F.xxhash64(x, F.lit(0)))).when(F.length(x) <= ONE_PASS, chunks).otherwise(passed)
 
-        return F.transform(F.split(text, "\n\n", -1), lambda s: F.transform(F.split(s, "\n", -1), lambda p: F.flatten(F.transform(F.split(p, r"\.", -1), sentence))))
+def _inside(branch: Column) -> Column:
+    return F.substr(branch, F.lit(HEX + DIGITS + 1))
 
-    # A lambda's variable is evaluated once; the length itself would be counted anew in every sentence.
-    return F.element_at(F.transform(F.array(F.when(fine, SHORT_LEAF_CHARS).otherwise(LEAF_CHARS)), cut), 1)
 
+def _weight(branches: Column) -> Column:
+    return F.aggregate(branches, F.lit(0).cast("long"), lambda a, x: a + F.substr(x, F.lit(HEX + 1), F.lit(DIGITS)).cast("long"))
 
-def tree(leaf: Column) -> Column:
-    """struct(root, sections array<struct(hash, paragraphs array<bigint>)>) above the leaves."""
-    sections = F.transform(leaf, lambda s: F.transform(s, lambda p: F.xxhash64(p)))
-    return F.struct(
-        F.substr(F.sha2(F.array_join(F.transform(sections, lambda p: F.hex(F.xxhash64(p))), ","), 256), F.lit(1), F.lit(32)).alias("root"),
-        F.transform(sections, lambda p: F.struct(F.xxhash64(p).alias("hash"), p.alias("paragraphs"))).alias("sections"),
+
+def leaves(paragraph: Column) -> Column:
+    """A number for each leaf, its low six bits the leaf's weight."""
+    words = F.regexp_extract_all(paragraph, F.lit(LEAF), F.lit(0))
+    return let(
+        words,
+        lambda w: F.transform(w, lambda x, i: F.shiftleft(F.xxhash64(F.when(i > 0, F.get(w, i - 1)).otherwise(F.lit("")), F.lit(""), x), 6).bitwiseOR(F.least(F.char_length(x), F.lit(MOST_WEIGHT)).cast("long"))),
     )
 
 
-def short(leaf: Column) -> Column:
-    """What the fingerprint keeps of a leaf."""
-    return leaf.bitwiseAND(F.lit(0xFFFFFFFF))
+def _leaf_weight(of: Column) -> Column:
+    return F.aggregate(of, F.lit(0).cast("long"), lambda a, x: a + x.bitwiseAND(F.lit(MOST_WEIGHT)))
+
+
+def likeness(a: Column, a_tree: Column, b: Column, b_tree: Column) -> Column:
+    """Comparison of two texts by their trees, from the root down."""
+
+    def sections(text: Column, of: Column) -> Column:
+        return F.array_distinct(F.zip_with(of["sections"], F.split(text, "\n\n", -1), lambda s, t: _branch(s["hash"], t)))
 
+    def paragraphs(opened: Column) -> Column:
+        return F.array_distinct(F.flatten(F.transform(opened, lambda s: F.transform(F.split(_inside(s), "\n", -1), lambda p: _branch(_hash("p", p), p)))))
 
-def fingerprint(leaf: Column) -> Column:
-    """Text form of the tree over ``leaf``."""
-    sections = F.transform(leaf, lambda s: F.transform(s, lambda p: F.xxhash64(p)))
-    root = F.substr(F.sha2(F.array_join(F.transform(sections, lambda p: F.hex(F.xxhash64(p))), ","), 256), F.lit(1), F.lit(32))
-    shape = F.array_join(F.transform(leaf, lambda s: F.array_join(F.transform(s, lambda p: F.array_join(F.transform(p, lambda x: F.hex(short(x))), ".")), "/")), ";")
-    return F.concat(root, F.lit("|"), shape)
+    def of_leaves(opened: Column) -> Column:
+        return F.array_distinct(F.flatten(F.transform(opened, lambda p: leaves(_inside(p)))))
 
+    def level(x: Column, y: Column, then: Callable[[Column, Column, Column], Column]) -> Column:
+        """``then(weight of what both have, what x has beside it, what y has beside it)``."""
+        pair = F.struct(F.array_intersect(x, y).alias("both"), F.array_except(x, y).alias("x"), F.array_except(y, x).alias("y"))
+        return let(pair, lambda p: then(_weight(p["both"]), p["x"], p["y"]))
 
-def likeness(a: Column, b: Column) -> Column:
-    """Dice share, 0 to 1, of the distinct leaves (flat arrays) in common; without any leaf but empty ones, 0."""
-    return F.coalesce(F.try_divide(F.lit(2.0) * F.size(F.array_intersect(a, b)), F.size(F.array_distinct(a)) + F.size(F.array_distinct(b))), F.lit(0.0))
+    def last(shared_weight: Column, x: Column, y: Column) -> Column:
+        pair = F.struct(of_leaves(x).alias("x"), of_leaves(y).alias("y"))
+        sums = let(pair, lambda p: F.struct((2 * (shared_weight + _leaf_weight(F.array_intersect(p["x"], p["y"])))).alias("shared"), (2 * shared_weight + _leaf_weight(p["x"]) + _leaf_weight(p["y"])).alias("total")))
+        whole = lambda s: F.when(s["total"] == 0, 0.0).when(s["shared"] == s["total"], 1 - F.lit(1.0) / (s["total"] + 1)).otherwise(s["shared"].cast("double") / s["total"])
+        return let(sums, whole)
 
+    def below(weight: Column, x: Column, y: Column) -> Column:
+        pair = F.struct(weight.alias("weight"), paragraphs(x).alias("x"), paragraphs(y).alias("y"))
+        return let(pair, lambda p: level(p["x"], p["y"], lambda w, u, v: last(p["weight"] + w, u, v)))
 
-def flat(leaf: Column) -> Column:
-    """What the fingerprint keeps of all leaves but the empty ones between two full stops or line feeds."""
-    blank = short(F.xxhash64(F.lit(""), F.lit(0)))
-    return F.filter(F.transform(F.flatten(F.flatten(leaf)), short), lambda x: x != blank)
+    opened = let(F.struct(sections(a, a_tree).alias("x"), sections(b, b_tree).alias("y")), lambda p: level(p["x"], p["y"], below))
+    return F.when(a_tree["root"] == b_tree["root"], 1.0).otherwise(opened)
 
 
 def changed_paragraphs(a: Column, b: Column) -> Column:
@@ -94,7 +121,7 @@ def changed_paragraphs(a: Column, b: Column) -> Column:
     place = "array<struct<section:int,paragraph:int>>"
 
     def inside(x, y, s):
-        x, y = F.coalesce(x["paragraphs"], F.array().cast("array<bigint>")), F.coalesce(y["paragraphs"], F.array().cast("array<bigint>"))
+        x, y = F.coalesce(x["paragraphs"], F.array().cast("array<string>")), F.coalesce(y["paragraphs"], F.array().cast("array<string>"))
         marked = F.transform(F.zip_with(x, y, lambda p, q: ~p.eqNullSafe(q)), lambda d, i: F.when(d, F.struct(s.alias("section"), i.alias("paragraph"))))
         return F.filter(marked, lambda m: m.isNotNull()).cast(place)
 
@@ -103,29 +130,44 @@ def changed_paragraphs(a: Column, b: Column) -> Column:
     return F.when(a["root"] == b["root"], F.array().cast(place)).otherwise(F.flatten(opened))
 
 
+KEYS = ["named", "key", "h"]
+
+
 def with_next(docs: DataFrame) -> DataFrame:
-    """doc_id, text (null: empty) and next_text: that of the following doc_id, the first's after the last.
+    """doc_id, text (null: empty), next_text and copies: how many equal rows a row stands for.
 
-    Documents move once, to range groups of a few thousand; a group's last row takes
-    the head of the next group from a table with one row a group.
+    Keys alone are put in order, by range partitions and the first key of the next one;
+    then each different text moves twice, once as itself and once to the row before it.
     """
-    spark = docs.sparkSession
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    docs = docs.withColumn("key", F.coalesce("doc_id", F.lit(-(1 << 63))))
-    groups = min(MOST_GROUPS, max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-docs.count() // GROUP_ROWS)))
-    cuts = docs.select(F.percentile_approx("key", [i / groups for i in range(1, groups)], 10 * groups).alias("cuts")).first()["cuts"] if groups > 1 else []
-    cuts = sorted(set(cuts or []))
-    group = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c <= F.col("key"))) if cuts else F.lit(0)
-    placed = docs.withColumn("group", group)
-    heads = sorted((r["group"], r["head"]) for r in placed.groupBy("group").agg(F.min("key").alias("head")).collect())
-    rows = [(g, heads[(i + 1) % len(heads)][1]) for i, (g, _) in enumerate(heads)]
-    after = F.broadcast(spark.createDataFrame(rows, "group int, head long"))  # MOST_GROUPS rows at most
-    texts = docs.join(F.broadcast(after.select("head").distinct()), F.col("key") == F.col("head")).groupBy("head").agg(F.min("text").alias("head_text"))
-    texts = after.join(texts, "head").select(F.col("group").alias("of"), "head_text", F.lit(True).alias("of_last"))
-    order = Window.partitionBy("group").orderBy("key", "text")
-    led = placed.select("doc_id", "text", "group", F.lead("text").over(order).alias("next_text"))
-    led = led.join(texts, (F.col("group") == F.col("of")) & (F.col("next_text").isNull() == F.col("of_last")), "left")
-    return led.select("doc_id", "text", F.coalesce("next_text", "head_text").alias("next_text"))
+    text = F.coalesce("text", F.lit(""))
+    docs = docs.select(F.col("doc_id").isNotNull().alias("named"), F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("key"), F.xxhash64(text).alias("h"), text.alias("text"))
+    texts = docs.groupBy(*KEYS).agg(F.first("text").alias("text"))
+    counted = docs.groupBy(*KEYS).agg(F.count("*").alias("m"))
+    placed = shared.materialise(counted.repartitionByRange(*KEYS).withColumn("range", F.spark_partition_id()), "order")
+    after = F.lead(F.struct(*KEYS)).over(Window.partitionBy("range").orderBy(*KEYS))
+    heads = placed.groupBy("range").agg(F.min(F.struct(*KEYS)).alias("head"))  # one row a range
+    by_range = Window.orderBy("range")
+    heads = heads.select("range", F.coalesce(F.lead("head").over(by_range), F.first("head").over(by_range.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).alias("head"))
+    pairs = placed.select(*KEYS, "m", "range", after.alias("after")).join(heads, "range").withColumn("after", F.coalesce("after", "head"))
+    pairs = pairs.select(*[F.col(c).alias(f"own_{c}") for c in KEYS], "m", *[F.col("after")[c].alias(c) for c in KEYS])
+    led = pairs.join(texts, KEYS).select(*[F.col(f"own_{c}").alias(c) for c in KEYS], "m", F.col("text").alias("next_text"))
+    both = texts.join(led, KEYS)
+    one = F.struct("next_text", F.lit(1).cast("long").alias("copies"))
+    more = F.struct(F.col("text").alias("next_text"), (F.col("m") - 1).alias("copies"))
+    out = both.withColumn("led", F.explode(F.when(F.col("m") > 1, F.array(one, more)).otherwise(F.array(one))))
+    return out.select(F.when(F.col("named"), F.col("key")).alias("doc_id"), "text", "led.*")
+
+
+def repeated(rows: DataFrame, spread: int) -> DataFrame:
+    """As many of each row as its column ``copies`` says; beyond ``spread`` of them several tasks write them."""
+    names = [c for c in rows.columns if c != "copies"]
+    several = lambda n: F.explode(F.sequence(F.lit(1).cast("long"), n))
+    if not rows.where(F.col("copies") > spread).limit(1).count():
+        return rows.withColumn("copy", several(F.col("copies"))).select(*names)
+    few = rows.where(F.col("copies") <= spread).withColumn("copy", several(F.col("copies"))).select(*names)
+    lots = rows.where(F.col("copies") > spread).withColumn("lot", several(F.ceil(F.col("copies") / spread))).repartition("lot", *names)
+    lots = lots.withColumn("copies", F.least(F.lit(spread).cast("long"), F.col("copies") - (F.col("lot") - 1) * spread))
+    return few.unionByName(lots.withColumn("copy", several(F.col("copies"))).select(*names))
 
 
 def edit_digest(docs: DataFrame) -> DataFrame:
@@ -137,13 +179,11 @@ def edit_digest(docs: DataFrame) -> DataFrame:
     n = F.char_length("text")
     half = F.floor(n / 2).cast("int")
     pairs = with_next(docs).withColumn("edited", F.concat(F.substr("text", F.lit(1), n - half), F.substr("next_text", F.lit(1), half)))
-    texts = {"own": F.col("text"), "new": F.col("edited"), "next": F.col("next_text")}
-    grown = pairs.select("doc_id", "text", "edited", "next_text", n.cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), leaves(F.col("text")).alias("own"), leaves(F.col("edited")).alias("new"), leaves(F.col("next_text")).alias("next"))
-    printed = grown.select("*", *[fingerprint(F.col(c)).alias(f"print_{c}") for c in ("own", "new", "next")])
-
-    def near(other: str) -> Column:
-        fine = [flat(leaves(texts[x], F.lit(True))) for x in ("own", other)]
-        alike = F.when(brief(texts["own"]) == brief(texts[other]), likeness(flat(F.col("own")), flat(F.col(other)))).otherwise(likeness(*fine))
-        return F.when(F.col("print_own") == F.col(f"print_{other}"), F.lit(1.0)).otherwise(alike)
-
-    return printed.select("doc_id", "n_chars", "edited_sha256", F.col("print_own").alias("fingerprint"), F.col("print_new").alias("edited_fingerprint"), near("new").alias("near_edited"), near("next").alias("near_next"))
+    grown = pairs.select("*", n.cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), *[tree(F.col(c)).alias(f"tree_{c}") for c in ("text", "edited", "next_text")])
+    near = lambda other: likeness(F.col("text"), F.col("tree_text"), F.col(other), F.col(f"tree_{other}"))
+    found = grown.select(
+        "doc_id", "n_chars", "edited_sha256", fingerprint(F.col("tree_text")).alias("fingerprint"), fingerprint(F.col("tree_edited")).alias("edited_fingerprint"),
+        near("edited").alias("near_edited"), near("next_text").alias("near_next"), "copies",
+    )
+    done = shared.materialise(found, "merkle")
+    return repeated(done, SPREAD)

@@ -358,59 +358,87 @@ def test_pii_context_is_the_text_around_a_span(spark):
     assert {r["text"] for r in pii.redact(frame.where("doc_id = 0")).collect()} == {"SSN: <SSN>, <SSN>"}
 
 
-def test_merkle(spark, docs, empty):
-    got = sorted(((r["doc_id"], r["n_chars"], r["edited_sha256"]) for r in merkle.edit_digest(docs).collect()), key=repr)
-    rows = [(i, t or "") for i, t in texts(docs)]
-    want = []
+def brute_tree(t):
+    sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    paragraphs = [[sha("p" + p) for p in s.split("\n")] for s in t.split("\n\n")]
+    root = sha("r" + ",".join(sha("s" + ",".join(s)) for s in paragraphs))
+    return root + "|" + ";".join("/".join(p[:8] for p in s) for s in paragraphs)
+
+
+def brute_likeness(a, b):
+    if a == b:
+        return 1.0
+
+    def leaves(p):
+        words = re.findall(r"[ \t\n\x0b\f\r]*[^ \t\n\x0b\f\r]{1,32}|[ \t\n\x0b\f\r]+", p)
+        return {(words[k - 1] if k else "", w) for k, w in enumerate(words)}
+
+    size = lambda xs: sum(map(len, xs))
+    x, y = set(a.split("\n\n")), set(b.split("\n\n"))
+    both = size(x & y)
+    x, y = ({p for s in z for p in s.split("\n")} for z in (x - y, y - x))
+    both += size(x & y)
+    x, y = (set().union(*map(leaves, z)) for z in (x - y, y - x))
+    weight = lambda z: sum(min(63, len(w)) for _, w in z)
+    shared, total = 2 * (both + weight(x & y)), 2 * both + weight(x) + weight(y)
+    return 0.0 if not total else 1 - 1 / (total + 1) if shared == total else shared / total
+
+
+def brute_edits(rows):
+    """Rows in the order of doc_ids, which differ or have equal texts."""
+    out = []
     for k, (i, t) in enumerate(rows):
         following = rows[(k + 1) % len(rows)][1]
         edited = t[: len(t) - len(t) // 2] + following[: len(t) // 2]
-        want.append((i, len(t), hashlib.sha256(edited.encode()).hexdigest()))
-    assert got == sorted(want, key=repr)
+        out.append((i, len(t), hashlib.sha256(edited.encode()).hexdigest(), brute_tree(t), brute_tree(edited), brute_likeness(t, edited), brute_likeness(t, following)))
+    return sorted(out, key=repr)
+
+
+def test_merkle(spark, docs, empty):
+    rows = [(i, t or "") for i, t in texts(docs)]
+    got = sorted((tuple(r) for r in merkle.edit_digest(docs.withColumn("h", F.lit("clash")).withColumn("key", F.lit(1))).collect()), key=repr)
+    assert got == brute_edits(rows)
     prints = {}
-    for r in merkle.edit_digest(docs).collect():
-        assert 0 <= r["near_edited"] <= 1 and 0 <= r["near_next"] <= 1
-        prints.setdefault(r["doc_id"], set()).add(r["fingerprint"])
+    for r in got:
+        prints.setdefault(r[0], set()).add(r[3])
     assert prints[5] == prints[6] != prints[7] and prints[0] == prints[1] != prints[2]
     assert merkle.edit_digest(empty).count() == 0 and merkle.edit_digest(docs.where("doc_id = 5")).first()["near_next"] == 1.0
 
 
-def test_merkle_locates_an_edit(spark):
-    frame = spark.createDataFrame([("one.\ntwo.\n\nthree\nfour", "one.\ntwo.\n\nthree\nFOUR"), ("same", "same")], "a string, b string")
-    found = frame.select(merkle.changed_paragraphs(merkle.tree(merkle.leaves(F.col("a"))), merkle.tree(merkle.leaves(F.col("b")))).alias("c")).collect()
-    assert [[tuple(x) for x in r["c"]] for r in found] == [[(1, 1)], []]
-
-
-def test_merkle_compares_short_with_long_texts_by_one_rule(spark):
-    words = "abcdefghijklmnopqrstuvwxyz" * 8
-    rows = [(1, words[:149]), (2, "0123456789A"), (3, words[:97]), (4, words[:96]), (5, words[:150]), (6, "")]
-    got = {r["doc_id"]: r for r in merkle.edit_digest(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-
-    def cut(t):
-        return {(t[k : k + 4], k) for k in range(0, len(t), 4)}
-
-    def share(a, b):
-        return 2 * len(cut(a) & cut(b)) / (len(cut(a)) + len(cut(b)))
-
-    assert got[1]["near_edited"] == pytest.approx(share(words[:149], words[:75] + "0123456789A")) and got[1]["near_edited"] > 0.5
-    assert got[3]["near_next"] == pytest.approx(share(words[:97], words[:96])) and got[4]["near_next"] == pytest.approx(share(words[:96], words[:150]))
-    assert got[5]["near_edited"] == pytest.approx(share(words[:150], words[:75])) and got[2]["near_next"] == got[5]["near_next"] == 0
+def test_merkle_of_edited_texts(spark):
+    rng = np.random.default_rng(12)
+    rows = []
+    for i in range(60):
+        lines = [" ".join(BASE[k] for k in rng.integers(0, len(BASE), int(rng.integers(0, 9)))) for _ in range(int(rng.integers(1, 7)))]
+        rows.append((i, "".join(x + ["\n", "\n\n", "\n\n\n"][int(rng.integers(3))] for x in lines)))
+        if i % 3 == 0:  # a near copy of the row before it
+            rows[-1] = (i, rows[-2][1].replace("beta", "delta", 1) if i else "x" * 200)
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert sorted((tuple(r) for r in merkle.edit_digest(frame).collect()), key=repr) == brute_edits(rows)
 
 
-def test_merkle_locates_an_edit_across_the_short_length(spark):
-    frame = spark.createDataFrame([("one two three four\n" + "x" * 80, "one two three four\n" + "x" * 70)], "a string, b string")
-    fine = merkle.brief(F.col("a")) | merkle.brief(F.col("b"))
-    found = frame.select(merkle.changed_paragraphs(*[merkle.tree(merkle.leaves(F.col(x), fine)) for x in "ab"]).alias("c")).first()["c"]
-    assert [tuple(x) for x in found] == [(0, 1)]
+def test_merkle_of_repeated_rows(spark, monkeypatch):
+    rows = [(1, "one two")] * 7 + [(2, "two three")] + [(None, "none")] * 3
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    want = brute_edits(sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0)))
+    assert sorted((tuple(r) for r in merkle.edit_digest(frame).collect()), key=repr) == want
+    monkeypatch.setattr(merkle, "SPREAD", 2)
+    assert sorted((tuple(r) for r in merkle.edit_digest(frame).collect()), key=repr) == want
 
 
-def test_merkle_long_sentences_have_the_same_leaves(spark, monkeypatch):
-    frame = spark.createDataFrame([("aé中😀\r" * 300 + "x",), ("y" * 64,)], "t string")
-    leaf = [merkle.leaves(F.col("t"), F.lit(f)) for f in (True, False)]
-    monkeypatch.setattr(merkle, "ONE_PASS", 1_000_000)
-    slow = [merkle.leaves(F.col("t"), F.lit(f)) for f in (True, False)]
-    rows = frame.select(*[x.alias(f"c{k}") for k, x in enumerate(leaf + slow)]).collect()
-    assert all(r["c0"] == r["c2"] and r["c1"] == r["c3"] for r in rows) and len(rows[0]["c0"][0][0]) == 376
+def test_merkle_locates_an_edit(spark):
+    frame = spark.createDataFrame([("one.\ntwo.\n\nthree\nfour", "one.\ntwo.\n\nthree\nFOUR"), ("same", "same"), ("one two three four\n" + "x" * 80, "one two three four\n" + "x" * 70)], "a string, b string")
+    found = frame.select(merkle.changed_paragraphs(merkle.tree(F.col("a")), merkle.tree(F.col("b"))).alias("c")).collect()
+    assert [[tuple(x) for x in r["c"]] for r in found] == [[(1, 1)], [], [(0, 1)]]
+
+
+def test_merkle_has_one_rule_for_all_lengths(spark):
+    """A word put into a text leaves all other leaves alone, whatever the lengths on either side."""
+    words = " ".join(f"{a}{b}" for a in BASE for b in BASE[:9])
+    pairs = [(words[:n], "extra " + words[:n]) for n in (20, 90, 100, 150, 900)]
+    frame = spark.createDataFrame(pairs, "a string, b string")
+    got = [r["x"] for r in frame.select(merkle.likeness(F.col("a"), merkle.tree(F.col("a")), F.col("b"), merkle.tree(F.col("b"))).alias("x")).collect()]
+    assert got == [brute_likeness(a, b) for a, b in pairs] and got[2] > 0.75 and got == sorted(got)
 
 
 def test_cover_tree_top_k(spark):
