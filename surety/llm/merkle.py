@@ -133,8 +133,8 @@ def changed_paragraphs(a: Column, b: Column) -> Column:
 KEYS = ["named", "key", "h"]
 
 
-def with_next(docs: DataFrame) -> DataFrame:
-    """doc_id, text (null: empty), next_text and copies: how many equal rows a row stands for.
+def with_next(docs: DataFrame) -> tuple[DataFrame, int]:
+    """doc_id, text (null: empty), next_text and copies: how many equal rows a row stands for; and the most copies of any.
 
     Keys alone are put in order, by range partitions and the first key of the next one;
     then each different text moves twice, once as itself and once to the row before it.
@@ -155,15 +155,18 @@ def with_next(docs: DataFrame) -> DataFrame:
     one = F.struct("next_text", F.lit(1).cast("long").alias("copies"))
     more = F.struct(F.col("text").alias("next_text"), (F.col("m") - 1).alias("copies"))
     out = both.withColumn("led", F.explode(F.when(F.col("m") > 1, F.array(one, more)).otherwise(F.array(one))))
-    return out.select(F.when(F.col("named"), F.col("key")).alias("doc_id"), "text", "led.*")
+    return out.select(F.when(F.col("named"), F.col("key")).alias("doc_id"), "text", "led.*"), placed.agg(F.max("m")).first()[0] or 0
 
 
-def repeated(rows: DataFrame, spread: int) -> DataFrame:
-    """As many of each row as its column ``copies`` says; beyond ``spread`` of them several tasks write them."""
+def repeated(rows: DataFrame, most: int, spread: int) -> DataFrame:
+    """As many of each row as its column ``copies`` says, ``most`` at most; beyond ``spread`` of them several tasks write them."""
     names = [c for c in rows.columns if c != "copies"]
     several = lambda n: F.explode(F.sequence(F.lit(1).cast("long"), n))
-    if not rows.where(F.col("copies") > spread).limit(1).count():
+    if most <= 1:
+        return rows.select(*names)
+    if most <= spread:
         return rows.withColumn("copy", several(F.col("copies"))).select(*names)
+    rows = shared.materialise(rows, "merkle")
     few = rows.where(F.col("copies") <= spread).withColumn("copy", several(F.col("copies"))).select(*names)
     lots = rows.where(F.col("copies") > spread).withColumn("lot", several(F.ceil(F.col("copies") / spread))).repartition("lot", *names)
     lots = lots.withColumn("copies", F.least(F.lit(spread).cast("long"), F.col("copies") - (F.col("lot") - 1) * spread))
@@ -178,12 +181,12 @@ def edit_digest(docs: DataFrame) -> DataFrame:
     """
     n = F.char_length("text")
     half = F.floor(n / 2).cast("int")
-    pairs = with_next(docs).withColumn("edited", F.concat(F.substr("text", F.lit(1), n - half), F.substr("next_text", F.lit(1), half)))
+    pairs, most = with_next(docs)
+    pairs = pairs.withColumn("edited", F.concat(F.substr("text", F.lit(1), n - half), F.substr("next_text", F.lit(1), half)))
     grown = pairs.select("*", n.cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), *[tree(F.col(c)).alias(f"tree_{c}") for c in ("text", "edited", "next_text")])
     near = lambda other: likeness(F.col("text"), F.col("tree_text"), F.col(other), F.col(f"tree_{other}"))
     found = grown.select(
         "doc_id", "n_chars", "edited_sha256", fingerprint(F.col("tree_text")).alias("fingerprint"), fingerprint(F.col("tree_edited")).alias("edited_fingerprint"),
         near("edited").alias("near_edited"), near("next_text").alias("near_next"), "copies",
     )
-    done = shared.materialise(found, "merkle")
-    return repeated(done, SPREAD)
+    return repeated(found, most, SPREAD)
