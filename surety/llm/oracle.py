@@ -45,4 +45,10 @@ def _merkle() -> str:
         FROM d JOIN alike e ON e.doc_id = d.doc_id AND e.kind = 'edited' JOIN alike n ON n.doc_id = d.doc_id AND n.kind = 'next'"""
 
 
-SQL: dict[str, str] = {"op4_merkle": _merkle()}
+_COVER = """WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS HUGEINT)) AS e FROM embeddings
+        WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+    scored AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(c.e, lambda x, i: x * q.e[i])) AS BIGINT) AS score
+        FROM (SELECT DISTINCT * FROM v WHERE vec_id % 50 = 0) q JOIN v c ON c.vec_id <> q.vec_id AND len(c.e) = len(q.e))
+    SELECT query_id, CAST(r AS INTEGER) AS rank, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS r FROM scored) WHERE r <= 5"""
+
+SQL: dict[str, str] = {"op4_merkle": _merkle(), "op10_cover_tree": _COVER}

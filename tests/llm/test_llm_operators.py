@@ -1,6 +1,7 @@
 """Each operator against a brute-force version on small tables with awkward rows."""
 
 import hashlib
+import math
 import re
 import zlib
 
@@ -457,13 +458,39 @@ def test_cover_tree_top_k(spark):
     assert cover_tree.top_k(frame.where("false"), frame.where("false")).count() == 0
 
 
+def brute_top(rows, asked, k=5):
+    whole = lambda v: [math.floor(256 * float(np.float32(x))) for x in v]
+    fits = lambda i, v: i is not None and v is not None and None not in v and np.isfinite(v).all()
+    points = [(i, whole(v)) for i, v in rows if fits(i, v)]
+    out = []
+    for q, v in {(q, tuple(v)) for q, v in asked if fits(q, v)}:
+        v = whole(v)
+        clipped = lambda x: max(-(1 << 63), min((1 << 63) - 1, x))
+        best = sorted((-clipped(sum(a * b for a, b in zip(v, p))), i) for i, p in points if i != q and len(p) == len(v))[:k]
+        out += [(q, r + 1, i, -s) for r, (s, i) in enumerate(best)]
+    return sorted(out)
+
+
+def test_cover_tree_in_many_cells(spark, monkeypatch):
+    """Clusters in cells and parts of cells, several query blocks, a small sample, lengths that it lacks, and long vectors."""
+    monkeypatch.setattr(cover_tree, "LEAST_ROWS", 60)
+    monkeypatch.setattr(cover_tree, "SAMPLE", 200)
+    monkeypatch.setattr(cover_tree, "QUERY_BLOCK", 16)
+    rng = np.random.default_rng(3)
+    middle = rng.normal(size=(12, 6))
+    rows = [(i, [float(x) for x in middle[i % 12] + 0.05 * rng.normal(size=6)]) for i in range(900)]
+    rows += [(2000 + i, [0.25] * 6) for i in range(150)] + [(3000 + i, [float(x) for x in rng.normal(size=2)]) for i in range(7)]
+    rows += [(4000, [3e5, 1.0, -2e5, 7.0, 0.5, 1e6]), (4050, [-3e5, 1e7, 2e5, 7.0, 0.5, 1e6]), (4100, [3e17, -1e18, 2e5, 7.0, 0.5, 1e6])]
+    schema = "vec_id long, embedding array<float>"
+    frame = spark.createDataFrame(rows, schema).repartition(5)
+    asked = [r for r in rows if r[0] % 10 == 0]
+    got = sorted(tuple(r) for r in cover_tree.top_k(frame, spark.createDataFrame(asked, schema)).collect())
+    assert got == brute_top(rows, asked)
+
+
 def test_cover_tree_asks_with_each_vector_of_a_vec_id(spark):
     rows = [(i, [float(i % 7), float(i % 5), 1.0]) for i in range(1, 60)]
-    asked = [(1000, [1.0, -2.0, 0.5]), (1000, [-1.0, 3.0, 0.25]), (1000, [-1.0, 3.0, 0.25]), (1000, [None, 1.0, 1.0]), (1001, [1.0, 1.0, 1.0]), (1001, None), (1002, [float("-inf"), 0.0, 0.0]), (1002, [0.0, 2.0, 1.0])]
+    asked = [(50, [1.0, 2.0, 3.0]), (50, [0.5, None, 1.0]), (1000, [1.0, -2.0, 0.5]), (1000, [-1.0, 3.0, 0.25]), (1000, [-1.0, 3.0, 0.25]), (1000, [None, 1.0, 1.0]), (1001, [1.0, 1.0, 1.0]), (1001, None), (1002, [float("-inf"), 0.0, 0.0]), (1002, [0.0, 2.0, 1.0])]
     schema = "vec_id long, embedding array<float>"
     got = sorted(tuple(r) for r in cover_tree.top_k(spark.createDataFrame(rows, schema), spark.createDataFrame(asked, schema)).collect())
-    want = []
-    for q, v in {(q, tuple(v)) for q, v in asked if v and None not in v and np.isfinite(v).all()}:
-        best = sorted((-int(256 * np.array(x) @ np.array(v) * 256), i) for i, x in rows)[:5]
-        want += [(q, k + 1, i, -s) for k, (s, i) in enumerate(best)]
-    assert got == sorted(want)
+    assert got == brute_top(rows, asked)
