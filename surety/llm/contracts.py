@@ -23,14 +23,7 @@ def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_file_digest(spark, folder)
 
 
-#: The rules of the URL query.
-URL_RULES = (
-    url_filter.Rule("com", "/en/", "block"),
-    url_filter.Rule("example.com", "/en/7", "allow"),
-    url_filter.Rule("net", "/de/", "allow"),
-    url_filter.Rule("example.net", "/de/8", "block"),
-    url_filter.Rule("org", "/es/", "block"),
-)
+URL_RULES = oracle.URL_RULES
 
 
 def op2_redirects(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from surety.llm import merkle
+from surety.llm import merkle, url_filter
 
 _BLANK = merkle.BLANK
 
@@ -51,4 +51,69 @@ _COVER = """WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(f
         FROM (SELECT DISTINCT * FROM v WHERE vec_id % 50 = 0) q JOIN v c ON c.vec_id <> q.vec_id AND len(c.e) = len(q.e))
     SELECT query_id, CAST(r AS INTEGER) AS rank, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS r FROM scored) WHERE r <= 5"""
 
-SQL: dict[str, str] = {"op4_merkle": _merkle(), "op10_cover_tree": _COVER}
+
+
+def _quoted(pattern: str) -> str:
+    return "'" + pattern.replace("'", "''") + "'"
+
+
+def urls(rules) -> str:
+    """Links read tag by tag, resolved, and followed in both directions."""
+    q = _quoted
+    host = lambda u: f"coalesce(translate(regexp_extract({u}, {q(url_filter.SPLIT)}, 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '')"
+    path = lambda u: f"coalesce(regexp_extract({u}, {q(url_filter.SPLIT)}, 2), '')"
+    query = lambda u: f"coalesce(regexp_extract({u}, {q(url_filter.QUERY)}, 1), '')"
+    address = lambda h, p, s: f"CASE WHEN {h} <> '' THEN {h} || CASE WHEN {p} = '' THEN '/' ELSE {p} END || CASE WHEN {s} = '' THEN '' ELSE '?' || {s} END END"
+
+    def first(value) -> str:
+        fits = [f"WHEN (host = {q(r.host)} OR ends_with(host, {q('.' + r.host)})) AND starts_with(path, {q(r.path)}) THEN {q(value(r))}" for r in sorted(rules, key=lambda r: (len(r.host + r.path), r), reverse=True)]
+        return f"CASE {' '.join(fits)} END"
+
+    def value(tag: str, attribute: str) -> str:
+        out = f"regexp_replace(regexp_extract({tag}, {q(attribute)}, 1), {q(url_filter.QUOTES)}, '', 'g')"
+        for entity, letter in url_filter.ENTITIES:
+            out = f"regexp_replace({out}, {q(entity)}, {q(letter)}, 'g')"
+        return out
+
+    def undotted(p: str) -> str:
+        kept = f"list_reduce(string_split(substr({p}, 2), '/'), lambda a, x: CASE WHEN x = '..' THEN regexp_replace(a, '/?[^/]*$', '') WHEN x = '.' THEN a ELSE a || '/' || x END, '')"
+        return f"CASE WHEN regexp_matches({p}, {q(url_filter.DOTS)}) THEN {kept} || CASE WHEN regexp_matches({p}, '/\\.\\.?$') THEN '/' ELSE '' END ELSE {p} END"
+
+    def resolved(to: str, h: str, p: str, s: str) -> str:
+        whole = f"CASE WHEN starts_with({to}, '//') THEN 'http:' || {to} WHEN regexp_matches({to}, {q(url_filter.ABSOLUTE)}) THEN {to} END"
+        bare = f"regexp_extract({to}, '(?s)^[^?#]*')"
+        folder = f"regexp_replace({p}, '[^/]*$', '')"
+        joined = f"CASE WHEN {folder} = '' THEN '/' ELSE {folder} END || {bare}"
+        below = f"CASE WHEN {bare} = '' THEN {p} WHEN starts_with({bare}, '/') THEN {undotted(bare)} ELSE {undotted(f'({joined})')} END"
+        own = f"CASE WHEN regexp_matches({to}, {q(url_filter.SCHEME)}) THEN '' ELSE {h} END"
+        asked = f"CASE WHEN starts_with({to}, '#') OR {to} = '' THEN {s} ELSE {query(to)} END"
+        return f"{{'host': CASE WHEN {whole} IS NOT NULL THEN {host(whole)} ELSE {own} END, 'path': CASE WHEN {whole} IS NOT NULL THEN {path(whole)} ELSE {below} END, 'query': CASE WHEN {whole} IS NOT NULL THEN {query(whole)} ELSE {asked} END}}"
+
+    refresh = f"regexp_replace(regexp_extract({value('t', url_filter.CONTENT)}, {q(url_filter.TARGET)}, 1), {q(url_filter.QUOTES)}, '', 'g')"
+    return f"""WITH RECURSIVE found AS (SELECT page_id, html, {host('url')} AS host, {path('url')} AS path, {query('url')} AS query FROM pages),
+        judged AS (SELECT page_id, html, host, path, query, {address('host', 'path', 'query')} AS key, {first(lambda r: r.host + r.path)} AS rule, {first(lambda r: r.verdict)} AS ruled FROM found),
+        tagged AS (SELECT key, host, path, query, regexp_extract_all(html, {q(url_filter.TAGS)}) AS tags FROM judged WHERE host <> '' AND (contains(lower(html), 'canonical') OR contains(lower(html), 'refresh'))),
+        based AS (SELECT *, coalesce({value(f"list_filter(tags, lambda t: regexp_matches(t, {q(url_filter.BASE)}))[1]", url_filter.HREF)}, '') AS base_text FROM tagged),
+        bases AS (SELECT *, CASE WHEN base_text <> '' THEN {resolved('base_text', 'host', 'path', 'query')} END AS base FROM based),
+        held AS (SELECT key, tags, CASE WHEN base.host <> '' THEN base ELSE {{'host': host, 'path': path, 'query': query}} END AS base FROM bases),
+        led AS (SELECT key, base.host AS h, base.path AS p, base.query AS s, unnest(list_concat(list_transform(list_filter(tags, lambda t: regexp_matches(t, {q(url_filter.CANONICAL)})), lambda t: {value('t', url_filter.HREF)}),
+            list_transform(list_filter(tags, lambda t: regexp_matches(t, {q(url_filter.REFRESH)})), lambda t: {refresh}))) AS link FROM held),
+        ends AS (SELECT key, unnest({resolved('link', 'h', 'p', 's')}) FROM led WHERE link <> ''),
+        targets AS (SELECT key, {address('host', 'path', 'query')} AS target, {first(lambda r: r.verdict)} AS ruled FROM ends WHERE host <> ''),
+        edges AS (SELECT key AS a, target AS b FROM targets UNION SELECT target, key FROM targets),
+        reach(a, b) AS (SELECT a, b FROM edges UNION SELECT r.a, e.b FROM reach r JOIN edges e ON e.a = r.b),
+        said AS (SELECT key, ruled FROM judged WHERE key IS NOT NULL AND ruled IS NOT NULL UNION SELECT target, ruled FROM targets WHERE ruled IS NOT NULL),
+        blocked AS (SELECT a AS key FROM reach JOIN said ON said.key = reach.b GROUP BY a HAVING bool_or(ruled = 'block') AND NOT bool_or(ruled = 'allow'))
+        SELECT page_id, host, path, rule, coalesce(ruled, CASE WHEN b.key IS NOT NULL THEN 'block' END, 'allow') AS verdict, ruled IS NULL AND b.key IS NOT NULL AS by_alias FROM judged j LEFT JOIN blocked b ON b.key = j.key"""
+
+
+#: The rules of the URL query.
+URL_RULES = (
+    url_filter.Rule("com", "/en/", "block"),
+    url_filter.Rule("example.com", "/en/7", "allow"),
+    url_filter.Rule("net", "/de/", "allow"),
+    url_filter.Rule("example.net", "/de/8", "block"),
+    url_filter.Rule("org", "/es/", "block"),
+)
+
+SQL: dict[str, str] = {"op2_redirects": urls(URL_RULES), "op4_merkle": _merkle(), "op10_cover_tree": _COVER}

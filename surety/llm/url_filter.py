@@ -1,18 +1,18 @@
 """URL rules carried over redirect equivalence.
 
-Addresses that a redirect or a canonical link joins are aliases.  Aliases by
-spelling (a ``www.`` or ``m.`` label, a trailing slash, ``.html``, query and
-fragment) fold into one key without any join; canonical links and refresh
-redirects found in a page are edges between keys, whose connected components are
-found in distributed rounds.  A page that a rule fits has the rule's verdict.  Any
-other page is blocked if an alias is blocked by rule and none is allowed by rule:
-an explicit allow takes precedence; else it is allowed.  The target of a link is an
-alias whether or not it is a row of the table; all links of a page count, relative
-ones from the page's address or its ``<base>``.
+Canonical links and refresh redirects found in a page are edges between addresses (host,
+path and query; the scheme and the fragment are none of an address).  Addresses that
+edges join, in either direction and over any number of steps, are aliases: connected
+components, found in distributed rounds.  A page that a rule fits has the rule's
+verdict.  Any other page is blocked if an alias is blocked by rule and none is allowed by
+rule: an explicit allow takes precedence; else it is allowed.  The target of a link is an
+alias whether or not it is a row of the table; all links of a page count, relative ones
+from the page's address or its ``<base>``.  Addresses are compared as text, never by hash.
 
 Defined cases: a null url, or one without ``://``, has empty host and path, no
-alias, and is allowed; null html has no links; repeated rows are judged alike;
-an empty table gives no rows; other columns are ignored.
+alias, and is allowed; null html has no links; an empty path is ``/`` in an address; of
+entities in links those for ``&``, ``/`` and ``:`` are read; repeated rows are judged
+alike; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -34,43 +34,54 @@ class Rule(NamedTuple):
 
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-_SPLIT = r"(?s)^.*?://([^/?#]*)([^?#]*)"
-_CANONICAL = r"(?is)<link\b(?=[^>]*\brel\s*=\s*[\"']?canonical\b)[^>]*\bhref\s*=\s*[\"']?\s*([^\"'\s>]+)"
-#: Group 2 is the target; quotes within a quoted value are of the other kind.
-_REFRESH = r"(?is)<meta\b(?=[^>]*\bhttp-equiv\s*=\s*[\"']?refresh\b)[^>]*\bcontent\s*=\s*(?:([\"'])[^\"'>]*?|[^\"'\s>]*?)url\s*=\s*(?:(?!\1)[\"']\s*)?([^\"'\s>]+)"
-_BASE = r"(?is)<base\b[^>]*\bhref\s*=\s*[\"']?\s*([^\"'\s>]+)"
-_ABSOLUTE, _SCHEME = r"^[A-Za-z][A-Za-z0-9+.-]*://", r"^[A-Za-z][A-Za-z0-9+.-]*:"
+SPLIT = r"(?s)^.*?://([^/?#]*)([^?#]*)"
+QUERY = r"(?s)^[^?#]*\?([^#]*)"
+TAGS = r"(?i)<(?:link|meta|base)[\s/][^>]*>"
+CANONICAL = r"""(?is)^<link.*[\s"'/]rel\s*=\s*(?:"[^"]*\bcanonical\b|'[^']*\bcanonical\b|canonical\b)"""
+REFRESH = r"""(?is)^<meta.*[\s"'/]http-equiv\s*=\s*["']?\s*refresh\b"""
+BASE = r"(?i)^<base"
+HREF = r"""(?i)[\s"'/]href\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)"""
+CONTENT = r"""(?i)[\s"'/]content\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)"""
+TARGET = r"(?is)\burl\s*=\s*(.+)$"
+ABSOLUTE, SCHEME, DOTS = r"^[A-Za-z][A-Za-z0-9+.-]*://", r"^[A-Za-z][A-Za-z0-9+.-]*:", r"/\.\.?(?:/|$)"
+QUOTES = r"""^[\s"']+|[\s"']+$"""
+#: What the entities stand for, in the order of replacement.
+ENTITIES = ((r"(?i)&#x2f;|&#47;|&sol;", "/"), (r"(?i)&#x3a;|&#58;|&colon;", ":"), (r"(?i)&amp;|&#38;|&#x26;", "&"))
 
 
 def host_of(url: Column) -> Column:
-    return F.coalesce(F.translate(F.regexp_extract(url, _SPLIT, 1), _UPPER, _LOWER), F.lit(""))
+    return F.coalesce(F.translate(F.regexp_extract(url, SPLIT, 1), _UPPER, _LOWER), F.lit(""))
 
 
 def path_of(url: Column) -> Column:
-    return F.coalesce(F.regexp_extract(url, _SPLIT, 2), F.lit(""))
+    return F.coalesce(F.regexp_extract(url, SPLIT, 2), F.lit(""))
 
 
-def alias_key(host: Column, path: Column) -> Column:
-    """One value for all spellings of an address; null without a host."""
-    bare = F.regexp_replace(host, r"^(?:www|m)\.", "")
-    return F.when(host != "", F.concat(bare, F.regexp_replace(path, r"(?:/index)?\.html?$|/+$", "")))
+def query_of(url: Column) -> Column:
+    return F.coalesce(F.regexp_extract(url, QUERY, 1), F.lit(""))
+
+
+def address(host: Column, path: Column, query: Column) -> Column:
+    """Text of an address; null without a host."""
+    return F.when(host != "", F.concat(host, F.when(path == "", "/").otherwise(path), F.when(query == "", "").otherwise(F.concat(F.lit("?"), query))))
 
 
 def without_dots(path: Column) -> Column:
     """``path`` with its ``.`` and ``..`` segments resolved."""
-    kept = F.aggregate(F.split(F.substr(path, F.lit(2)), "/", -1), F.array().cast("array<string>"), lambda a, x: F.when(x == "..", F.slice(a, 1, F.greatest(F.size(a) - 1, F.lit(0)))).when(x == ".", a).otherwise(F.concat(a, F.array(x))))
-    ends = F.when(path.rlike(r"/\.\.?$"), F.when(F.size(kept) > 0, "/").otherwise("")).otherwise("")
-    return F.when(path.rlike(r"/\.\.?(?:/|$)"), F.concat(F.lit("/"), F.array_join(kept, "/"), ends)).otherwise(path)
+    up = lambda a: F.regexp_replace(a, r"/?[^/]*$", "")
+    kept = F.aggregate(F.split(F.substr(path, F.lit(2)), "/", -1), F.lit(""), lambda a, x: F.when(x == "..", up(a)).when(x == ".", a).otherwise(F.concat(a, F.lit("/"), x)))
+    return F.when(path.rlike(DOTS), F.concat(kept, F.when(path.rlike(r"/\.\.?$"), "/").otherwise(""))).otherwise(path)
 
 
-def resolved(to: Column, host: Column, path: Column) -> Column:
-    """struct(host, path) of the link ``to`` in a document at ``host`` and ``path``; an empty host where it is no address."""
-    whole = F.when(to.startswith("//"), F.concat(F.lit("http:"), to)).when(to.rlike(_ABSOLUTE), to)
+def resolved(to: Column, host: Column, path: Column, query: Column) -> Column:
+    """struct(host, path, query) of the link ``to`` in a document at an address; an empty host where it is no address."""
+    whole = F.when(to.startswith("//"), F.concat(F.lit("http:"), to)).when(to.rlike(ABSOLUTE), to)
     bare = F.regexp_extract(to, r"(?s)^[^?#]*", 0)
     folder = F.regexp_replace(path, r"[^/]*$", "")
     below = F.when(bare == "", path).when(bare.startswith("/"), without_dots(bare)).otherwise(without_dots(F.concat(F.when(folder == "", "/").otherwise(folder), bare)))
-    own = F.when(to.rlike(_SCHEME), "").otherwise(host)
-    return F.struct(F.when(whole.isNotNull(), host_of(whole)).otherwise(own).alias("host"), F.when(whole.isNotNull(), path_of(whole)).otherwise(below).alias("path"))
+    own = F.when(to.rlike(SCHEME), "").otherwise(host)
+    asked = F.when(to.startswith("#") | (to == ""), query).otherwise(query_of(to))
+    return F.struct(F.when(whole.isNotNull(), host_of(whole)).otherwise(own).alias("host"), F.when(whole.isNotNull(), path_of(whole)).otherwise(below).alias("path"), F.when(whole.isNotNull(), query_of(whole)).otherwise(asked).alias("query"))
 
 
 def first_rule(host: Column, path: Column, rules: Sequence[Rule], value) -> Column:
@@ -82,36 +93,44 @@ def first_rule(host: Column, path: Column, rules: Sequence[Rule], value) -> Colu
     return out
 
 
+def _value(tag: Column, attribute: str) -> Column:
+    out = F.regexp_replace(F.regexp_extract(tag, attribute, 1), QUOTES, "")
+    for entity, letter in ENTITIES:
+        out = F.regexp_replace(out, entity, letter)
+    return out
+
+
+def links(pages: DataFrame) -> DataFrame:
+    """(key, host, path, query): a row for each link of ``pages(key, host, path, query, html)``, with what it leads to."""
+    some = pages.where((F.col("host") != "") & (F.lower("html").contains("canonical") | F.lower("html").contains("refresh")))
+    tags = some.select("key", "host", "path", "query", F.regexp_extract_all("html", F.lit(TAGS), F.lit(0)).alias("tags"))
+    base = F.coalesce(_value(F.get(F.filter("tags", lambda t: t.rlike(BASE)), F.lit(0)), HREF), F.lit(""))
+    tags = tags.withColumn("base", F.when(base != "", resolved(base, F.col("host"), F.col("path"), F.col("query"))))
+    tags = tags.withColumn("base", F.when(F.col("base.host") != "", F.col("base")).otherwise(F.struct("host", "path", "query")))
+    canonical = F.transform(F.filter("tags", lambda t: t.rlike(CANONICAL)), lambda t: _value(t, HREF))
+    refresh = F.transform(F.filter("tags", lambda t: t.rlike(REFRESH)), lambda t: F.regexp_replace(F.regexp_extract(_value(t, CONTENT), TARGET, 1), QUOTES, ""))
+    found = tags.select("key", "base", F.explode(F.concat(canonical, refresh)).alias("to")).where("to <> ''")
+    return found.select("key", resolved(F.col("to"), F.col("base.host"), F.col("base.path"), F.col("base.query")).alias("to")).select("key", "to.*").where("host <> ''")
+
+
 def judge(pages: DataFrame, rules: Sequence[Rule]) -> DataFrame:
-    """page_id, host, path, rule, verdict (and alias) of each row of ``pages(page_id, url, html)``.
+    """page_id, host, path, rule, verdict, and by_alias: whether an alias decided, of each row of ``pages(page_id, url, html)``.
 
     ``rules`` is a policy list that the caller holds in memory; it becomes one expression.
     """
-    address = pages.select("page_id", "html", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
-    address = address.withColumn("alias", alias_key(F.col("host"), F.col("path"))).withColumn("key", F.xxhash64("alias"))
-    judged = address.select(
-        "page_id", "host", "path", "alias", "key",
-        first_rule(F.col("host"), F.col("path"), rules, lambda r: r.host + r.path).alias("rule"),
-        first_rule(F.col("host"), F.col("path"), rules, lambda r: r.verdict).alias("ruled"),
-    )
-    html = F.lower("html")
-    linked = address.where((F.col("host") != "") & (html.contains("canonical") | html.contains("refresh")))
-    found = F.concat(F.regexp_extract_all("html", F.lit(_CANONICAL), F.lit(1)), F.regexp_extract_all("html", F.lit(_REFRESH), F.lit(2)))
-    linked = linked.select("key", "host", "path", F.regexp_extract("html", _BASE, 1).alias("base"), F.explode(found).alias("to"))
-    linked = linked.withColumn("base", F.when(F.col("base") != "", resolved(F.col("base"), F.col("host"), F.col("path"))))
-    linked = linked.withColumn("base", F.when(F.col("base.host") != "", F.col("base")).otherwise(F.struct("host", "path")))
-    targets = linked.select("key", resolved(F.col("to"), F.col("base.host"), F.col("base.path")).alias("to")).select("key", "to.host", "to.path").where("host <> ''")
+    url = F.col("url")
+    found = pages.select("page_id", "html", host_of(url).alias("host"), path_of(url).alias("path"), query_of(url).alias("query"))
+    found = found.withColumn("key", address(F.col("host"), F.col("path"), F.col("query")))
+    verdict_of = first_rule(F.col("host"), F.col("path"), rules, lambda r: r.verdict)
+    judged = found.select("page_id", "host", "path", "key", first_rule(F.col("host"), F.col("path"), rules, lambda r: r.host + r.path).alias("rule"), verdict_of.alias("ruled"))
     # A target need not be a row of pages: the rules judge it as they judge a page.
-    ruled = first_rule(F.col("host"), F.col("path"), rules, lambda r: r.verdict).alias("ruled")
-    targets = shared.materialise(targets.select("key", F.xxhash64(alias_key(F.col("host"), F.col("path"))).alias("to"), ruled), "targets")
+    targets = shared.materialise(links(found).select("key", address(F.col("host"), F.col("path"), F.col("query")).alias("to"), verdict_of.alias("ruled")), "targets")
     groups = connected_components(targets.select(F.col("key").alias("a"), F.col("to").alias("b")))
-    said = judged.where("alias is not null").select("key", "ruled").unionByName(targets.select(F.col("to").alias("key"), "ruled"))
-    said = said.where("ruled is not null").groupBy("key").agg(F.max(F.col("ruled") == "block").alias("block"), F.max(F.col("ruled") == "allow").alias("allow"))
-    said = said.join(groups.select(F.col("node").alias("key"), "root"), "key", "left").withColumn("root", F.coalesce("root", "key"))
-    blocked = said.groupBy("root").agg(F.max("block").alias("block"), F.max("allow").alias("allow")).where("block and not allow").select("root")
-    # The blocked groups' keys: their own names, and all that lead to them.
-    blocked = blocked.select(F.col("root").alias("key")).unionByName(groups.join(blocked, "root").select(F.col("node").alias("key"))).withColumn("by_alias", F.lit(True))
-    open_ = judged.where("ruled is null and alias is not null").join(blocked, "key", "left")
-    done = judged.where("ruled is not null or alias is null").withColumn("by_alias", F.lit(False))
+    members = groups.select(F.col("node").alias("key"), "root").unionByName(groups.select(F.col("root").alias("key"), "root").distinct())
+    said = judged.where("key is not null").select("key", "ruled").unionByName(targets.select(F.col("to").alias("key"), "ruled")).where("ruled is not null").distinct()
+    blocked = said.join(members, "key").groupBy("root").agg(F.max(F.col("ruled") == "block").alias("block"), F.max(F.col("ruled") == "allow").alias("allow")).where("block and not allow")
+    by_alias = members.join(blocked.select("root"), "root").select("key", F.lit(True).alias("by_alias"))
+    open_ = judged.where("ruled is null and key is not null").join(by_alias, "key", "left")
+    done = judged.where("ruled is not null or key is null").withColumn("by_alias", F.lit(False))
     verdict = F.coalesce("ruled", F.when(F.col("by_alias"), "block"), F.lit("allow"))
-    return open_.unionByName(done).select("page_id", "host", "path", "rule", verdict.alias("verdict"), "alias")
+    return open_.unionByName(done, allowMissingColumns=False).select("page_id", "host", "path", "rule", verdict.alias("verdict"), F.coalesce("by_alias", F.lit(False)).alias("by_alias"))

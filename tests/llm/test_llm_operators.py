@@ -276,14 +276,14 @@ def test_connected_components(spark):
 
 def test_urls(spark, empty):
     rows = [
-        (0, "https://a.example.com/en/1?q#f", ""), (1, "https://a.example.com/en/7/x", ""), (2, "http://x.NET/de/1", None), (3, "no scheme", ""), (4, None, ""), (5, "http://y.org/es/", ""), (6, "http://www.y.org/es", ""),
+        (0, "https://a.example.com/en/1?q#f", ""), (1, "https://a.example.com/en/7/x", ""), (2, "http://x.NET/de/1", None), (3, "no scheme", ""), (4, None, ""), (5, "http://y.org/es/", ""), (6, "http://www.y.org/es", '<link rel=canonical href=http://y.org/es/>'), (12, "http://m.y.org/es", ""),
         (7, "http://alias.test/p", '<link href="http://z.org/es/q" rel="canonical">'), (8, "http://other.test/p", "<META http-equiv=refresh content='0; url=http://alias.test/p'>"), (9, "http://z.org/es/q", ""),
         (10, "http://both.test/", '<link rel=canonical href=http://example.com/en/7>'), (11, "http://example.com/en/7", '<link rel="canonical" href="http://z.org/es/q">'), (0, "https://a.example.com/en/1?q#f", ""),
     ]
-    pages = spark.createDataFrame(rows[:10] + rows[12:], "page_id long, url string, html string")
+    pages = spark.createDataFrame(rows[:11] + rows[13:], "page_id long, url string, html string")
     got = {r["page_id"]: (r["host"], r["path"], r["rule"], r["verdict"]) for r in url_filter.judge(pages, contracts.URL_RULES).collect()}
     assert got[0] == ("a.example.com", "/en/1", "com/en/", "block") and got[1][2:] == ("example.com/en/7", "allow") and got[2] == ("x.net", "/de/1", "net/de/", "allow")
-    assert got[3] == got[4] == ("", "", None, "allow") and got[5][2:] == ("org/es/", "block") and got[6][2:] == (None, "block")
+    assert got[3] == got[4] == ("", "", None, "allow") and got[5][2:] == ("org/es/", "block") and got[6][2:] == (None, "block") and got[12][2:] == (None, "allow")  # an address is no alias of another without a link
     assert got[7][3] == got[8][3] == "block"
     more = {r["page_id"]: r["verdict"] for r in url_filter.judge(spark.createDataFrame(rows, pages.schema), contracts.URL_RULES).collect()}
     assert more[7] == more[8] == more[10] == "allow" and more[9] == "block"  # an allowed alias takes precedence
@@ -292,7 +292,7 @@ def test_urls(spark, empty):
 
 def test_urls_rules_judge_link_targets(spark):
     rows = [
-        (0, "http://one.test/p", '<link rel="canonical" href="http://z.org/es/q">'), (1, "http://two.test/p", "<meta http-equiv=refresh content='0; url=http://www.z.org/es/r'>"),
+        (0, "http://one.test/p", '<link rel="canonical" href="http://z.org/es/q">'), (1, "http://two.test/p", "<meta http-equiv=refresh content='0; url=http://www.z.org/es/r'>"), 
         (2, "http://three.test/p", '<link rel="canonical" href="http://z.org/es/q"><meta http-equiv=refresh content="0; url=http://example.com/en/7/x">'), (3, "http://four.test/p", '<link rel="canonical" href="http://z.org/fr/q">'),
         (4, "http://y.org/es", '<link rel="canonical" href="http://y.org/es/">'), (5, "http://five.test/p", '<meta http-equiv="refresh" content="0; url=http://three.test/p">'),
     ]
@@ -308,6 +308,7 @@ def test_urls_forms_of_links(spark):
         '<meta http-equiv="Refresh" content="0; url=http://z.org/es/q">', '<LINK REL="CANONICAL" HREF="http://z.org/es/q">', '<link rel=canonical href="//z.org/es/q">', '<link rel=canonical href=" http://z.org/es/q ">',
         """<meta http-equiv="refresh" content="0; url='http://z.org/es/q'">""", """<meta http-equiv='refresh' content='0; URL="http://z.org/es/q"'>""", "<meta http-equiv=refresh content=0;url=http://z.org/es/q>",
         '<link rel=canonical href="http://a.test/"><link rel=canonical href="http://z.org/es/q">', '<meta http-equiv=refresh content="9; url=http://a.test/"><meta http-equiv=refresh content="0; url=http://z.org/es/q">',
+        '<link rel="alternate canonical" href="http://z.org/es/q">', '<link rel=canonical href="http:&#x2F;&#47;z.org&#x2f;es/q?a=1&amp;b=2">', "<LINK\nREL='canonical'\nHREF='http://z.org/es/q'/>",
         '<base href="http://z.org/es/"><link rel=canonical href="q">', '<base href="//z.org/fr/x"><meta http-equiv=refresh content="0; url=../es/q">',
     ]
     free = ['<link rel=canonical href="/go?u=http://z.org/es/q">', '<meta http-equiv="refresh" content="0; url="/>', '<meta http-equiv=refresh content="5">', '<link rel=canonical href="mailto:x@z.org">', "<link rel=canonical href='http://z.org/fr/q'>", None]
@@ -317,6 +318,60 @@ def test_urls_forms_of_links(spark):
     got = {r["page_id"]: r["verdict"] for r in url_filter.judge(spark.createDataFrame(pages, "page_id long, url string, html string"), contracts.URL_RULES).collect()}
     assert [k for k in range(len(blocked)) if got[k] != "block"] == [] and [k for k in range(len(free)) if got[100 + k] != "allow"] == []
     assert [got[k] for k in range(200, 205)] == ["block", "block", "block", "allow", "allow"]
+    import duckdb
+    import pandas as pd
+
+    con = duckdb.connect()
+    con.register("pages", pd.DataFrame(pages, columns=["page_id", "url", "html"]))
+    assert {r[0]: r[4] for r in con.execute(contracts.SQL["op2_redirects"]).fetchall()} == got
+
+
+def test_urls_of_a_table_with_chains_and_cycles(spark):
+    """A generated table against a union-find, and the query's SQL on the same rows."""
+    import duckdb
+    import pandas as pd
+
+    rng = np.random.default_rng(21)
+    hosts, langs = ["a.example.com", "example.net", "b.org", "c.test", "d.test", "example.com", "x.example.org"], ["en", "de", "es", "fr"]
+    urls = [f"http://{hosts[rng.integers(7)]}/{langs[rng.integers(4)]}/{rng.integers(100)}" + ["", "?p=1", "#top"][rng.integers(3)] for _ in range(300)]
+    address = lambda u: u.split("://", 1)[1].split("#")[0]
+    root = {}
+
+    def find(x):
+        root.setdefault(x, x)
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    rows = []
+    for i, u in enumerate(urls):
+        html, kind = "<html>" + "x" * (200_000 if i == 7 else 3), int(rng.integers(5))
+        to = urls[(i + 1) % 40] if i < 40 else urls[rng.integers(300)] if kind else None  # a cycle, then chains
+        if i < 40 or kind in (1, 2):
+            target = to if i % 2 else "//" + to.split("://", 1)[1]
+            html += f'<link rel="canonical" href="{target}">' if i % 3 else f"<meta http-equiv=refresh content='0;url={target}'>"
+            root[find(address(u))] = find(address(to))
+        rows.append((i, u, html, "clash"))
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string, key string")
+
+    def ruled(a):
+        host, path = a.split("?")[0].split("/", 1)
+        fits = [r for r in contracts.URL_RULES if (host == r.host or host.endswith("." + r.host)) and ("/" + path).startswith(r.path)]
+        return max(fits, key=lambda r: len(r.host + r.path)).verdict if fits else None
+
+    groups = {}
+    for a in {address(u) for u in urls}:
+        groups.setdefault(find(a), set()).add(ruled(a))
+    want = {}
+    for i, u in enumerate(urls):
+        group = groups[find(address(u))]
+        want[i] = ruled(address(u)) or ("block" if "block" in group and "allow" not in group else "allow")
+    found = url_filter.judge(frame, contracts.URL_RULES)
+    got = found.collect()
+    assert {r["page_id"]: r["verdict"] for r in got} == want and any(r["by_alias"] for r in got)
+    con = duckdb.connect()
+    con.register("pages", pd.DataFrame(rows, columns=["page_id", "url", "html", "key"]))
+    assert sorted(con.execute(contracts.SQL["op2_redirects"]).fetchall()) == sorted(tuple(r) for r in got)
 
 
 def brute_spans(t):
