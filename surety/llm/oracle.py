@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from surety.llm import merkle, url_filter
+from surety.llm import merkle, pii, url_filter
 
 _BLANK = merkle.BLANK
 
@@ -107,6 +107,41 @@ def urls(rules) -> str:
         SELECT page_id, host, path, rule, coalesce(ruled, CASE WHEN b.key IS NOT NULL THEN 'block' END, 'allow') AS verdict, ruled IS NULL AND b.key IS NOT NULL AS by_alias FROM judged j LEFT JOIN blocked b ON b.key = j.key"""
 
 
+def _pii() -> str:
+    """Every match and the text between matches, numbered; positions are running sums."""
+    figures = "regexp_replace(m, '[^0-9]', '', 'g')"
+    luhn = f"list_sum(list_transform(string_split(reverse({figures}), ''), lambda x, i: CASE WHEN i % 2 = 1 THEN CAST(x AS INT) WHEN CAST(x AS INT) > 4 THEN CAST(x AS INT) * 2 - 9 ELSE CAST(x AS INT) * 2 END)) % 10 = 0"
+    bare = "replace(m, ' ', '')"
+    numbers = f"array_to_string(list_transform(string_split({bare}[5:] || {bare}[:4], ''), lambda x: CASE WHEN x BETWEEN '0' AND '9' THEN x ELSE CAST(ascii(x) - 55 AS VARCHAR) END), '')"
+    checks = {
+        "none": "TRUE",
+        "parts": "len(list_filter(string_split(m, '.'), lambda x: length(ltrim(x, '0')) > 3 OR CAST(right(x, 3) AS INT) > 255)) = 0",
+        "luhn": f"length({figures}) BETWEEN 16 AND 19 AND {luhn}",
+        "digits": f"length({figures}) BETWEEN 8 AND 15",
+        "mod97": f"length({bare}) BETWEEN 15 AND 34 AND list_reduce(list_transform(string_split({numbers}, ''), lambda x: CAST(x AS INT)), lambda a, x: (a * 10 + x) % 97) = 1",
+    }
+    parts = []
+    for order, kind in enumerate((*pii.BASE, *pii.ADDED)):
+        near = f"(regexp_matches(before, {_quoted(pii.context_of(kind))}) OR regexp_matches(after, {_quoted(pii.context_of(kind))}))"
+        score = f"CASE WHEN {near} THEN {kind.raised} ELSE {kind.score} END"
+        good = checks[kind.check]
+        if kind.not_before:
+            good += f" AND NOT regexp_matches(before, '[{kind.not_before}]\\z') AND NOT regexp_matches(after, '^[{kind.not_after}]')"
+        if kind in pii.ADDED:
+            good += f" AND {score} >= {pii.THRESHOLD}"
+        pattern = _quoted(kind.plain)
+        pieces = f"SELECT doc_id, text, unnest(string_split_regex(text, {pattern})) AS gap, unnest(list_concat(regexp_extract_all(text, {pattern}), [NULL])) AS m, unnest(range(len(regexp_extract_all(text, {pattern})) + 1)) AS k FROM t"
+        placed = f"SELECT doc_id, text, m, CAST(sum(length(gap) + coalesce(length(m), 0)) OVER (PARTITION BY doc_id ORDER BY k) AS BIGINT) AS e FROM ({pieces})"
+        around = f"SELECT doc_id, m, e - length(m) AS s, e, substr(text, greatest(e - length(m) - {pii.CONTEXT_CHARS}, 0) + 1, least(e - length(m), {pii.CONTEXT_CHARS})) AS before, substr(text, e + 1, {pii.CONTEXT_CHARS}) AS after FROM ({placed}) WHERE m IS NOT NULL"
+        parts.append(f"SELECT doc_id, {order} AS o, '{kind.name}' AS kind, s, e, {score} AS score FROM ({around}) WHERE {good}")
+    base = len(pii.BASE)
+    counts = ", ".join(f"count(*) FILTER (WHERE o = {o}) AS n_{kind.name}" for o, kind in enumerate(pii.BASE))
+    return f"""WITH t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents), spans AS ({" UNION ALL ".join(parts)}),
+        kept AS (SELECT * FROM spans x WHERE o < {base} OR NOT EXISTS (SELECT 1 FROM spans b WHERE b.doc_id = x.doc_id AND b.o < {base} AND b.s < x.e AND x.s < b.e)),
+        told AS (SELECT doc_id, {counts}, string_agg(kind || ':' || s || ':' || e, ',' ORDER BY o, s) FILTER (WHERE o < {base}) AS base, string_agg(kind || ':' || s || ':' || e, ',' ORDER BY o, s) AS spans, string_agg(CAST(score AS VARCHAR), ',' ORDER BY o, s) AS scores FROM kept GROUP BY doc_id)
+        SELECT doc_id, {", ".join(f"coalesce(n_{k.name}, 0) AS n_{k.name}" for k in pii.BASE)}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(scores, '') AS scores FROM t LEFT JOIN told USING (doc_id)"""
+
+
 #: The rules of the URL query.
 URL_RULES = (
     url_filter.Rule("com", "/en/", "block"),
@@ -116,4 +151,4 @@ URL_RULES = (
     url_filter.Rule("org", "/es/", "block"),
 )
 
-SQL: dict[str, str] = {"op2_redirects": urls(URL_RULES), "op4_merkle": _merkle(), "op10_cover_tree": _COVER}
+SQL: dict[str, str] = {"op2_redirects": urls(URL_RULES), "op4_merkle": _merkle(), "op9_pii": _pii(), "op10_cover_tree": _COVER}

@@ -389,17 +389,64 @@ def brute_spans(t):
     return ",".join(f"{k}:{m.start()}:{m.end()}" for k, p, ok in rules for m in re.finditer(p, t) if ok(m[0]))
 
 
+def brute_added(t):
+    """The method's own spans and all scores, from the text and no state."""
+    def mod97(m):
+        m = m.replace(" ", "")
+        return 15 <= len(m) <= 34 and int("".join(str(int(c, 36)) for c in m[4:] + m[:4])) % 97 == 1
+
+    base = [(k, int(a), int(b)) for k, a, b in (x.split(":") for x in brute_spans(t).split(",") if x)]
+    out = []
+    for kind in (*pii.BASE, *pii.ADDED):
+        found = [(a, b) for k, a, b in base if k == kind.name] if kind in pii.BASE else [m.span() for m in re.finditer(kind.plain, t)]
+        for a, b in found:
+            before, after = t[max(0, a - 40) : a], t[b : b + 40]
+            near = any(re.search(rf"(?:^|[^a-z0-9])(?:{'|'.join(kind.context)})(?:[^a-z0-9]|$)", x.lower()) for x in (before, after))
+            score = kind.raised if near else kind.score
+            if kind in pii.ADDED:
+                if score < 60 or (kind.name == "iban" and not mod97(t[a:b])) or any(x < b and a < y for _, x, y in base):
+                    continue
+                if re.search(f"[{kind.not_before}]$", before) or re.search(f"^[{kind.not_after}]", after):
+                    continue
+            out.append((f"{kind.name}:{a}:{b}", str(score)))
+    return ",".join(x for x, _ in out), ",".join(y for _, y in out)
+
+
+PII_TEXTS = [
+    "a@b.c@d.e_x@y.zz", "a@b.com_x@y.zz x@y", "1.2.3.4.5.6.7.8 0001.002.3.256 1.2.3", "4111-1111-1111-1111-1 4111111111111111", "+1-2 +49 (30) 1234.5678 + 1 +12345678901234567", "é ü 中 j.d@x.org 😀 8.8.8.8", "7 " * 9_000, "SSN: 123-45-6789; call 212 555-0100", "x" * 50_000 + "@",
+    "IBAN DE89370400440532013000, konto DE89 3704 0044 0532 0130 00. XDE89370400440532013000 DE89370400440532013001", "Visa 4111 1111 1111 1111! server 10.0.0.1, mail a@b.cc", "tel 212-555-0100 +212-555-0100 1212 555-0100", "ssn 123-45-6789-1 9123-45-6789 (123-45-6789)",
+    "a@b.cc, " * 2_500 + "ssn 123-45-6789", "ip 1.1.1.1 " * 900 + "é", "ssnx 123-45-6789 assn", "call (212) 555-0100 or (212)555-0100",
+]
+
+
 def test_pii(spark, docs, empty):
-    odd = ["a@b.c@d.e_x@y.zz", "a@b.com_x@y.zz x@y", "1.2.3.4.5.6.7.8 0001.002.3.256 1.2.3", "4111-1111-1111-1111-1 4111111111111111", "+1-2 +49 (30) 1234.5678 + 1 +12345678901234567", "é ü 中 j.d@x.org 😀 8.8.8.8", "7 " * 9_000, "SSN: 123-45-6789; call 212 555-0100", "x" * 50_000 + "@"]
-    rows = [(i, t) for i, t in enumerate(odd)] + [(100 + i if i is not None else None, t) for i, t in texts(docs)]
+    rows = [(i, t) for i, t in enumerate(PII_TEXTS)] + [(100 + i if i is not None else None, t) for i, t in texts(docs)]
     frame = spark.createDataFrame(rows, "doc_id long, text string")
-    got = sorted((r["doc_id"] is None, r["doc_id"] or 0, r["base_sha256"]) for r in pii.digest(frame).collect())
-    assert got == sorted((i is None, i or 0, hashlib.sha256(brute_spans(t or "").encode()).hexdigest()) for i, t in rows)
-    spans = {r["doc_id"]: r["spans"] for r in pii.digest(frame).collect()}
+    found = pii.digest(frame).collect()
+    got = sorted((r["doc_id"] is None, r["doc_id"] or 0, r["base_sha256"], r["spans"], r["scores"]) for r in found)
+    assert got == sorted((i is None, i or 0, hashlib.sha256(brute_spans(t or "").encode()).hexdigest(), *brute_added(t or "")) for i, t in rows)
+    spans = {r["doc_id"]: r["spans"] for r in found}
     assert "ssn:5:16" in spans[7] and "local_phone:23:35" in spans[7] and "iban" in spans[114]
-    clean = {r["doc_id"]: r["text"] for r in pii.redact(frame.where("doc_id in (5, 100, 101)")).collect()}
-    assert clean == {5: "é ü 中 <EMAIL> 😀 <IP>", 100: None, 101: ""}
-    assert pii.digest(empty).count() == 0
+    clean = {r["doc_id"]: r["text"] for r in pii.redact(frame.where("doc_id is not null").withColumn("base", F.lit(1)).withColumn("Added", F.lit(2))).collect()}
+    for i, t in rows:
+        if i is None:
+            continue
+        at, want = 0, []
+        for a, b, kind in sorted((int(a), -int(b), k) for k, a, b in (x.split(":") for x in spans[i].split(",") if x)):
+            if a >= at:
+                want.append(t[at:a] + f"<{kind.upper()}>")
+                at = -b
+        assert clean[i] == (None if t is None else "".join(want) + t[at:])
+    kept = pii.redact(frame.withColumn("base", F.lit(1)).withColumn("added", F.lit("x")))
+    assert kept.columns == ["doc_id", "text", "base", "added"] and {(r["base"], r["added"]) for r in kept.collect()} == {(1, "x")}
+    assert pii.digest(empty).count() == 0 and pii.redact(empty).count() == 0
+    import duckdb
+    import pandas as pd
+
+    con = duckdb.connect()
+    con.register("documents", pd.DataFrame([r for r in rows if r[0] is not None and r[0] != 103], columns=["doc_id", "text"]))
+    columns = pii.digest(empty).columns
+    assert sorted(con.execute(f"SELECT {', '.join(columns)} FROM ({contracts.SQL['op9_pii']})").fetchall()) == sorted(tuple(r) for r in found if r["doc_id"] is not None and r["doc_id"] != 103)
 
 
 def test_pii_context_is_the_text_around_a_span(spark):
