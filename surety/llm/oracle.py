@@ -142,6 +142,15 @@ def _pii() -> str:
         SELECT doc_id, {", ".join(f"coalesce(n_{k.name}, 0) AS n_{k.name}" for k in pii.BASE)}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(scores, '') AS scores FROM t LEFT JOIN told USING (doc_id)"""
 
 
+#: Shingles as texts, pairs by a shared shingle, components by reachability.
+_JOIN = """WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+    s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN CAST([] AS VARCHAR[]) ELSE list_distinct(list_transform(range(1, greatest(len(w) - 4, 1) + 1), lambda k: array_to_string(w[k:k + 4], ' '))) END AS s FROM w),
+    e AS (SELECT doc_id, len(s) AS n, unnest(s) AS x FROM s),
+    p AS (SELECT a.doc_id AS a, b.doc_id AS b FROM e a JOIN e b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))),
+    edges AS (SELECT a, b FROM p UNION SELECT b, a FROM p),
+    reach(a, b) AS (SELECT a, b FROM edges UNION SELECT r.a, e.b FROM reach r JOIN edges e ON e.a = r.b)
+    SELECT s.doc_id, CAST(len(s) AS BIGINT) AS n_shingles, least(s.doc_id, coalesce(m.b, s.doc_id)) AS component_id FROM s LEFT JOIN (SELECT a, min(b) AS b FROM reach GROUP BY a) m ON m.a = s.doc_id"""
+
 #: The rules of the URL query.
 URL_RULES = (
     url_filter.Rule("com", "/en/", "block"),
@@ -151,4 +160,4 @@ URL_RULES = (
     url_filter.Rule("org", "/es/", "block"),
 )
 
-SQL: dict[str, str] = {"op2_redirects": urls(URL_RULES), "op4_merkle": _merkle(), "op9_pii": _pii(), "op10_cover_tree": _COVER}
+SQL: dict[str, str] = {"op2_redirects": urls(URL_RULES), "op4_merkle": _merkle(), "op5_ngram_join": _JOIN, "op9_pii": _pii(), "op10_cover_tree": _COVER}

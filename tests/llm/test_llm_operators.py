@@ -253,8 +253,51 @@ def test_ngram_join_near_copies_and_split_regions(spark, monkeypatch):
     want = brute_components(rows)
     assert sorted((tuple(r) for r in ngram_join.near_duplicates(frame).collect()), key=repr) == want
     monkeypatch.setattr(ngram_join, "TREE_SHINGLES", 3_000)
-    monkeypatch.setattr(ngram_join, "BROADCAST_ROWS", 10)
     assert sorted((tuple(r) for r in ngram_join.near_duplicates(frame).collect()), key=repr) == want
+    monkeypatch.setattr(ngram_join, "TREE_POINTS", 30)  # coordinates of very many points, found while they are read
+    assert sorted((tuple(r) for r in ngram_join.near_duplicates(frame).collect()), key=repr) == want
+    monkeypatch.setattr(ngram_join, "COMMON", 5)  # or known from the counts
+    assert sorted((tuple(r) for r in ngram_join.near_duplicates(frame.withColumn("text_key", F.lit("clash"))).collect()), key=repr) == want
+
+
+def test_ngram_join_of_several_families_in_one_region(spark, monkeypatch):
+    """Families that share a passage but no link, chains across sizes, all in one region that is joined in two rounds."""
+    rng = np.random.default_rng(14)
+    passage = [f"p{i}" for i in range(40)]
+    rows = []
+    for family in range(5):
+        own = [f"f{family}_{k}" for k in range(10)]
+        for i in range(30):
+            words = passage[: 30 + family * 2] + own[: int(rng.integers(0, 10))]
+            for k in rng.integers(0, len(words), int(rng.integers(0, 3))):
+                words[k] = f"x{rng.integers(50)}"
+            rows.append((len(rows), " ".join(words)))
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    want = brute_components(rows)
+    for points, shingles, common in ((4_096, 2_000_000, 64), (20, 300, 64), (20, 300, 3)):
+        monkeypatch.setattr(ngram_join, "TREE_POINTS", points)
+        monkeypatch.setattr(ngram_join, "TREE_SHINGLES", shingles)
+        monkeypatch.setattr(ngram_join, "COMMON", common)
+        monkeypatch.setattr(ngram_join, "REPORTED", 1)
+        assert sorted((tuple(r) for r in ngram_join.near_duplicates(frame).collect()), key=repr) == want
+
+
+def test_ngram_join_tells_words_apart_that_polynomials_mix_up(spark):
+    word = thue_morse(2048)
+    other = word.translate(str.maketrans("ab", "ba"))
+    rows = [(1, f"one two three four {word}"), (2, f"one two three four {other}"), (3, f"one two three four {word}")]
+    got = sorted(tuple(r) for r in ngram_join.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == [(1, 1, 1), (2, 1, 2), (3, 1, 1)]
+
+
+def test_tiles_fill_leaves():
+    rng = np.random.default_rng(15)
+    for n in (1, 16, 17, 200, 1000):
+        points, sizes = rng.integers(0, 9, (n, 8)), rng.integers(5, 50, n)
+        order = ngram_join.tiles(points, sizes)
+        assert sorted(order.tolist()) == list(range(n))
+        spread = lambda o: sum(points[o[k : k + 16]].max(axis=0).sum() for k in range(0, n, 16))
+        assert spread(order) <= spread(np.arange(n))
 
 
 def test_connected_components(spark):
