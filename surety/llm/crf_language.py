@@ -7,13 +7,14 @@ likelihood of word sequences, some of them spliced from several languages so tha
 the transitions learn code-switching.  Forward-backward gives each word's label
 probabilities in the whole text; their mean over the words is the document's.
 
-The model is fitted on a bounded sample: ``PER_LANGUAGE`` labelled documents of each
-language, of longer ones about ``SAMPLE_CHARS`` characters from all over the text.  Prediction reads whole texts.
+The model is fitted on a bounded sample: ``PER_LANGUAGE`` labelled documents of each of
+the ``MOST_LANGUAGES`` most frequent languages, of longer ones about ``SAMPLE_CHARS``
+characters from all over the text.  Prediction reads whole texts.
 
 Defined cases: null text, or text without a letter, is ``und`` with score 0; rows
 without lang are never learned from; if nothing can be learned from, every row is
 ``und``; null doc_ids and repeated rows are kept; other columns pass through, but
-one named lang_pred or score is replaced.
+one with the name of a result is replaced.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 from surety.llm import shared
 from surety.llm import textbytes as tb
 
-PER_LANGUAGE, SAMPLE_CHARS = 300, 1_500
+PER_LANGUAGE, MOST_LANGUAGES, SAMPLE_CHARS = 300, 200, 1_500
 #: A long text's sample is drawn in pieces of about so many characters, which end beside words.
 PIECE_CHARS = 150
 _PIECE = rf"(?sU).{{1,{PIECE_CHARS}}}(?!\w)|.{{1,{PIECE_CHARS}}}"
@@ -200,56 +201,93 @@ def training_rows(docs: DataFrame, per_language: int = PER_LANGUAGE) -> list[tup
     Of a text longer than SAMPLE_CHARS, pieces from all over it are drawn by hash.
     """
     docs = docs.where("text is not null and lang is not null")
-    counts = {r["lang"]: r["count"] for r in docs.groupBy("lang").count().collect()}
-    if not counts:
-        return []
-    share = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, min(1.0, 1.2 * per_language / n))])
-    drawn = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1_000_003)) < share[F.col("lang")] * 1_000_003
+    counts = docs.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES)
+    known = F.broadcast(counts.select("lang", F.least(F.lit(1.0), F.lit(1.2 * per_language) / F.col("count")).alias("share")))  # MOST_LANGUAGES rows at most
+    drawn = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1_000_003)) < F.col("share") * 1_000_003
     pieces = F.transform(F.regexp_extract_all("text", F.lit(_PIECE), F.lit(0)), lambda p, i: F.struct(F.xxhash64("doc_id", i).alias("by"), i.alias("at"), p.alias("piece")))
     least = F.slice(F.array_sort(pieces), 1, SAMPLE_CHARS // PIECE_CHARS)
     inside = F.array_sort(F.transform(least, lambda p: F.struct(p["at"].alias("at"), p["piece"].alias("piece"))))
     sample = F.when(F.char_length("text") <= SAMPLE_CHARS, F.col("text")).otherwise(F.array_join(F.transform(inside, lambda p: p["piece"]), " "))
-    rows = docs.where(drawn).select("lang", sample.alias("text")).limit(2 * per_language * len(counts)).collect()
+    rows = docs.join(known, "lang").where(drawn).select("lang", sample.alias("text")).limit(2 * per_language * MOST_LANGUAGES).collect()
     return sorted((r["lang"], r["text"]) for r in rows)
 
 
-def identify(docs: DataFrame, model: LanguageCrf) -> DataFrame:
-    """Add lang_pred and score to ``docs`` with a ``text`` column; every other column stays."""
+class _Reader:
+    """Words of texts and their label probabilities, in a worker."""
+
+    def __init__(self, parts):
+        self.crf = LanguageCrf(*parts)
+        self.labels = len(self.crf.labels)
+        self.step = np.exp(self.crf.steps - self.crf.steps.max())
+        self.table = tb.SpanTable(np.float32)
+
+    def _encode(self, words: list[bytes]):
+        s = self.crf.scores(words)
+        return np.full(len(words), self.labels), np.exp(s - s.max(axis=1, keepdims=True)).ravel()
+
+    def read(self, data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Starts, ends and probabilities of all words, and each text's bounds among them."""
+        low = lower(data)
+        starts, ends, upto = word_spans(low, bounds)
+        if not self.labels or not len(starts):
+            return starts, ends, np.zeros((len(starts), self.labels)), upto
+        row = self.table.rows_of(low, starts, ends, self._encode)
+        emit = self.table.values[: self.table.used].reshape(-1, self.labels)[row].astype(np.float64) + 1e-30
+        return starts, ends, forward_backward(emit, self.step, upto), upto
+
+
+def identify(docs: DataFrame, model: LanguageCrf, label: str = "lang_pred", score: str = "score") -> DataFrame:
+    """Add the columns ``label`` and ``score`` to ``docs`` with a ``text`` column; every other column stays."""
     from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
     parts = docs.sparkSession.sparkContext.broadcast((model.labels, model.lexicon, model.weights, model.steps))
     shared.bound_batches(docs.sparkSession)
-    docs = docs.drop("lang_pred", "score")
+    docs = docs.drop(label, score)
     names = docs.columns
-    schema = StructType([*docs.schema.fields, StructField("lang_pred", StringType()), StructField("score", DoubleType())])
+    schema = StructType([*docs.schema.fields, StructField(label, StringType()), StructField(score, DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        crf = LanguageCrf(*parts.value)
-        m = len(crf.labels)
-        step = np.exp(crf.steps - crf.steps.max())
-        table = tb.SpanTable(np.float32)
-        names_of = np.array([*crf.labels, UNKNOWN], object)
-
-        def encode(words: list[bytes]):
-            s = crf.scores(words)
-            return np.full(len(words), m), np.exp(s - s.max(axis=1, keepdims=True)).ravel()
-
+        reader = _Reader(parts.value)
+        m, names_of = reader.labels, np.array([*reader.crf.labels, UNKNOWN], object)
         for batch in batches:
-            label, score = [], []
-            for lo, hi, data, bounds in tb.text_slices(batch.column(names.index("text")), 2 << 20):
-                low = lower(data)
-                starts, ends, upto = word_spans(low, bounds)
+            labels, scores = [], []
+            for lo, hi, data, bounds in tb.text_slices(batch.column(names.index("text"))):
+                starts, _, share, upto = reader.read(data, bounds)
                 best, top = np.full(hi - lo, m), np.zeros(hi - lo)
                 if m and len(starts):
-                    row = table.rows_of(low, starts, ends, encode)
-                    emit = table.values[: table.used].reshape(-1, m)[row].astype(np.float64) + 1e-30
-                    share = forward_backward(emit, step, upto)
                     some = np.flatnonzero(np.diff(upto))
                     mean = np.add.reduceat(share, upto[:-1][some], axis=0) / np.diff(upto)[some, None]
                     best[some], top[some] = mean.argmax(axis=1), np.clip(mean.max(axis=1), 0, 1)
-                label.append(names_of[best])
-                score.append(top)
-            if label:
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate(label), pa.string()), pa.array(np.concatenate(score))], names=[*names, "lang_pred", "score"])
+                labels.append(names_of[best])
+                scores.append(top)
+            if labels:
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate(labels), pa.string()), pa.array(np.concatenate(scores))], names=[*names, label, score])
 
     return docs.mapInArrow(run, schema)
+
+
+def label_words(docs: DataFrame, model: LanguageCrf) -> DataFrame:
+    """(doc_id, words): each word's place in the text (code points, end exclusive), likeliest language and its probability.
+
+    ``words`` is empty for a null text, for one without a letter, and if nothing was learned.
+    """
+    parts = docs.sparkSession.sparkContext.broadcast((model.labels, model.lexicon, model.weights, model.steps))
+    shared.bound_batches(docs.sparkSession)
+    word = pa.struct([("start", pa.int64()), ("end", pa.int64()), ("lang", pa.string()), ("probability", pa.float64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        reader = _Reader(parts.value)
+        names_of = np.array([*reader.crf.labels, UNKNOWN], object)
+        for batch in batches:
+            for lo, hi, data, bounds in tb.text_slices(batch.column(1)):
+                starts, ends, share, upto = reader.read(data, bounds)
+                if not reader.labels:
+                    starts, ends, share, upto = starts[:0], ends[:0], share[:0], np.zeros_like(upto)
+                place = np.concatenate(([0], np.cumsum(tb.char_starts(data))))
+                first = place[np.repeat(bounds[:-1], np.diff(upto))]
+                best = share.argmax(axis=1) if len(share) else np.zeros(0, np.int64)
+                columns = [pa.array(place[starts] - first), pa.array(place[ends] - first), pa.array(names_of[best], pa.string()), pa.array(share[np.arange(len(best)), best])]
+                words = pa.ListArray.from_arrays(pa.array(upto.astype(np.int32)), pa.StructArray.from_arrays(columns, fields=list(word)))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), words], names=["doc_id", "words"])
+
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, words array<struct<start:long,end:long,lang:string,probability:double>>")

@@ -32,6 +32,58 @@ def test_language_of_odd_rows(spark):
     assert crf_language.identify(docs.where("false"), model).count() == 0 and crf_language.training_rows(docs.where("false").select("doc_id", "text", "lang")) == []
 
 
+def test_words_of_code_switched_text_have_their_own_language(spark):
+    """Documents of two languages spliced in runs of words: the words' labels against where they came from."""
+    docs = contracts.table(spark, SMALL, "documents")
+    model = contracts.language_model(docs)
+    texts = {}
+    for r in docs.where("lang is not null and length(text) > 400").orderBy("doc_id").collect():
+        if zlib.crc32(str(r["doc_id"]).encode()) % 3 == 1:  # not learned from
+            texts.setdefault(r["lang"], []).append([w for w in r["text"].split() if w.isalpha()])
+    rng, rows, truth = np.random.default_rng(2), [], []
+    for i in range(40):
+        words, tags = [], []
+        for lang in rng.permutation(sorted(texts))[:3]:
+            pool = texts[lang][int(rng.integers(len(texts[lang])))]
+            part = pool[: int(rng.integers(12, 30))]
+            words += part
+            tags += [lang] * len(part)
+        rows.append((i, " ".join(words) + " 12!"))
+        truth.append(tags)
+    rows += [(100, None), (101, "12 !!"), (102, "é 中 x" + " wort" * 30_000)]
+    got = {r["doc_id"]: r["words"] for r in crf_language.label_words(spark.createDataFrame(rows, "doc_id long, text string"), model).collect()}
+    assert got[100] == got[101] == [] and len(got[102]) == 30_003
+    assert all(rows[i][1][w["start"] : w["end"]].isalpha() and 0 <= w["probability"] <= 1 for i in range(40) for w in got[i])
+    right = [w["lang"] == t for i, tags in enumerate(truth) for w, t in zip(got[i], tags)]
+    assert all(len(got[i]) == len(tags) for i, tags in enumerate(truth)) and np.mean(right) > 0.9
+    assert {tuple(r["words"]) for r in crf_language.label_words(spark.createDataFrame([(1, "x y")], "doc_id long, text string"), crf_language.LanguageCrf.fit([])).collect()} == {()}
+
+
+def test_trees_split_where_brute_force_does():
+    """The first tree's root against every cut of every statistic, and array traversal against a walk node by node."""
+    rng = np.random.default_rng(8)
+    x = np.round(rng.random((400, 4)), 2)
+    y = ((x[:, 2] > 0.6) | (x[:, 0] < 0.1)).astype(float)
+    model = quality_gbt.BoostedTrees.fit(x, y)
+    p = y.mean()
+    slope, curve = p - y, np.full(len(y), p * (1 - p))
+    worth = lambda m: slope[m].sum() ** 2 / (curve[m].sum() + quality_gbt.RIDGE)
+    best = max((worth(x[:, f] <= c) + worth(x[:, f] > c) for f in range(4) for c in np.unique(np.quantile(x[:, f], np.linspace(0, 1, quality_gbt.BINS + 1)[1:-1]))
+                if min(curve[x[:, f] <= c].sum(), curve[x[:, f] > c].sum()) >= quality_gbt.LEAST_HESSIAN), default=0)
+    f, c = model.feature[0, 0], model.cut[0, 0]
+    assert abs(worth(x[:, f] <= c) + worth(x[:, f] > c) - best) < 1e-9
+    slow = []
+    for row in x[:50]:
+        total = model.prior
+        for t in range(len(model.feature)):
+            node = 0
+            while node < model.feature.shape[1]:
+                node = 2 * node + 1 + int(row[model.feature[t, node]] > model.cut[t, node])
+            total += model.value[t, node - model.feature.shape[1]]
+        slow.append(1 / (1 + np.exp(-total)))
+    assert np.allclose(model.score(x[:50]), slow)
+
+
 def test_language_sample_reaches_the_whole_text(spark):
     boilerplate = "the house and the garden are here " * 60
     rows = [(i, boilerplate + " ".join(f"wort{k:04d}é" for k in range(3_000)), "de") for i in range(20)] + [(50, "kurz und gut", "de")]
@@ -108,6 +160,18 @@ def test_pipeline_is_its_stages(spark):
         assert stage(spark, docs.where("false"), SMALL).count() == 0
 
 
+def test_stages_keep_columns_whose_names_they_use(spark):
+    """Columns that clash with the operators' own, letters' case aside, come back as they came."""
+    names = ["lang_pred", "Score", "text_key", "base", "added", "copies", "component", "h"]
+    rows = [(i, t, "en", "s", 1, *[f"{c}{i}" for c in names]) for i, t in enumerate(["mail a@b.cc " + "the house of the garden is here and there " * 5, "the cat of the house is in the garden and on the way " * 3, None, ""])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{c}` string" for c in names))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, SMALL)
+        assert out.columns == docs.columns
+        assert all(r[c] == f"{c}{r['doc_id']}" for r in out.collect() for c in names), name
+    assert {r["doc_id"] for r in corpus_pipeline.pack(spark, docs, SMALL).collect()} == {0, 1, 2, 3}
+
+
 def test_near_duplicate_stage_keeps_one_of_repeated_rows(spark):
     words = " ".join(f"w{i}" for i in range(30))
     docs = spark.createDataFrame([(1, words, "en", "s", 1), (1, words, "en", "s", 1), (2, words + " end", "en", "s", 1), (3, "other", "en", "s", 1), (None, words, "en", "s", 1), (4, None, "en", "s", 1)], "doc_id long, text string, lang string, source string, n_chars long")
