@@ -70,22 +70,20 @@ def rolling_origin(series: DataFrame, origins: int = ORIGINS, alpha: float = INT
     """Forecasts of the last ``origins`` x HORIZON points, each from what its origin could see.
 
     The interval's radius is an order statistic of the absolute seasonal residuals
-    before the origin; the benchmark repeats the last value before it.
+    before the origin; the benchmark repeats the last value before it.  A series, which
+    has a point a day, is one array; all origins are cut from it without a join.
     """
-    points = _numbered(series).withColumn("origin_index", F.floor((F.col("i") - (F.col("n") - origins * HORIZON) - 1) / HORIZON) + 1)
-    residual = points.where("back IS NOT NULL").select("series", "i", "n", F.abs(F.col("value") - F.col("back")).alias("r"))
-    numbers = F.explode(F.sequence(F.lit(1), F.lit(origins)))
-    before = residual.withColumn("origin_index", numbers).where(F.col("i") <= F.col("n") - (origins - F.col("origin_index") + 1) * HORIZON)
-    by = Window.partitionBy("series", "origin_index")
-    ranked = before.withColumn("k", F.row_number().over(by.orderBy("r"))).withColumn("m", F.count("*").over(by))
-    radius = ranked.where(F.col("k") == F.least(F.col("m"), F.ceil((F.col("m") + 1) * F.lit(1.0 - alpha)))).select("series", "origin_index", F.col("r").alias("interval_radius"), F.col("m").alias("calibration_points"))
-    last = points.select("series", F.col("date").alias("origin_date"), F.col("value").alias("benchmark_forecast"), F.floor((F.col("i") - (F.col("n") - origins * HORIZON)) / HORIZON + 1).alias("origin_index"), ((F.col("i") - F.col("n")) % HORIZON == 0).alias("ends")).where(f"ends AND origin_index BETWEEN 1 AND {origins}").drop("ends")
-    ahead = points.where("origin_index >= 1").withColumn("horizon_day", F.pmod(F.col("i") - (F.col("n") - origins * HORIZON) - 1, F.lit(HORIZON)) + 1)
-    out = ahead.join(radius, ["series", "origin_index"]).join(last, ["series", "origin_index"])
+    at = lambda i: F.element_at("points", i.cast("int"))
+    points = series.groupBy("series").agg(F.array_sort(F.collect_list(F.struct("date", "value"))).alias("points"))
+    seen = points.withColumn("origin_index", F.explode(F.sequence(F.lit(1), F.lit(origins)))).withColumn("upto", F.size("points") - (origins - F.col("origin_index") + 1) * HORIZON).where(F.col("upto") > SEASON)
+    residuals = F.transform(F.slice("points", SEASON + 1, F.col("upto") - SEASON), lambda x, i: F.abs(x["value"] - at(i + 1)["value"]))
+    ranked = seen.withColumn("r", F.array_sort(residuals)).withColumn("m", F.size("r").cast("long"))
+    radius = F.element_at("r", F.least(F.col("m"), F.ceil((F.col("m") + 1) * F.lit(1.0 - alpha))).cast("int"))
+    ahead = ranked.select("series", "origin_index", "points", "upto", radius.alias("interval_radius"), F.col("m").alias("calibration_points"), F.explode(F.sequence(F.lit(1), F.lit(HORIZON))).alias("horizon_day"))
+    target, source, last = at(F.col("upto") + F.col("horizon_day")), at(F.col("upto") + F.col("horizon_day") - SEASON), at(F.col("upto"))
+    out = ahead.select("series", "origin_index", last["date"].alias("origin_date"), target["date"].alias("target_date"), source["date"].alias("seasonal_source_date"), "horizon_day", target["value"].alias("actual"), source["value"].alias("forecast"), last["value"].alias("benchmark_forecast"), "interval_radius", "calibration_points")
     return out.select(
-        "series", F.col("origin_index").cast("int").alias("origin_index"), "origin_date", F.col("date").alias("target_date"), F.col("back_date").alias("seasonal_source_date"), F.col("horizon_day").cast("int").alias("horizon_day"),
-        F.col("value").alias("actual"), F.col("back").alias("forecast"), "benchmark_forecast",
-        F.greatest(F.lit(0.0), F.col("back") - F.col("interval_radius")).alias("interval_low"), (F.col("back") + F.col("interval_radius")).alias("interval_high"), "interval_radius", "calibration_points",
+        *out.columns[:9], F.greatest(F.lit(0.0), F.col("forecast") - F.col("interval_radius")).alias("interval_low"), (F.col("forecast") + F.col("interval_radius")).alias("interval_high"), "interval_radius", "calibration_points",
     )
 
 

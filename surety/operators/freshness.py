@@ -1,8 +1,8 @@
 """Event time against processing time: lateness, snapshots, revisions and watermark choice.
 
-All candidates and snapshots of a watermark study are one plan.  A snapshot's Gold is
-computed once for each snapshot by tagging events with the snapshots that see them,
-settled Gold once, and candidates only filter the resulting cells by date.
+All candidates and snapshots of a watermark study are one plan.  Settled and snapshot
+Gold come from one grouping that keeps each user's first arrival, and candidates only
+filter the resulting cells by date.
 """
 
 from __future__ import annotations
@@ -11,13 +11,14 @@ from collections.abc import Iterable
 from dataclasses import asdict, dataclass
 from datetime import datetime, timedelta
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from surety.operators.metrics import daily_metrics
 from surety.schemas import ContractError, require_columns
 
 CANDIDATE_HOURS = (24.0, 48.0, 72.0, 96.0)
+#: Delays of one class differ in so many low bits of their microseconds.
+DELAY_BITS = 24
 REVISED_METRICS = ("dau", "paid_subscription", "revenue_gbp")
 
 
@@ -50,10 +51,13 @@ def processing_frame(events: DataFrame, check: bool = False) -> DataFrame:
     return events
 
 
+def delay_micros() -> Column:
+    return F.unix_micros(F.col("ingested_at").cast("timestamp")) - F.unix_micros(F.col("event_ts").cast("timestamp"))
+
+
 def delay_hours() -> Column:
     """Exact to the microsecond, as a double."""
-    micros = F.unix_micros(F.col("ingested_at").cast("timestamp")) - F.unix_micros(F.col("event_ts").cast("timestamp"))
-    return micros / F.lit(3.6e9)
+    return delay_micros() / F.lit(3.6e9)
 
 
 def with_lateness(events: DataFrame, policy: LatenessPolicy = LatenessPolicy()) -> DataFrame:
@@ -62,14 +66,29 @@ def with_lateness(events: DataFrame, policy: LatenessPolicy = LatenessPolicy())
 
 
 def late_arrival_summary(events: DataFrame, policy: LatenessPolicy = LatenessPolicy()) -> DataFrame:
-    """Exact delay quantiles by product and type: Spark's ``percentile`` merges value counts, not rows."""
-    sums = with_lateness(events, policy).groupBy("product", "event_type").agg(
-        F.count("*").alias("events"),
-        F.count_if("late_beyond_watermark").alias("late_beyond_watermark"),
-        F.expr("percentile(ingestion_delay_hours, array(0.5D, 0.95D))").alias("q"),
-        F.max("ingestion_delay_hours").alias("delay_max_hours"),
-    )
-    return sums.select("product", "event_type", "events", "late_beyond_watermark", F.col("q")[0].alias("delay_p50_hours"), F.col("q")[1].alias("delay_p95_hours"), "delay_max_hours", (F.col("late_beyond_watermark").cast("double") / F.col("events")).alias("late_fraction"))
+    """Exact delay quantiles by product and type, without a group's values in one place.
+
+    Delays are counted by their leading bits; only the few classes that hold a wanted rank
+    are counted by value, and running sums within them find it.
+    """
+    keys, wide = ["product", "event_type"], 1 << DELAY_BITS
+    frame = with_lateness(events, policy).select(*keys, "late_beyond_watermark", delay_micros().alias("micros")).withColumn("class", F.floor(F.col("micros") / wide))
+    counted = frame.groupBy(*keys, "class").agg(F.count("*").alias("n"), F.count_if("late_beyond_watermark").alias("late"), F.max("micros").alias("most"))
+    by = Window.partitionBy(*keys)
+    ranked = counted.withColumn("upto", F.sum("n").over(by.orderBy("class"))).withColumn("events", F.sum("n").over(by))
+    places = {name: edge((F.col("events") - 1) * F.lit(p)) for name, p, edge in (("a0", 0.5, F.floor), ("a1", 0.5, F.ceil), ("b0", 0.95, F.floor), ("b1", 0.95, F.ceil))}
+    ranked = ranked.withColumns(places)
+    here = lambda name: (F.col(name) >= F.col("upto") - F.col("n")) & (F.col(name) < F.col("upto"))
+    wanted = ranked.where(here("a0") | here("a1") | here("b0") | here("b1")).select(*keys, "class", (F.col("upto") - F.col("n")).alias("before"), *places)
+    values = frame.join(wanted, [*keys, "class"]).groupBy(*keys, "class", "micros", "before", *places).agg(F.count("*").alias("n"))
+    values = values.withColumn("upto", F.col("before") + F.sum("n").over(Window.partitionBy(*keys, "class").orderBy("micros")))
+    found = values.groupBy(*keys).agg(*[(F.max(F.when(here(name), F.col("micros"))) / 3.6e9).alias(name) for name in places])
+    sums = counted.groupBy(*keys).agg(F.sum("n").alias("events"), F.sum("late").alias("late_beyond_watermark"), (F.max("most") / 3.6e9).alias("delay_max_hours"))
+    between = lambda a, b, p: F.col(a) + (F.col(b) - F.col(a)) * ((F.col("events") - 1) * F.lit(p) - F.floor((F.col("events") - 1) * F.lit(p)))
+    return sums.join(found, keys).select(
+        *keys, "events", "late_beyond_watermark", between("a0", "a1", 0.5).alias("delay_p50_hours"), between("b0", "b1", 0.95).alias("delay_p95_hours"), "delay_max_hours",
+        (F.col("late_beyond_watermark").cast("double") / F.col("events")).alias("late_fraction"),
+    )
 
 
 def available_as_of(events: DataFrame, as_of: datetime | str) -> DataFrame:
@@ -88,34 +107,42 @@ def late_after_snapshot(events: DataFrame, as_of: datetime, policy: LatenessPoli
     return late.select("event_id", "user_id", "product", "event_type", "event_ts", F.to_date("event_ts").alias("event_date"), "ingested_at", "ingestion_delay_hours", _instant(as_of).alias("processing_as_of"), final.alias("watermark_event_date"), "revenue_gbp")
 
 
-def _cells(gold: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """One row per metric cell."""
-    stacked = gold.select(*keys, "product", "date", *[F.col(m).cast("double").alias(m) for m in REVISED_METRICS])
-    return stacked.unpivot([*keys, "product", "date"], list(REVISED_METRICS), "metric", value)
-
-
-def _snapshots(spark, as_of: Iterable[datetime]) -> DataFrame:
+def _moments(as_of: Iterable[datetime]) -> list[datetime]:
     moments = sorted(set(as_of))
     if not moments:
         raise ContractError("at least one snapshot is needed")
-    rows = [(i, m) for i, m in enumerate(moments, 1)]
-    return spark.createDataFrame(rows, "window_index int, processing_as_of timestamp_ntz")
+    return moments
+
+
+def _missed_by(moments: list[datetime]) -> Column:
+    """How many snapshots, the earliest first, were taken before a row arrived."""
+    return F.size(F.filter(F.array(*[_instant(m) for m in moments]), lambda m: m < F.col("ingested_at")))
 
 
 def revision_cells(events: DataFrame, as_of: Iterable[datetime]) -> DataFrame:
-    """Snapshot and settled value of every metric cell, for each snapshot."""
-    frame = processing_frame(events)
-    moments = F.broadcast(_snapshots(events.sparkSession, as_of))  # as many rows as snapshots asked for
-    settled = _cells(daily_metrics(frame), [], "settled_value").crossJoin(moments)
-    tagged = frame.join(moments, F.col("ingested_at") <= F.col("processing_as_of"))
-    # Gold within a snapshot: the snapshot number rides in the product key, so one aggregation serves all.
-    keyed = daily_metrics(tagged.withColumn("product", F.struct("window_index", "product")))
-    snapshot = _cells(keyed.select(F.col("product.window_index").alias("window_index"), F.col("product.product").alias("product"), "date", *REVISED_METRICS), ["window_index"], "snapshot_value")
-    both = settled.join(snapshot, ["window_index", "product", "date", "metric"], "left")
-    zero = lambda c: F.coalesce(c, F.lit(0.0))
-    both = both.withColumn("snapshot_value", zero("snapshot_value")).withColumn("settled_value", zero("settled_value"))
-    revision = F.col("settled_value") - F.col("snapshot_value")
-    return both.withColumn("revision", revision).withColumn("changed_after_watermark", F.abs("revision") > 1e-12)
+    """Snapshot and settled value of every metric cell, for each snapshot, from one scan.
+
+    A user counts in a snapshot if their first arrival of a kind does, so a first grouping
+    keeps that for each user and day, and revenue by arrival class; no event is repeated
+    for a snapshot.
+    """
+    moments = _moments(as_of)
+    frame = processing_frame(events).withColumn("_missed", _missed_by(moments))
+    first = lambda kind: F.min(F.when((F.col("event_type") == kind) & F.col("user_id").isNotNull(), F.col("_missed")))
+    spent = lambda j: F.sum(F.when((F.col("event_type") == "purchase") & (F.col("_missed") == j), F.col("revenue_gbp")).otherwise(0.0))
+    classes = range(len(moments) + 1)
+    users = frame.groupBy("product", F.to_date("event_ts").alias("date"), "user_id").agg(first("app_open").alias("dau"), first("paid_subscription").alias("paid_subscription"), *[spent(j).alias(f"r{j}") for j in classes])
+    seen = lambda name, w: F.count_if(F.col(name) < w).cast("double")
+    count = len(moments) + 1
+    whole = users.groupBy("product", "date").agg(
+        *[seen(m, w).alias(f"{m}_{w}") for m in REVISED_METRICS[:2] for w in range(1, count + 1)], *[F.sum(f"r{j}").alias(f"r{j}") for j in classes],
+    )
+    upto = lambda w: sum((F.col(f"r{j}") for j in range(1, w)), F.col("r0"))
+    value = lambda m, w: upto(w) if m == "revenue_gbp" else F.col(f"{m}_{w}")
+    cell = lambda w, m, at: F.struct(F.lit(w).alias("window_index"), _instant(at).alias("processing_as_of"), F.lit(m).alias("metric"), value(m, w).alias("snapshot_value"), value(m, count).alias("settled_value"))
+    cells = F.array(*[cell(w, m, at) for w, at in enumerate(moments, 1) for m in REVISED_METRICS])
+    both = whole.select("product", "date", F.inline(cells))
+    return both.withColumn("revision", F.col("settled_value") - F.col("snapshot_value")).withColumn("changed_after_watermark", F.abs("revision") > 1e-12)
 
 
 def metric_revision_report(events: DataFrame, as_of: datetime, policy: LatenessPolicy = LatenessPolicy()) -> DataFrame:
@@ -139,7 +166,7 @@ def watermark_backtest(events: DataFrame, as_of: Iterable[datetime], hours: Iter
     hours = sorted(set(map(float, hours)))
     if not hours or hours[0] <= 0:
         raise ContractError("candidate hours must be positive")
-    moments = _snapshots(spark, as_of)
+    moments = spark.createDataFrame(list(enumerate(_moments(as_of), 1)), "window_index int, processing_as_of timestamp_ntz")
     candidates = spark.createDataFrame([(h, round(h * 3600)) for h in hours], "allowed_lateness_hours double, lateness_s long")
     grid = moments.crossJoin(candidates).withColumn("watermark_event_date", F.to_date(F.col("processing_as_of") - F.expr("make_dt_interval(0, 0, 0, lateness_s)")))
     grid = F.broadcast(grid.drop("lateness_s"))  # snapshots x candidates rows
@@ -147,7 +174,7 @@ def watermark_backtest(events: DataFrame, as_of: Iterable[datetime], hours: Iter
     # Events fold to counts by date, delay class and arrival first; candidates meet those, not the events.
     frame = processing_frame(events).select(F.to_date("event_ts").alias("event_date"), delay_hours().alias("delay"), "ingested_at")
     steps = F.size(F.filter(F.array(*map(F.lit, hours)), lambda h: h < F.col("delay")))
-    arrivals = F.size(F.filter(F.array(*[_instant(m) for m in sorted(set(as_of))]), lambda m: m < F.col("ingested_at")))
+    arrivals = _missed_by(_moments(as_of))
     folded = frame.groupBy("event_date", steps.alias("late_for"), arrivals.alias("missed_by")).agg(F.count("*").alias("n"))
     number = F.array_position(F.array(*map(F.lit, hours)), F.col("allowed_lateness_hours"))
     is_late, is_final = F.col("late_for") >= number, F.col("event_date") <= F.col("watermark_event_date")

@@ -19,7 +19,7 @@ def _checks(explicit_ingestion: bool) -> list[tuple[str, str, Column]]:
     revenue, late = F.col("_revenue"), F.lit(explicit_ingestion)
     known = lambda name, allowed: F.coalesce(F.col(name).isin(*allowed), F.lit(False))
     return [
-        ("duplicate_event_id", "duplicate_event_rows", F.col("_nth") > 1),
+        ("duplicate_event_id", "duplicate_event_rows", F.col("_again")),
         ("missing_identity", "missing_identity_rows", F.trim(F.coalesce("user_id", F.lit(""))) == ""),
         ("invalid_timestamp", "invalid_timestamp_rows", F.col("_event_ts").isNull()),
         ("invalid_ingestion_timestamp", "invalid_ingestion_timestamp_rows", late & F.col("_ingested_at").isNull()),
@@ -34,16 +34,22 @@ def _checks(explicit_ingestion: bool) -> list[tuple[str, str, Column]]:
 def judged_events(events: DataFrame, sequence: str | None = None) -> DataFrame:
     """Every row with its reasons (``reject_reason``, empty if it passes) and parsed values.
 
-    Of rows with one event_id the first by ``sequence`` stands (by parsed time without
-    it); the others are duplicates even where the first is itself rejected.
+    Of rows with one event_id the first by ``sequence``, a column of distinct values,
+    stands; the others are duplicates even where the first is itself rejected.  The least
+    value of each id is combined before it moves and meets only repeated ids, so a hot or
+    null id is no task of its own.  Without ``sequence`` the order is the parsed time.
     """
     require_columns(events, REQUIRED, "events")
     explicit = "ingested_at" in events.columns
     if not explicit:
         events = events.withColumn("ingested_at", F.col("event_ts"))
     parsed = events.withColumns({"_event_ts": _timestamp("event_ts"), "_ingested_at": _timestamp("ingested_at"), "_revenue": F.expr("try_cast(revenue_gbp AS double)")})
-    order = [F.col(sequence)] if sequence else [F.col("_event_ts").asc_nulls_last(), F.col("event_id")]
-    parsed = parsed.withColumn("_nth", F.row_number().over(Window.partitionBy("event_id").orderBy(*order)))
+    if sequence:
+        firsts = events.groupBy(F.col("event_id").alias("_id")).agg(F.min(sequence).alias("_first"), F.count("*").alias("_rows")).where("_rows > 1").drop("_rows")
+        parsed = parsed.join(firsts, F.col("event_id").eqNullSafe(F.col("_id")), "left").withColumn("_again", F.coalesce(F.col(sequence) > F.col("_first"), F.lit(False)))
+    else:
+        order = Window.partitionBy("event_id").orderBy(F.col("_event_ts").asc_nulls_last(), "event_id")
+        parsed = parsed.withColumn("_again", F.row_number().over(order) > 1)
     checks = _checks(explicit)
     parsed = parsed.withColumns({f"_{counter}": condition for _, counter, condition in checks})
     return parsed.withColumn("reject_reason", F.concat_ws(";", *[F.when(F.col(f"_{counter}"), reason) for reason, counter, _ in checks]))

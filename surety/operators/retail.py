@@ -13,9 +13,10 @@ TOLERANCE = 0.01
 
 
 def source_profile(lines: DataFrame) -> DataFrame:
-    """One row of counts; exact duplicates are counted by grouping whole rows, nulls as values."""
+    """One row of counts; exact duplicates are counted by two hashes of whole rows (128 bits), nulls as values."""
     content = [c for c in lines.columns if c != "source_row_id"]
-    copies = lines.groupBy(*content).count().agg(F.sum(F.col("count") - 1).alias("exact_duplicate_rows_excluding_source_id"))
+    marked = [F.coalesce(F.col(c).cast("string"), F.lit("\0")) for c in content]  # a hash passes over nulls
+    copies = lines.groupBy(F.xxhash64(*marked).alias("a"), F.xxhash64(F.lit("b"), *marked).alias("b")).count().agg(F.coalesce(F.sum(F.col("count") - 1), F.lit(0)).alias("exact_duplicate_rows_excluding_source_id"))
     profile = lines.agg(
         F.count("*").alias("source_rows"), F.min("invoice_ts").cast("string").alias("date_min"), F.max("invoice_ts").cast("string").alias("date_max"),
         F.countDistinct("invoice_no").alias("distinct_invoices"), F.countDistinct("stock_code").alias("distinct_stock_codes"), F.countDistinct("country").alias("distinct_countries"), F.countDistinct("source_sheet").alias("source_sheets"),
@@ -33,17 +34,21 @@ def partition_key():
 def dated_metrics(lines: DataFrame, *keys: str) -> DataFrame:
     """The five metrics of each timestamped date, from one scan.
 
-    Invoices and customers are counted as rows of a first grouping by (date, invoice,
-    customer), which combines before its shuffle; no row is expanded for a distinct.
+    A first grouping by (date, invoice, customer) combines before its shuffle; its groups,
+    once as invoices and once as customers, are then counted by a second one.
     """
     bought = F.col("is_purchase_line")
     parts = lines.where("invoice_ts IS NOT NULL").groupBy(*keys, F.to_date("invoice_ts").alias("date"), "invoice_no", "customer_id").agg(
         F.sum(F.when(bought, F.col("line_value_gbp")).otherwise(0.0)).alias("revenue"), F.sum(F.when(bought, F.col("quantity")).otherwise(0.0)).alias("units"), F.count_if(bought).alias("lines"),
     )
-    some = F.col("lines") > 0
-    return parts.groupBy(*keys, "date").agg(
-        F.round(F.sum("revenue"), 6).alias("revenue_gbp"), F.countDistinct(F.when(some, F.col("invoice_no"))).alias("orders"), F.sum("units").cast("double").alias("units"),
-        F.sum("lines").cast("long").alias("purchase_lines"), F.countDistinct(F.when(some, F.col("customer_id"))).alias("active_customers"),
+    side = lambda order, name, *sums: F.struct(F.lit(order).alias("order"), F.col(name).alias("name"), *[x.alias(n) for x, n in zip(sums, ("revenue", "units", "lines"))], (F.col("lines") > 0).alias("some"))
+    none = F.lit(0.0)
+    sides = parts.select(*keys, "date", F.inline(F.array(side(True, "invoice_no", F.col("revenue"), F.col("units").cast("double"), F.col("lines")), side(False, "customer_id", none, none, F.lit(0).cast("long")))))
+    named = sides.groupBy(*keys, "date", "order", "name").agg(F.sum("revenue").alias("revenue"), F.sum("units").alias("units"), F.sum("lines").alias("lines"), F.max("some").alias("some"))
+    counted = F.col("some") & F.col("name").isNotNull()
+    return named.groupBy(*keys, "date").agg(
+        F.round(F.sum("revenue"), 6).alias("revenue_gbp"), F.count_if(F.col("order") & counted).alias("orders"), F.sum("units").alias("units"),
+        F.sum("lines").alias("purchase_lines"), F.count_if(~F.col("order") & counted).alias("active_customers"),
     )
 
 

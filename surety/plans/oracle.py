@@ -60,12 +60,14 @@ _STEPS: dict[str, str] = {
     "designs": """SELECT 0.1::DOUBLE + 0.1::DOUBLE * (s_suppkey % 8) AS treatment_share, CAST(1000 + 37 * s_suppkey AS INT) AS balanced_equivalent_information, CAST(30 + s_suppkey % 400 AS DOUBLE) AS readout_days, 1000.0::DOUBLE + s_suppkey % 1200 AS es95_gbp_per_1000, CAST(s_suppkey % 9 AS DOUBLE) AS unsafe_exposure_per_1000, (s_suppkey % 10) / 10.0::DOUBLE AS tail_concentration FROM supplier""",
     "sized": "SELECT *, CAST(ceil(CAST(balanced_equivalent_information AS DOUBLE) / (4.0::DOUBLE * treatment_share * (1.0::DOUBLE - treatment_share))) AS BIGINT) AS total_users FROM designs",
     "allocated": "SELECT *, CAST(round_even(total_users * treatment_share, 0) AS BIGINT) AS treatment_users, total_users - CAST(round_even(total_users * treatment_share, 0) AS BIGINT) AS control_users FROM sized",
-    "hit": "SELECT * FROM silver WHERE product = 'notes_app' AND event_type = 'app_open' AND CAST(event_ts AS DATE) BETWEEN DATE '2024-01-10' AND DATE '2024-01-16'",
+    "incident_window": """SELECT min(date) AS start, max(date) AS "end" FROM (SELECT date, row_number() OVER (ORDER BY date) AS i, count(*) OVER () AS n FROM daily WHERE product = 'notes_app'
+        AND date <= (SELECT max(CAST(event_ts AS DATE)) FROM silver WHERE event_type = 'first_open' AND product = 'notes_app')) WHERE i > n - 21 AND i <= n - 14""",
+    "hit": "SELECT * FROM silver WHERE product = 'notes_app' AND event_type = 'app_open' AND CAST(event_ts AS DATE) BETWEEN (SELECT start FROM incident_window) AND (SELECT \"end\" FROM incident_window)",
 }
 _NEEDS = {
     "judged": ["bronze"], "silver": ["judged"], "daily": ["silver"], "gold": ["daily"], "ledger": ["silver"], "late": ["silver"], "tries": ["windows"], "settled": ["daily"], "seen_daily": ["silver", "windows"], "seen": ["seen_daily"], "cells": ["settled", "seen", "windows"],
     "counted": ["late", "tries"], "risks": ["cells", "tries"], "grid0": ["counted", "risks"], "grid": ["grid0"], "stability": ["grid"], "dated": ["lines"], "calendar": ["dated"], "series": ["calendar"], "points": ["series"], "radii": ["points"], "ends": ["points"], "backtest": ["radii", "ends"], "evaluated": ["backtest"],
-    "sized": ["designs"], "allocated": ["sized"], "hit": ["silver"],
+    "sized": ["designs"], "allocated": ["sized"], "hit": ["silver", "incident_window"], "incident_window": ["daily"],
 }
 
 
@@ -109,6 +111,8 @@ _GOLD_SERIES = {
     "series": "SELECT product || ':' || unnest(['dau', 'paid_subscription', 'revenue_gbp']) AS series, date, unnest([CAST(dau AS DOUBLE), CAST(paid_subscription AS DOUBLE), revenue_gbp]) AS value FROM daily JOIN cut USING (product) WHERE date <= last",
 }
 
+_PLAN = """SELECT series, origins, horizon_days, backtest_points, round(mape, 6) AS mape, round(wape, 6) AS wape, round(benchmark_mape, 6) AS benchmark_mape, round(benchmark_wape, 6) AS benchmark_wape, round(interval_coverage, 6) AS interval_coverage, round((benchmark_wape - wape) / nullif(benchmark_wape, 0), 6) AS relative_wape_improvement, 0.9::DOUBLE AS interval_nominal_coverage, g1 AS enough_backtest_gate, g2 AS absolute_accuracy_gate, g3 AS benchmark_gate, g4 AS interval_coverage_gate, g1 AND g2 AND g3 AND g4 AS approved, CASE WHEN g1 AND g2 AND g3 AND g4 THEN 'forecast eligible for planning' ELSE concat_ws('; ', CASE WHEN NOT g1 THEN 'too few backtest points' END, CASE WHEN NOT g2 THEN 'absolute accuracy fails' END, CASE WHEN NOT g3 THEN 'worse than the last value' END, CASE WHEN NOT g4 THEN 'interval coverage too low' END) END AS reason FROM (SELECT *, backtest_points >= 28 AS g1, coalesce(mape <= 0.2 AND wape <= 0.2, FALSE) AS g2, coalesce(wape <= benchmark_wape + 1e-15, FALSE) AS g3, interval_coverage >= 0.85 AS g4 FROM evaluated)"""
+
 SQL: dict[str, str] = {
     "q_silver_sql": _sql("SELECT event_id, user_id, product, event_type, event_ts, ingested_at, round(revenue_gbp, 6) AS revenue_gbp FROM silver", "silver"),
     "q_certify_rejects": _sql("SELECT count(*) AS rows_raw, " + ", ".join(f"CAST(count_if(c{i}) AS BIGINT) AS {c}" for i, c in enumerate(_COUNTERS, 1)) + f", CAST(count_if({_ANY}) AS BIGINT) AS rows_rejected, CAST(count_if(NOT {_ANY}) AS BIGINT) AS rows_certified FROM judged", "judged"),
@@ -126,10 +130,12 @@ SQL: dict[str, str] = {
     "time_with_lateness": _sql("SELECT event_id, round(delay, 6) AS ingestion_delay_hours, delay > 48 AS late_beyond_watermark FROM late", "late"),
     "time_late_summary": _sql("SELECT product, event_type, count(*) AS events, CAST(count_if(delay > 48) AS BIGINT) AS late_beyond_watermark, round(median(delay), 6) AS delay_p50_hours, round(quantile_cont(delay, 0.95), 6) AS delay_p95_hours, round(max(delay), 6) AS delay_max_hours, round(count_if(delay > 48) / CAST(count(*) AS DOUBLE), 6) AS late_fraction FROM late GROUP BY ALL", "late"),
     "time_available_as_of": _sql("SELECT product, count(*) AS events FROM silver WHERE ingested_at <= TIMESTAMP '2024-01-23 23:59:59.999999' GROUP BY ALL", "silver"),
-    "time_late_snapshot": _sql("SELECT event_id, product, CAST(event_ts AS DATE) AS event_date, final AS watermark_event_date FROM silver JOIN tries ON window_index = 2 AND h = 48 AND CAST(event_ts AS DATE) <= final AND ingested_at > as_of", "silver", "tries"),
+    "time_late_snapshot": _sql("SELECT event_id, user_id, product, event_type, event_ts, CAST(event_ts AS DATE) AS event_date, ingested_at, round((epoch_us(ingested_at) - epoch_us(event_ts)) / 3600000000.0, 6) AS ingestion_delay_hours, as_of AS processing_as_of, final AS watermark_event_date, round(revenue_gbp, 6) AS revenue_gbp FROM silver JOIN tries ON window_index = 2 AND h = 48 AND CAST(event_ts AS DATE) <= final AND ingested_at > as_of", "silver", "tries"),
     "time_revision_report": _sql(f"SELECT product, date, metric, round(snapshot_value, 4) AS snapshot_value, round(settled_value, 4) AS settled_value, round(revision, 4) AS revision, round(revision / nullif(abs(snapshot_value), 0), 4) AS revision_pct, abs(revision) > 1e-12 AS changed_after_watermark, final AS watermark_event_date FROM cells {_MID}", "cells", "tries"),
     "time_revision_summary": _sql(f"SELECT product, metric, count(*) AS finalized_dates, CAST(count_if(abs(revision) > 1e-12) AS BIGINT) AS revised_dates, round(sum(revision), 4) AS total_revision, round(max(abs(revision)), 4) AS max_abs_revision, round(count_if(abs(revision) > 1e-12) / CAST(count(*) AS DOUBLE), 4) AS revised_date_fraction FROM cells {_MID} GROUP BY ALL", "cells", "tries"),
-    "time_rolling_backtest": _sql("SELECT window_index, h AS allowed_lateness_hours, finalizable_events, late_beyond_watermark_events, whole_stream_late_beyond_watermark_events, late_missing_from_finalized_snapshot, finalized_calendar_dates, finalized_metric_cells, revised_metric_cells, max_abs_dau_revision, max_abs_paid_subscription_revision, round(max_abs_revenue_revision_gbp, 4) AS max_abs_revenue_revision_gbp, feasible, selected_in_window FROM grid", "grid"),
+    "time_rolling_backtest": _sql("""SELECT window_index, h AS allowed_lateness_hours, final AS watermark_event_date, (SELECT count(*) FROM silver) AS settled_stream_events, finalizable_events, late_beyond_watermark_events, whole_stream_late_beyond_watermark_events, late_missing_from_finalized_snapshot, finalized_calendar_dates, finalized_metric_cells, revised_metric_cells,
+        max_abs_dau_revision, round(max_abs_revenue_revision_gbp, 6) AS max_abs_revenue_revision_gbp, max_abs_paid_subscription_revision, round(h / 24.0::DOUBLE, 6) AS finalization_lag_days, round(late_event_fraction, 6) AS late_event_fraction, round(whole_stream_late_beyond_watermark_events / CAST((SELECT count(*) FROM silver) AS DOUBLE), 6) AS whole_stream_late_event_fraction, round(revised_metric_cell_fraction, 6) AS revised_metric_cell_fraction,
+        late_event_fraction <= 0.005 AS passes_late_event_fraction, revised_metric_cell_fraction <= 0.01 AS passes_revised_metric_cell_fraction, max_abs_revenue_revision_gbp <= 10 AS passes_revenue_revision, max_abs_paid_subscription_revision <= 1 AS passes_paid_subscription_revision, feasible, selected_in_window FROM grid JOIN tries USING (window_index, h)""", "grid", "tries"),
     "time_stability": _sql("SELECT allowed_lateness_hours, windows, CAST(feasible_windows AS BIGINT) AS feasible_windows, CAST(selected_windows AS BIGINT) AS selected_windows, round(a1, 4) AS mean_late_event_fraction, round(a2, 4) AS max_late_event_fraction, round(a3, 4) AS mean_revised_metric_cell_fraction, round(a4, 4) AS max_revised_metric_cell_fraction, round(a5, 4) AS max_abs_revenue_revision_gbp, a6 AS max_abs_paid_subscription_revision, round(feasible_windows / CAST(windows AS DOUBLE), 4) AS feasibility_rate, feasible_windows = windows AS stable_all_windows FROM stability", "stability"),
     "time_select_stable": _sql("SELECT allowed_lateness_hours, windows, CAST(feasible_windows AS BIGINT) AS feasible_windows FROM stability WHERE feasible_windows = windows ORDER BY 1 LIMIT 1", "stability"),
     "s_planning_rates": _sql("SELECT h AS allowed_lateness_hours, round(max(late_event_fraction), 4) AS planning_late_event_rate, round(max(revised_metric_cell_fraction), 4) AS planning_revised_metric_cell_rate, round(max(max_abs_revenue_revision_gbp), 4) AS max_abs_revenue_revision_gbp, max(max_abs_paid_subscription_revision) AS max_abs_paid_subscription_revision, round(quantile_cont(finalizable_events / CAST(finalized_calendar_dates AS DOUBLE), 0.5), 4) AS median_finalizable_events_per_day, round(quantile_cont(finalized_metric_cells / CAST(finalized_calendar_dates AS DOUBLE), 0.5), 4) AS median_metric_cells_per_day FROM grid GROUP BY ALL", "grid"),
@@ -138,9 +144,9 @@ SQL: dict[str, str] = {
     "f_evaluate_legacy": _sql("SELECT series, points, round(m, 6) AS mape, CASE WHEN points < 28 THEN 'insufficient holdout' WHEN m IS NULL THEN 'MAPE not estimable' WHEN m > 0.2 THEN 'MAPE exceeds its limit' ELSE 'planning gate passed' END AS reason, points >= 28 AND m IS NOT NULL AND m <= 0.2 AS approved FROM (SELECT series, count(*) AS points, avg(abs(value - back) / nullif(abs(value), 0)) AS m FROM points WHERE i > n - 28 GROUP BY ALL)", "points"),
     "f_conformal_radius": _sql("SELECT series, CAST(origin_index AS INT) AS origin_index, round(interval_radius, 4) AS interval_radius, calibration_points FROM radii", "radii"),
     "f_rolling_origin": _sql("SELECT series, origin_index, origin_date, target_date, seasonal_source_date, horizon_day, round(actual, 4) AS actual, round(forecast, 4) AS forecast, round(benchmark_forecast, 4) AS benchmark_forecast, round(interval_low, 4) AS interval_low, round(interval_high, 4) AS interval_high, round(interval_radius, 4) AS interval_radius, calibration_points FROM backtest", "backtest"),
-    "f_evaluate_plan": _sql("SELECT series, origins, horizon_days, backtest_points, round(mape, 6) AS mape, round(wape, 6) AS wape, round(benchmark_mape, 6) AS benchmark_mape, round(benchmark_wape, 6) AS benchmark_wape, round(interval_coverage, 6) AS interval_coverage, round((benchmark_wape - wape) / nullif(benchmark_wape, 0), 6) AS relative_wape_improvement, 0.9::DOUBLE AS interval_nominal_coverage, g1 AS enough_backtest_gate, g2 AS absolute_accuracy_gate, g3 AS benchmark_gate, g4 AS interval_coverage_gate, g1 AND g2 AND g3 AND g4 AS approved, CASE WHEN g1 AND g2 AND g3 AND g4 THEN 'forecast eligible for planning' ELSE concat_ws('; ', CASE WHEN NOT g1 THEN 'too few backtest points' END, CASE WHEN NOT g2 THEN 'absolute accuracy fails' END, CASE WHEN NOT g3 THEN 'worse than the last value' END, CASE WHEN NOT g4 THEN 'interval coverage too low' END) END AS reason FROM (SELECT *, backtest_points >= 28 AS g1, coalesce(mape <= 0.2 AND wape <= 0.2, FALSE) AS g2, coalesce(wape <= benchmark_wape + 1e-15, FALSE) AS g3, interval_coverage >= 0.85 AS g4 FROM evaluated)", "evaluated"),
+    "f_evaluate_plan": _sql(_PLAN, "evaluated"),
     "f_reconciliation": _sql("SELECT series, origin_index, origin_date, min(target_date) AS target_start_date, max(target_date) AS target_end_date, round(sum(forecast), 4) AS planned_total, round(sum(actual), 4) AS actual_total, round(sum(benchmark_forecast), 4) AS benchmark_total, round(sum(forecast) - sum(actual), 4) AS signed_error, round(abs(sum(forecast) - sum(actual)) / nullif(abs(sum(actual)), 0), 4) AS absolute_pct_error FROM backtest GROUP BY series, origin_index, origin_date", "backtest"),
-    "f_bundle": _with("daily", "cut", "series", "points", "radii", "ends", "backtest", "evaluated", origins=3, extra=_GOLD_SERIES) + "SELECT series, backtest_points, round(wape, 6) AS wape, round(benchmark_wape, 6) AS benchmark_wape, round(interval_coverage, 6) AS interval_coverage FROM evaluated",
+    "f_bundle": _with("daily", "cut", "series", "points", "radii", "ends", "backtest", "evaluated", origins=3, extra=_GOLD_SERIES) + _PLAN,
     "e_diff_means": _with("users", "e", extra={"e": _MEANS.format(y="post")}) + _EFFECT.format(d=3),
     "e_diff_props": _with("users", "e", extra={"e": _MEANS.format(y="paid")}) + _EFFECT.format(d=6),
     "e_ancova": _with("users", "d", "s", "b", "e", extra={
@@ -161,13 +167,14 @@ SQL: dict[str, str] = {
         nodes AS (SELECT a AS id FROM edges UNION SELECT b FROM edges), cases(proposal, root) AS (VALUES ('add_optional_country', NULL), ('rename_required_event_id', 'contract'), ('broaden_dau_to_any_event', 'semantic:dau')),
         reach(proposal, id) AS (SELECT proposal, root FROM cases WHERE root IS NOT NULL UNION SELECT proposal, b FROM reach JOIN edges ON a = id)
         SELECT proposal, status, count(*) AS nodes FROM (SELECT c.proposal, CASE WHEN n.id = c.root THEN 'DIRECT_STALE' WHEN r.id IS NOT NULL THEN 'DOWNSTREAM_STALE' ELSE 'FRESH' END AS status FROM cases c CROSS JOIN nodes n LEFT JOIN reach r ON r.proposal = c.proposal AND r.id = n.id) GROUP BY ALL""",
+    "n_window": _sql('SELECT start, "end" FROM incident_window', "incident_window"),
     "n_inject": _sql("SELECT event_id, CAST(event_ts AS DATE) AS event_date, event_type, 'notes_app' AS original_product, 'photo_editor' AS incident_product FROM hit", "hit"),
-    "n_correct": _sql("SELECT product, count(*) AS events FROM silver GROUP BY ALL", "silver"),
+    "n_correct": _sql("SELECT event_id, product, event_type, event_ts FROM silver", "silver"),
     "n_affected": _sql("SELECT DISTINCT p AS product, CAST(event_ts AS DATE) AS date FROM hit, (VALUES ('notes_app'), ('photo_editor')) v(p)", "hit"),
     "n_selective_gold": _sql("SELECT * FROM gold", "gold"),
     "n_changed": _with("gold", "hit", "bad_silver", "bad_daily", "bad_gold", extra=_INCIDENT) + "SELECT product, date FROM gold FULL JOIN bad_gold b USING (product, date) WHERE (gold.dau, gold.dau_legacy_any_event, gold.first_open, gold.revenue_gbp) IS DISTINCT FROM (b.dau, b.dau_legacy_any_event, b.first_open, b.revenue_gbp)",
     "x_customer_norm": "SELECT c_custkey, CASE WHEN c_custkey % 5 IN (1, 4) THEN CAST(c_custkey AS VARCHAR) END AS customer_id FROM customer",
-    "x_quality": _sql("SELECT count(*) AS source_rows, count(DISTINCT invoice_no) AS distinct_invoices, count(DISTINCT stock_code) AS distinct_stock_codes, count(DISTINCT country) AS distinct_countries, count(DISTINCT source_sheet) AS source_sheets, CAST(count_if(customer_id IS NULL) AS BIGINT) AS missing_customer_rows, CAST(count_if(invoice_ts IS NULL) AS BIGINT) AS missing_invoice_timestamp_rows, CAST(count_if(is_cancellation) AS BIGINT) AS cancellation_rows, CAST(count_if(quantity <= 0) AS BIGINT) AS nonpositive_quantity_rows, CAST(count_if(unit_price_gbp <= 0) AS BIGINT) AS nonpositive_unit_price_rows, CAST(count_if(is_purchase_line) AS BIGINT) AS purchase_line_rows, CAST(count_if(is_purchase_line AND customer_id IS NOT NULL) AS BIGINT) AS identified_purchase_line_rows, (SELECT CAST(coalesce(sum(n - 1), 0) AS BIGINT) FROM (SELECT count(*) AS n FROM lines GROUP BY invoice_no, stock_code, quantity, invoice_ts, unit_price_gbp, line_value_gbp, customer_id, country, source_sheet)) AS exact_duplicate_rows_excluding_source_id FROM lines", "lines"),
+    "x_quality": _sql("SELECT count(*) AS source_rows, CAST(min(invoice_ts) AS VARCHAR) AS date_min, CAST(max(invoice_ts) AS VARCHAR) AS date_max, count(DISTINCT invoice_no) AS distinct_invoices, count(DISTINCT stock_code) AS distinct_stock_codes, count(DISTINCT country) AS distinct_countries, count(DISTINCT source_sheet) AS source_sheets, CAST(count_if(customer_id IS NULL) AS BIGINT) AS missing_customer_rows, CAST(count_if(invoice_ts IS NULL) AS BIGINT) AS missing_invoice_timestamp_rows, CAST(count_if(is_cancellation) AS BIGINT) AS cancellation_rows, CAST(count_if(quantity <= 0) AS BIGINT) AS nonpositive_quantity_rows, CAST(count_if(unit_price_gbp <= 0) AS BIGINT) AS nonpositive_unit_price_rows, CAST(count_if(is_purchase_line) AS BIGINT) AS purchase_line_rows, CAST(count_if(is_purchase_line AND customer_id IS NOT NULL) AS BIGINT) AS identified_purchase_line_rows, (SELECT CAST(coalesce(sum(n - 1), 0) AS BIGINT) FROM (SELECT count(*) AS n FROM lines GROUP BY invoice_no, stock_code, quantity, invoice_ts, unit_price_gbp, line_value_gbp, customer_id, country, source_sheet)) AS exact_duplicate_rows_excluding_source_id FROM lines", "lines"),
     "x_partition_key": _sql("SELECT coalesce(strftime(invoice_ts, '%Y-%m'), '_invalid_ts') AS partition_key, count(*) AS rows FROM lines GROUP BY ALL", "lines"),
     "x_aggregate": _sql(f"SELECT strftime(date, '%Y-%m') AS month, date, {_DAILY} FROM dated", "dated"),
     "x_daily": _sql(f"SELECT date, {_DAILY} FROM calendar", "calendar"),

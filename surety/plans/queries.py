@@ -14,7 +14,7 @@ from surety.sources import adapters
 Query = Callable[[SparkSession, str], DataFrame]
 SNAPSHOTS = [datetime(2024, 1, d, 23, 59, 59, 999999) for d in (16, 23, 30)]
 MIDMONTH = SNAPSHOTS[1]
-INCIDENT = ("notes_app", "photo_editor", "app_open", date(2024, 1, 10), date(2024, 1, 16))
+INCIDENT = ("notes_app", "photo_editor", "app_open")
 WINDOW = store.MetricQuery(date(1996, 11, 28), date(1997, 1, 4), ("revenue_gbp", "orders"))
 
 
@@ -61,12 +61,13 @@ def watermark_grid(spark, sf_dir):
 
 
 def incident_events(spark, sf_dir):
-    return incident.inject_routing_error(silver(spark, sf_dir), *INCIDENT)
+    certified = silver(spark, sf_dir)
+    return incident.inject_routing_error(certified, *INCIDENT, incident.incident_window(metrics.daily_metrics(certified), certified, INCIDENT[0]))
 
 
 def selective(spark, sf_dir):
     events, ledger = incident_events(spark, sf_dir)
-    fixed = incident.correct_routing(events, ledger, check=False)
+    fixed = incident.correct_routing(events, ledger)
     return incident.selective_gold(metrics.daily_metrics(events), fixed, incident.affected_cells(ledger))
 
 
@@ -74,7 +75,7 @@ def supersession(spark, sf_dir):
     events, ledger = incident_events(spark, sf_dir)
     series = lambda e: forecast.long_series(metrics.daily_metrics(e), ["dau"], ["product"])
     evaluated = lambda e: _round(forecast.evaluate_plan(forecast.rolling_origin(series(e), origins=3), forecast.PlanningGate(min_backtest_points=21)))
-    found = incident.supersession_ledger(evaluated(events), evaluated(incident.correct_routing(events, ledger, check=False)))
+    found = incident.supersession_ledger(evaluated(events), evaluated(incident.correct_routing(events, ledger)))
     return found.select("decision_id", "metric", "evidence_state", "status", "superseded_by", "supersedes", "supersession_reason", "evidence_changed")
 
 
@@ -153,8 +154,6 @@ def streamed_daily(spark, sf_dir):
     return spark.table(name)
 
 
-GRID = ["window_index", "allowed_lateness_hours", "finalizable_events", "late_beyond_watermark_events", "whole_stream_late_beyond_watermark_events", "late_missing_from_finalized_snapshot", "finalized_calendar_dates", "finalized_metric_cells", "revised_metric_cells", "max_abs_dau_revision", "max_abs_paid_subscription_revision", "max_abs_revenue_revision_gbp", "feasible", "selected_in_window"]
-
 QUERIES: dict[str, Query] = {
     "q_silver_sql": lambda s, d: _round(silver(s, d)),
     "q_certify_rejects": lambda s, d: quality.quality_report(judged(s, d)),
@@ -172,10 +171,10 @@ QUERIES: dict[str, Query] = {
     "time_with_lateness": lambda s, d: _round(freshness.with_lateness(silver(s, d)).select("event_id", "ingestion_delay_hours", "late_beyond_watermark")),
     "time_late_summary": lambda s, d: _round(freshness.late_arrival_summary(silver(s, d))),
     "time_available_as_of": lambda s, d: freshness.available_as_of(silver(s, d), MIDMONTH).groupBy("product").agg(F.count("*").alias("events")),
-    "time_late_snapshot": lambda s, d: freshness.late_after_snapshot(silver(s, d), MIDMONTH).select("event_id", "product", "event_date", "watermark_event_date"),
+    "time_late_snapshot": lambda s, d: _round(freshness.late_after_snapshot(silver(s, d), MIDMONTH)),
     "time_revision_report": lambda s, d: _round(freshness.metric_revision_report(silver(s, d), MIDMONTH).drop("processing_as_of"), 4),
     "time_revision_summary": lambda s, d: _round(freshness.revision_summary(freshness.metric_revision_report(silver(s, d), MIDMONTH)), 4),
-    "time_rolling_backtest": lambda s, d: _round(watermark_grid(s, d).select(*GRID), 4),
+    "time_rolling_backtest": lambda s, d: _round(watermark_grid(s, d).drop("processing_as_of")),
     "time_stability": lambda s, d: _round(freshness.stability_summary(watermark_grid(s, d)), 4),
     "time_select_stable": selection,
     "s_uncertainty_grid": lambda s, d: certification.uncertainty_grid(watermark_grid(s, d))[0],
@@ -189,7 +188,7 @@ QUERIES: dict[str, Query] = {
     "f_rolling_origin": lambda s, d: _round(backtest(s, d), 4),
     "f_evaluate_plan": lambda s, d: _round(forecast.evaluate_plan(backtest(s, d))),
     "f_reconciliation": lambda s, d: _round(forecast.reconciliation(backtest(s, d)), 4),
-    "f_bundle": lambda s, d: _round(forecast.evaluate_plan(forecast.rolling_origin(gold_series(s, d), origins=3)).select("series", "backtest_points", "wape", "benchmark_wape", "interval_coverage")),
+    "f_bundle": lambda s, d: _round(forecast.evaluate_plan(forecast.rolling_origin(gold_series(s, d), origins=3))),
     "e_diff_means": lambda s, d: _round(experiment.difference_in_means(users(s, d), "revenue_gbp_30d"), 3),
     "e_diff_props": lambda s, d: _round(experiment.difference_in_proportions(users(s, d), "paid_subscription_30d")),
     "e_ancova": lambda s, d: _round(experiment.adjusted_effect(users(s, d), "revenue_gbp_30d", "pre_revenue_gbp_30d"), 3),
@@ -201,14 +200,15 @@ QUERIES: dict[str, Query] = {
     "g_shadow": lambda s, d: _round(governance.shadow_replay(gold(s, d))),
     "g_shadow_summary": lambda s, d: _round(governance.shadow_summary(governance.shadow_replay(gold(s, d)))),
     "d_propagate": lineage,
+    "n_window": lambda s, d: incident.incident_window(gold(s, d), silver(s, d), INCIDENT[0]),
     "n_inject": lambda s, d: incident_events(s, d)[1].drop("event_ts"),
-    "n_correct": lambda s, d: incident.correct_routing(*incident_events(s, d), check=False).groupBy("product").agg(F.count("*").alias("events")),
+    "n_correct": lambda s, d: incident.correct_routing(*incident_events(s, d)).select("event_id", "product", "event_type", "event_ts"),
     "n_affected": lambda s, d: incident.affected_cells(incident_events(s, d)[1]),
     "n_selective_gold": lambda s, d: _round(selective(s, d)),
     "n_changed": lambda s, d: incident.changed_cells(_round(metrics.daily_metrics(incident_events(s, d)[0])), _round(gold(s, d))),
     "n_supersession": supersession,
     "x_customer_norm": customer_ids,
-    "x_quality": lambda s, d: retail.source_profile(lines(s, d)).drop("date_min", "date_max"),
+    "x_quality": lambda s, d: retail.source_profile(lines(s, d)),
     "x_partition_key": lambda s, d: lines(s, d).groupBy(retail.partition_key().alias("partition_key")).agg(F.count("*").alias("rows")),
     "x_aggregate": lambda s, d: _round(monthly(s, d), 4),
     "x_daily": lambda s, d: _round(retail.daily_metrics(lines(s, d)), 4),

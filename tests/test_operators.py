@@ -4,6 +4,7 @@ import math
 from datetime import date, datetime
 
 import pytest
+from pyspark.sql import functions as F
 
 from surety.functions import canonical, stats
 from surety.operators import experiment, freshness, governance, incident, metrics, quality, retail, store
@@ -82,6 +83,9 @@ def test_tampered_ledger_is_refused(spark, sf_dir):
     events, ledger = queries.incident_events(spark, sf_dir)
     with pytest.raises(ContractError):
         incident.correct_routing(events, ledger.withColumn("event_type", ledger.event_id))
+    for wrong in (ledger.withColumn("event_id", F.concat("event_id", F.lit("x"))), ledger.unionByName(ledger), ledger.withColumn("incident_product", F.lit("file_transfer"))):
+        with pytest.raises(ContractError):
+            incident.correct_routing(events, wrong)
 
 
 def lines(spark):
