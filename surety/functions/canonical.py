@@ -4,8 +4,6 @@ from __future__ import annotations
 
 import hashlib
 import json
-from collections.abc import Iterable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,19 +19,23 @@ def ascii_sha256(value) -> str:
     return hashlib.sha256(json.dumps(value, sort_keys=True, separators=(",", ":")).encode()).hexdigest()
 
 
-def frame_sha256(df: DataFrame, keys: Iterable[str]) -> str:
-    """Logical hash of a small table: rows as JSON in key order, whatever files or partitions held them."""
-    rows = df.select(F.to_json(F.struct(*sorted(df.columns)), {"ignoreNullFields": "false"}).alias("row"), *[F.col(k).alias(f"_{k}") for k in keys])
-    out = hashlib.sha256()
-    for r in rows.orderBy(*[f"_{k}" for k in keys], "row").toLocalIterator():
-        out.update(r["row"].encode() + b"\n")
-    return out.hexdigest()
+def frame_sha256(df: DataFrame) -> str:
+    """Logical hash of a table: whatever files, partitions or order held its rows.
+
+    Each row's SHA-256, as JSON with sorted columns, goes into sums of its eight parts, which
+    are combined where the rows are; only the sums and the count reach the driver.
+    """
+    row = F.sha2(F.to_json(F.struct(*sorted(df.columns)), {"ignoreNullFields": "false"}), 256)
+    part = lambda k: F.conv(F.substr("h", F.lit(8 * k + 1), F.lit(8)), 16, 10).cast("decimal(38,0)")
+    sums = df.select(row.alias("h")).agg(F.count("*").alias("n"), *[F.sum(part(k)).alias(f"s{k}") for k in range(8)]).first()
+    return canonical_sha256([",".join(sorted(df.columns)), sums["n"], *[str(sums[f"s{k}"] or 0) for k in range(8)]])
 
 
 def file_manifest(spark: SparkSession, path: str) -> DataFrame:
-    """(path, bytes, sha256) of every file below ``path``, hashed where the files are read."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    return files.select("path", F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+    """(path, bytes, sha256) of every file below ``path``, read in pieces on the executors."""
+    from surety.sources.files import file_digests, list_files
+
+    return file_digests(spark, list_files(path))
 
 
 def manifest_failures(manifest: DataFrame, observed: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterable
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import asdict, dataclass, replace
-from datetime import date
+from datetime import date, timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,10 +13,12 @@ from pyspark.sql import functions as F
 from surety.functions.canonical import ascii_sha256
 from surety.operators import retail
 from surety.schemas import ContractError
-from surety.sources.files import folder_sha256, read_json, write_json
+from surety.sources.files import folder_hashes, read_json, write_json
 
 #: Fixed values of the serving contract.
 STATE_VERSION, LONGEST_QUERY_DAYS, WORKERS = "1", 366, 8
+#: Months that one job of a run materialises and commits.
+COMMIT_MONTHS = 12
 INTEGER_METRICS = ("orders", "purchase_lines", "active_customers")
 SCHEMA_FAMILY, DEFAULT_SCHEMA, LATEST_SCHEMA = "retail-metrics-response", "1.0", "1.1"
 
@@ -44,20 +46,24 @@ def _part(root: str, month: str) -> str:
 def write_canonical(lines: DataFrame, root: str) -> dict[str, dict]:
     """Month partitions of canonical lines and their manifest (rows and byte hash by month).
 
-    One shuffle by month and a salt: a month with a third of all lines is several files.
+    One shuffle that is rebalanced by size: a month with a third of all lines is several
+    files.  The rows are counted from the files written, which their footers tell.
     """
     keyed = lines.withColumn("month", retail.partition_key())
-    keyed.repartition("month", F.pmod(F.xxhash64("source_row_id"), F.lit(8))).sortWithinPartitions("month", "source_row_id").write.mode("overwrite").option("compression", "zstd").partitionBy("month").parquet(root)
-    rows = {r["month"]: r["count"] for r in keyed.groupBy("month").count().collect()}  # one row a month
-    manifest = {m: {"rows": n, "sha256": folder_sha256(_part(root, m))} for m, n in sorted(rows.items())}
+    keyed.hint("rebalance", "month").sortWithinPartitions("month", "source_row_id").write.mode("overwrite").option("compression", "zstd").partitionBy("month").parquet(root)
+    written = lines.sparkSession.read.option("spark.sql.sources.partitionColumnTypeInference.enabled", "false").parquet(root)
+    rows = {str(r["month"]): r["count"] for r in written.groupBy(F.col("month").cast("string").alias("month")).count().collect()}  # one row a month
+    hashes = folder_hashes(lines.sparkSession, [_part(root, m) for m in rows])
+    manifest = {m: {"rows": n, "sha256": hashes[_part(root, m)]} for m, n in sorted(rows.items())}
     write_json(f"{root}-manifest.json", manifest)
     return manifest
 
 
-def verify_manifest(root: str, manifest: dict[str, dict]) -> None:
-    """The expensive audit: every partition's bytes."""
+def verify_manifest(spark: SparkSession, root: str, manifest: dict[str, dict]) -> None:
+    """The expensive audit: every partition's bytes, read on the executors."""
+    found = folder_hashes(spark, [_part(root, m) for m in manifest])
     for month, entry in manifest.items():
-        if folder_sha256(_part(root, month)) != entry["sha256"]:
+        if found[_part(root, month)] != entry["sha256"]:
             raise ContractError(f"partition {month} differs from the manifest")
 
 
@@ -71,27 +77,31 @@ def _state(uri: str) -> dict:
 def run_incremental(spark: SparkSession, root: str, manifest: dict[str, dict], metrics: str, state_uri: str, stop_after: int | None = None, audit: bool = False) -> RunStats:
     """Aggregate only months that are missing, revised at the source, or damaged.
 
-    All stale months are one Spark job (or ``stop_after`` of them at a time); the state
-    is committed month by month once their files are in place.
+    Stale months are done COMMIT_MONTHS at a time, one Spark job for each group, and the
+    state is committed once its files are in place: a crash loses a group at most.
     """
     state = _state(state_uri)
     done = state["partitions"]
     if audit:
-        verify_manifest(root, manifest)
+        verify_manifest(spark, root, manifest)
 
     def reusable(month: str) -> bool:
         was, entry = done.get(month), manifest[month]
-        return bool(was) and was["status"] == "complete" and was["source_sha256"] == entry["sha256"] and was["source_rows"] == entry["rows"] and was["metric_sha256"] is not None and was["metric_sha256"] == folder_sha256(_part(metrics, month))
+        bound = bool(was) and was["status"] == "complete" and was["source_sha256"] == entry["sha256"] and was["source_rows"] == entry["rows"]
+        return bound and was["metric_sha256"] is not None and was["metric_sha256"] == held[_part(metrics, month)]
 
+    held = folder_hashes(spark, [_part(metrics, m) for m in manifest if m in done])
     stale = [m for m in sorted(manifest) if not reusable(m)]
     todo = stale if stop_after is None else stale[:stop_after]
-    if todo:
-        lines = spark.read.option("basePath", root).parquet(*[_part(root, m) for m in todo]).withColumn("month", F.col("month").cast("string"))
+    for first in range(0, len(todo), COMMIT_MONTHS):
+        group = todo[first : first + COMMIT_MONTHS]
+        lines = spark.read.option("basePath", root).parquet(*[_part(root, m) for m in group]).withColumn("month", F.col("month").cast("string"))
         daily = retail.dated_metrics(lines, "month")
         daily.repartition("month").sortWithinPartitions("month", "date").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("compression", "zstd").partitionBy("month").parquet(metrics)
-        for m in todo:
-            done[m] = {"status": "complete", "source_rows": manifest[m]["rows"], "source_sha256": manifest[m]["sha256"], "metric_sha256": folder_sha256(_part(metrics, m))}
-            write_json(state_uri, state)
+        made = folder_hashes(spark, [_part(metrics, m) for m in group])
+        for m in group:
+            done[m] = {"status": "complete", "source_rows": manifest[m]["rows"], "source_sha256": manifest[m]["sha256"], "metric_sha256": made[_part(metrics, m)]}
+        write_json(state_uri, state)
     if stop_after is not None and len(todo) >= stop_after:
         raise Interrupted(f"stopped after {len(todo)} partitions")
     return RunStats(len(todo), len(manifest) - len(todo), sum(manifest[m]["rows"] for m in todo), len(manifest) if audit else 0)
@@ -185,6 +195,50 @@ def check_response(response: dict, version: str, metrics: tuple[str, ...]) -> No
         raise ReportingError("the response names another schema version")
 
 
+def schema_dict(schema: ResponseSchema) -> dict:
+    """A response schema as plain data, fields as [name, type] pairs."""
+    return {"version": schema.version, **{part: [list(x) for x in fields.items()] for part, fields in schema.sections.items()}}
+
+
+def schema_registry() -> dict:
+    return {"schema_family": SCHEMA_FAMILY, "default_schema_version": DEFAULT_SCHEMA, "latest_schema_version": LATEST_SCHEMA, "supported_schema_versions": list(SCHEMAS), "schemas": [schema_dict(s) for s in SCHEMAS.values()]}
+
+
+def reporting_contract() -> dict:
+    """What the store promises to those who query it."""
+    return {
+        "version": STATE_VERSION, "default_schema_version": DEFAULT_SCHEMA, "latest_schema_version": LATEST_SCHEMA, "supported_schema_versions": list(SCHEMAS),
+        "grain": "one row a calendar date", "partition_key": "calendar month of the event date", "max_query_days": LONGEST_QUERY_DAYS, "metric_allowlist": list(retail.METRICS),
+        "missing_day_policy": "a day without purchases is a row of zeros", "integrity_rule": "the bytes of the selected partitions and their bindings to source and state are verified before they are read",
+        "partition_pruning_rule": "only months that the window touches are read", "execution_isolation_rule": "each request has a Spark session of its own", "point_in_time_claim": False,
+    }
+
+
+def state_frame(spark: SparkSession, state_uri: str) -> DataFrame:
+    """The durable state, one row a partition."""
+    rows = [(m, x["status"], x["source_rows"], x["source_sha256"], x["metric_sha256"]) for m, x in sorted(_state(state_uri)["partitions"].items())]
+    return spark.createDataFrame(rows, "partition_key string, status string, source_rows long, source_sha256 string, metric_sha256 string")
+
+
+def output_hashes(spark: SparkSession, metrics: str, months: Iterable[str]) -> dict[str, str | None]:
+    return {m: h for m, h in zip(months, folder_hashes(spark, [_part(metrics, m) for m in months]).values())}
+
+
+def corrupt_partition(metrics: str, month: str) -> str:
+    """Append a byte to one of a partition's files, for tests of repair; returns the file."""
+    from surety.sources.files import file_system, list_files
+
+    found = list_files(_part(metrics, month), "part-")
+    if not found:
+        raise ContractError(f"partition {month} has no files")
+    system, path = file_system(found[0])
+    with system.open_input_stream(path) as f:
+        data = f.read()
+    with system.open_output_stream(path) as f:
+        f.write(data + b"\0")
+    return found[0]
+
+
 @dataclass(frozen=True)
 class MetricQuery:
     start_date: date
@@ -214,8 +268,7 @@ class MetricStore:
             raise ReportingError("manifest and state name different partitions")
         months = sorted(manifest)
         ends = sorted({months[0], months[-1]})
-        for m in ends:
-            self._provenance(m)
+        self._provenance(ends)
         low, high = self._read(ends).agg(F.min("date"), F.max("date")).first()
         if low is None:
             raise ReportingError("the store has no dates")
@@ -230,13 +283,17 @@ class MetricStore:
     def _read(self, months: Iterable[str], spark: SparkSession | None = None) -> DataFrame:
         return (spark or self.spark).read.parquet(*[_part(self.metrics, m) for m in months])
 
-    def _provenance(self, month: str) -> dict[str, str]:
-        was, entry = self.state[month], self.manifest[month]
-        if was["status"] != "complete" or was["source_sha256"] != entry["sha256"] or was["source_rows"] != entry["rows"]:
-            raise ReportingError(f"partition {month} is not bound to its source")
-        if (found := folder_sha256(_part(self.metrics, month))) is None or found != was["metric_sha256"]:
-            raise ReportingError(f"partition {month} does not have its recorded bytes")
-        return {"partition_key": month, "source_sha256": entry["sha256"], "metric_sha256": found}
+    def _provenance(self, months: Iterable[str]) -> list[dict[str, str]]:
+        """Bindings of the months, whose bytes are hashed before Spark reads them."""
+        out, held = [], folder_hashes(self.spark, [_part(self.metrics, m) for m in months])
+        for month in months:
+            was, entry, found = self.state[month], self.manifest[month], held[_part(self.metrics, month)]
+            if was["status"] != "complete" or was["source_sha256"] != entry["sha256"] or was["source_rows"] != entry["rows"]:
+                raise ReportingError(f"partition {month} is not bound to its source")
+            if found is None or found != was["metric_sha256"]:
+                raise ReportingError(f"partition {month} does not have its recorded bytes")
+            out.append({"partition_key": month, "source_sha256": entry["sha256"], "metric_sha256": found})
+        return out
 
     def _check(self, q: MetricQuery) -> None:
         low, high = self.available
@@ -267,7 +324,7 @@ class MetricStore:
         months = months_between(q.start_date, q.end_date)
         if gone := [m for m in months if m not in self.state]:
             raise ReportingError(f"no partitions {gone}")
-        provenance = [self._provenance(m) for m in months]
+        provenance = self._provenance(months)
         rows = self.frame(q, spark).orderBy("date").collect()  # LONGEST_QUERY_DAYS rows at most
         data = [{"date": r["date"].isoformat(), **{m: int(r[m]) if m in INTEGER_METRICS else float(r[m]) for m in q.metrics}} for r in rows]
         asked = {"start_date": q.start_date.isoformat(), "end_date": q.end_date.isoformat(), "metrics": list(q.metrics)}
@@ -291,6 +348,34 @@ class Request:
     expected_success: bool = True
 
 
+def reference_workload(low: date, high: date) -> list[Request]:
+    """Twelve requests over a store's dates: five consumers' windows and one week that six more ask for."""
+    span = (high - low).days
+
+    def window(first: float, days: int) -> tuple[date, date]:
+        start = low + timedelta(days=int(span * first))
+        return start, min(high, start + timedelta(days=days - 1))
+
+    month, quarter, winter, year = window(0.5, 31), window(0.6, 90), window(0.48, 62), window(0.05, 365)
+    early, hot = window(0.0, 31), MetricQuery(*window(0.5, 7), retail.METRICS)
+    asked = [
+        Request("finance-month-v1-0", "finance", MetricQuery(*month, ("revenue_gbp", "orders")), "1.0"), Request("finance-month-v1-1", "finance-next", MetricQuery(*month, ("revenue_gbp", "orders")), "1.1"),
+        Request("growth-quarter", "growth", MetricQuery(*quarter, ("orders", "active_customers"))), Request("operations-winter", "operations", MetricQuery(*winter, ("units", "purchase_lines"))),
+        Request("planning-year", "planning", MetricQuery(*year, retail.METRICS), "1.1"), Request("early-history", "analyst", MetricQuery(*early, ("revenue_gbp", "orders"))),
+    ]
+    return asked + [Request(f"hot-week-{i}", f"hot-consumer-{i}", hot, "1.1") for i in range(1, 7)]
+
+
+def failure_workload(low: date) -> list[Request]:
+    """Three requests that a contract refuses: an unknown metric, an unknown schema, a repeated metric."""
+    two = (low, low + timedelta(days=1))
+    return [Request("bad-metric", "faulty-metric", MetricQuery(*two, ("profit",)), expected_success=False), Request("bad-schema", "faulty-schema", MetricQuery(*two, ("orders",)), "2.0", False), Request("bad-repeat", "faulty-repeat", MetricQuery(*two, ("orders", "orders")), expected_success=False)]
+
+
+def request_dict(request: Request) -> dict:
+    return {**asdict(request), "query": {"start_date": request.query.start_date.isoformat(), "end_date": request.query.end_date.isoformat(), "metrics": list(request.query.metrics)}}
+
+
 def execute(store: MetricStore, request: Request) -> dict:
     """One request in a session of its own; only contract errors are caught."""
     base = {"request_id": request.request_id, "consumer_id": request.consumer_id, "schema_version": request.schema_version}

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import SparkSession
 
 
@@ -13,3 +16,18 @@ def session(name: str = "surety", master: str | None = None, **conf: str) -> Spa
     for key, value in conf.items():
         builder = builder.config(key.replace("__", "."), value)
     return builder.getOrCreate()
+
+
+def scratch_uri(spark: SparkSession, name: str) -> str:
+    """A fresh folder below ``spark.checkpoint.dir``, which driver and executors share.
+
+    Only a local master without that setting gets a temporary folder.
+    """
+    context = spark.sparkContext
+    base = context.getConf().get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if not base:
+        if not (context.master == "local" or context.master.startswith("local[")):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="surety-"))
+        base = context.getCheckpointDir()
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}".replace("file:/", "file:///").replace("file://///", "file:///")

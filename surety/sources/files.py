@@ -41,20 +41,83 @@ def write_json(uri: str, value) -> None:
     system.move(path + ".new", path)
 
 
-def folder_sha256(uri: str) -> str | None:
-    """Hash over the bytes of a folder's data files in name order; None without any."""
+def list_files(uri: str, prefix: str = "") -> list[str]:
+    """URIs of all files below a folder whose names begin with ``prefix``; none if there is no such folder."""
     from pyarrow import fs
 
     system, path = file_system(uri)
     if system.get_file_info(path).type == fs.FileType.NotFound:
-        return None
-    files = sorted(i.path for i in system.get_file_info(fs.FileSelector(path)) if i.base_name.startswith("part-"))
-    out = hashlib.sha256()
-    for name in files:
-        with system.open_input_stream(name) as f:
-            while chunk := f.read(1 << 20):
-                out.update(chunk)
-    return out.hexdigest() if files else None
+        return []
+    root = uri if "://" in uri else Path(uri).absolute().as_uri()
+    found = [i.path for i in system.get_file_info(fs.FileSelector(path, recursive=True)) if i.type == fs.FileType.File and i.base_name.startswith(prefix)]
+    return sorted(root.rstrip("/") + f[len(path.rstrip("/")) :] for f in found)
+
+
+def file_sha256(uri: str) -> tuple[int, str]:
+    """Bytes and SHA-256 of a file, read in pieces."""
+    system, path = file_system(uri)
+    out, size = hashlib.sha256(), 0
+    with system.open_input_stream(path) as f:
+        while chunk := f.read(1 << 20):
+            out.update(chunk)
+            size += len(chunk)
+    return size, out.hexdigest()
+
+
+def file_digests(spark: SparkSession, uris: list[str]) -> DataFrame:
+    """(path, bytes, sha256) of the files, each hashed where a task reads it."""
+
+    def digest(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            found = [(uri, *file_sha256(uri)) for uri in batch.column(0).to_pylist()]
+            yield pa.record_batch({"path": pa.array([x[0] for x in found], pa.string()), "bytes": pa.array([x[1] for x in found], pa.int64()), "sha256": pa.array([x[2] for x in found], pa.string())})
+
+    named = spark.createDataFrame([(u,) for u in uris], "path string")
+    return named.repartition(max(1, min(len(uris), 10_000)), "path").mapInArrow(digest, "path string, bytes long, sha256 string")
+
+
+#: Bytes up to which folders are hashed here instead of by a job of their own.
+FEW_BYTES = 16 << 20
+
+
+def folder_hashes(spark: SparkSession, uris: list[str]) -> dict[str, str | None]:
+    """A hash over the bytes of each folder's data files, whatever their names; None without any.
+
+    The files' digests come from the executors, one job for all folders; only they reach the driver.
+    """
+    from pyarrow import fs
+
+    files = {u: list_files(u, "part-") for u in uris}
+    every = sorted({f for found in files.values() for f in found})
+    size = 0
+    if every:
+        system, _ = file_system(every[0])
+        size = sum(i.size for i in system.get_file_info([file_system(f)[1] for f in every]) if i.type == fs.FileType.File)
+    known = {f: file_sha256(f)[1] for f in every} if size <= FEW_BYTES else {r["path"]: r["sha256"] for r in file_digests(spark, every).collect()}
+    return {u: hashlib.sha256("".join(sorted(known[f] for f in found)).encode()).hexdigest() if found else None for u, found in files.items()}
+
+
+def write_csv(df: DataFrame, uri: str) -> None:
+    """A table as CSV with a header; one file where one task can write it."""
+    df.write.mode("overwrite").option("header", True).csv(uri)
+
+
+def write_manifest(spark: SparkSession, folder: str, uri: str) -> list[dict]:
+    """Path, bytes and SHA-256 of every file below ``folder``, sorted, as JSON at ``uri``; an empty folder is refused."""
+    found = [r.asDict() for r in file_digests(spark, list_files(folder)).orderBy("path").collect()]  # a row a file
+    if not found:
+        raise ContractError(f"{folder} has no files")
+    write_json(uri, {"files": found})
+    return found
+
+
+def provenance(source: str, workbook: str, sheets: list[str], url: str, identifier: str, licence: str) -> dict:
+    """Where an external source came from and what it is; it has no ingestion time, and none is claimed."""
+    parts = {name: file_sha256(path if "://" in path else Path(path).absolute().as_uri()) for name, path in (("archive", source), ("workbook", workbook))}
+    sizes = {f"{name}_{what}": value for name, pair in parts.items() for what, value in zip(("bytes", "sha256"), pair)}
+    return {"source_url": url, "identifier": identifier, "license": licence, **sizes, "sheets": sheets, "ingestion_timestamp_available": False, "late_arrival_or_watermark_claimed": False}
 
 
 def read_manifest(spark: SparkSession, uri: str) -> DataFrame:
