@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import copy
 from collections.abc import Iterable, Mapping
-from dataclasses import dataclass, field, replace
+from dataclasses import asdict, dataclass, field, replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from surety.functions.canonical import canonical_sha256
+from surety.operators.forecast import ORIGINS, evaluate_plan, mature_history, rolling_origin
 from surety.schemas import EVENT_TYPES, PRODUCTS, ContractError
 
 #: Fixed value: the largest relative metric change that a migration may bring.
@@ -19,7 +20,7 @@ FRESH, DIRECT, DOWNSTREAM = "FRESH", "DIRECT_STALE", "DOWNSTREAM_STALE"
 
 
 def event_contract() -> dict:
-    # Fixed values of the event contract.
+    # The contract's keys, names and lists.  The rules are this engine's own words.
     return {
         "version": "1.2",
         "grain": "one product event per row",
@@ -175,23 +176,22 @@ def propagate(nodes: Iterable[Node], candidates: Mapping[str, str]) -> dict[str,
     return found
 
 
-def propagate_sql(spark: SparkSession, nodes: Iterable[Node], candidates: Mapping[str, str]) -> DataFrame:
-    """The same as reachability over an edge table, for graphs of any size."""
+def propagate_sql(spark: SparkSession, nodes: Iterable[Node], cases: Mapping[str, Mapping[str, str]]) -> DataFrame:
+    """(proposal, node_id, status): the same as reachability over an edge table, for graphs of any size and all cases at once."""
     nodes = ordered(nodes)
-    rows = [(n.node_id, candidates.get(n.node_id, n.fingerprint) != n.fingerprint) for n in nodes]
-    spark.createDataFrame(rows, "node_id string, changed boolean").createOrReplaceTempView("_evidence_nodes")
-    spark.createDataFrame([(d, n.node_id) for n in nodes for d in n.dependencies], "parent string, child string").createOrReplaceTempView("_evidence_edges")
-    return spark.sql(REACHABLE)
+    rows = [(name, n.node_id, found.get(n.node_id, n.fingerprint) != n.fingerprint) for name, found in cases.items() for n in nodes]
+    edges = spark.createDataFrame([(d, n.node_id) for n in nodes for d in n.dependencies], "parent string, child string")
+    return spark.sql(REACHABLE, nodes=spark.createDataFrame(rows, "proposal string, node_id string, changed boolean"), edges=edges)
 
 
 REACHABLE = """
-WITH RECURSIVE stale(node_id) AS (
-    SELECT node_id FROM _evidence_nodes WHERE changed
+WITH RECURSIVE stale(proposal, node_id) AS (
+    SELECT proposal, node_id FROM {nodes} WHERE changed
     UNION ALL
-    SELECT e.child FROM stale s JOIN _evidence_edges e ON e.parent = s.node_id
-), hit AS (SELECT DISTINCT node_id FROM stale)
-SELECT n.node_id, CASE WHEN n.changed THEN 'DIRECT_STALE' WHEN h.node_id IS NOT NULL THEN 'DOWNSTREAM_STALE' ELSE 'FRESH' END AS status
-FROM _evidence_nodes n LEFT JOIN hit h ON h.node_id = n.node_id
+    SELECT s.proposal, e.child FROM stale s JOIN {edges} e ON e.parent = s.node_id
+), hit AS (SELECT DISTINCT proposal, node_id FROM stale)
+SELECT n.proposal, n.node_id, CASE WHEN n.changed THEN 'DIRECT_STALE' WHEN h.node_id IS NOT NULL THEN 'DOWNSTREAM_STALE' ELSE 'FRESH' END AS status
+FROM {nodes} n LEFT JOIN hit h ON h.proposal = n.proposal AND h.node_id = n.node_id
 """
 
 
@@ -237,3 +237,59 @@ def complete(plan: Revalidation) -> Revalidation:
     if plan.status != "READY":
         raise ContractError("only a ready plan can be completed")
     return replace(plan, status="REVALIDATED")
+
+
+def registry() -> dict:
+    """The current contract, and each proposal with its classification."""
+    current = event_contract()
+    found = {}
+    for name, proposal in sorted(proposals().items()):
+        kind, compatible, reasons = classify(current, proposal)
+        found[name] = {"contract": proposal, "classification": kind, "producer_compatible": compatible, "reasons": list(reasons)}
+    return {"current": current, "proposals": found}
+
+
+def serialise(nodes: Iterable[Node]) -> list[dict]:
+    """The graph as plain data, nodes in their order."""
+    return [{**asdict(n), "dependencies": list(n.dependencies)} for n in nodes]
+
+
+def dau_series(gold: DataFrame, silver: DataFrame, definitions: Mapping[str, str]) -> DataFrame:
+    """Mature daily use by product under several definitions: series ``<product>:dau|<definition>``."""
+    history = mature_history(gold, silver)
+    values = F.array(*[F.struct(F.lit(name).alias("definition"), F.col(column).cast("double").alias("value")) for name, column in definitions.items()])
+    rows = history.select("product", "date", F.inline(values))
+    return rows.select(F.concat("product", F.lit(":dau|"), "definition").alias("series"), "date", "value")
+
+
+def evaluated_definitions(gold: DataFrame, silver: DataFrame, definitions: Mapping[str, str], origins: int = ORIGINS) -> DataFrame:
+    """Forecast evaluations of daily use, one row a product and definition, all series in one plan."""
+    found = evaluate_plan(rolling_origin(dau_series(gold, silver, definitions), origins))
+    return found.select(F.split_part("series", F.lit(":"), F.lit(1)).alias("product"), F.split_part("series", F.lit("|"), F.lit(2)).alias("definition"), *[c for c in found.columns if c != "series"])
+
+
+def forecast_impact(gold: DataFrame, silver: DataFrame, origins: int = ORIGINS) -> DataFrame:
+    """What any-event activity would do to each product's forecast, and whether its eligibility changes."""
+    found = evaluated_definitions(gold, silver, {"current": "dau", "candidate": "dau_legacy_any_event"}, origins)
+    of = lambda name, c: F.max(F.when(F.col("definition") == name, F.col(c))).alias(f"{name}_{c}")
+    wide = found.groupBy("product").agg(*[of(name, c) for c in ("wape", "benchmark_wape", "interval_coverage", "approved") for name in ("current", "candidate")])
+    cutoff = mature_history(gold, silver).groupBy("product").agg(F.max("date").alias("observation_cutoff"))
+    return wide.join(cutoff, "product").withColumn("eligibility_changed", F.col("current_approved") != F.col("candidate_approved"))
+
+
+def candidate_forecasts(gold: DataFrame, silver: DataFrame, origins: int = ORIGINS) -> DataFrame:
+    """Forecast evaluations under the adopted meaning of daily use."""
+    return evaluated_definitions(gold, silver, {"adopted": "dau_legacy_any_event"}, origins).drop("definition")
+
+
+def replacements(nodes: Iterable[Node], roots: Mapping[str, str], forecasts: Iterable[Mapping]) -> tuple[dict[str, str], dict[str, str]]:
+    """(fingerprints, actions) of what an adopted meaning of daily use rebuilds; ``forecasts``: a row a product."""
+    old = {n.node_id: n for n in nodes}
+    needs = ("contract:producer_shape", "semantic:dau")
+    prints = {"semantic:dau": roots["semantic:dau"], "metric:dau": canonical_sha256(["dau", *(roots[n] for n in needs)])}
+    actions = {k: old[k].baseline_action for k in prints}
+    for row in forecasts:
+        product, ok = row["product"], bool(row["approved"])
+        prints[f"forecast:{product}:dau"], actions[f"forecast:{product}:dau"] = canonical_sha256(dict(row)), "APPROVE" if ok else "WITHHOLD"
+        prints[f"planning:{product}:dau"], actions[f"planning:{product}:dau"] = canonical_sha256([product, ok]), "PLAN" if ok else "WITHHOLD"
+    return prints, actions

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from surety.operators import store
+
 _STEPS: dict[str, str] = {
     "bronze": """SELECT 'e' || lpad(CAST(event_id AS VARCHAR), 10, '0') AS event_id,
         CASE WHEN event_id % 97 = 0 THEN NULL ELSE 'u' || lpad(CAST(user_id AS VARCHAR), 8, '0') END AS user_id,
@@ -113,6 +115,62 @@ _GOLD_SERIES = {
 
 _PLAN = """SELECT series, origins, horizon_days, backtest_points, round(mape, 6) AS mape, round(wape, 6) AS wape, round(benchmark_mape, 6) AS benchmark_mape, round(benchmark_wape, 6) AS benchmark_wape, round(interval_coverage, 6) AS interval_coverage, round((benchmark_wape - wape) / nullif(benchmark_wape, 0), 6) AS relative_wape_improvement, 0.9::DOUBLE AS interval_nominal_coverage, g1 AS enough_backtest_gate, g2 AS absolute_accuracy_gate, g3 AS benchmark_gate, g4 AS interval_coverage_gate, g1 AND g2 AND g3 AND g4 AS approved, CASE WHEN g1 AND g2 AND g3 AND g4 THEN 'forecast eligible for planning' ELSE concat_ws('; ', CASE WHEN NOT g1 THEN 'too few backtest points' END, CASE WHEN NOT g2 THEN 'absolute accuracy fails' END, CASE WHEN NOT g3 THEN 'worse than the last value' END, CASE WHEN NOT g4 THEN 'interval coverage too low' END) END AS reason FROM (SELECT *, backtest_points >= 28 AS g1, coalesce(mape <= 0.2 AND wape <= 0.2, FALSE) AS g2, coalesce(wape <= benchmark_wape + 1e-15, FALSE) AS g3, interval_coverage >= 0.85 AS g4 FROM evaluated)"""
 
+def _dau(column: str, name: str) -> str:
+    return f"SELECT product || ':dau|{name}' AS series, date, CAST({column} AS DOUBLE) AS value FROM daily JOIN cut USING (product) WHERE date <= last"
+
+
+def _definitions(select: str, *series: tuple[str, str]) -> str:
+    """Evaluations of daily use under some definitions, then ``select`` from them as ``found``."""
+    extra = {**_GOLD_SERIES, "series": " UNION ALL ".join(_dau(*x) for x in series), "found": f"SELECT split_part(series, ':', 1) AS product, split_part(series, '|', 2) AS definition, * EXCLUDE (series) FROM ({_PLAN})"}
+    return _with("daily", "cut", "series", "points", "radii", "ends", "backtest", "evaluated", "found", origins=3, extra=extra) + select
+
+
+_IMPACT = ["wape", "benchmark_wape", "interval_coverage", "approved"]
+_IMPACT_COLUMNS = ", ".join(f"{'bool_or' if c == 'approved' else 'max'}({c}) FILTER (WHERE definition = '{d}') AS {d}_{c}" for c in _IMPACT for d in ("current", "candidate"))
+
+
+def _tail(k: str, n: str, p: str) -> str:
+    """P(X <= k), term by term."""
+    return f"list_sum(list_transform(range(CAST({k} AS BIGINT) + 1), lambda i: exp(lgamma({n} + 1) - lgamma(i + 1) - lgamma({n} - i + 1) + i * ln({p}) + ({n} - i) * ln(1 - {p}))))"
+
+
+#: One-sided upper bounds by bisection on the tail, 60 halvings.
+_BOUNDS_STEPS = {
+    "asked": "SELECT window_index, h, 'late' AS kind, CAST(late_beyond_watermark_events AS DOUBLE) AS k, CAST(finalizable_events AS DOUBLE) AS n FROM grid UNION ALL SELECT window_index, h, 'cell', CAST(revised_metric_cells AS DOUBLE), CAST(finalized_metric_cells AS DOUBLE) FROM grid",
+    "halved": f"SELECT window_index, h, kind, k, n, k / n AS lo, 1.0::DOUBLE AS hi, 0 AS step FROM asked UNION ALL SELECT window_index, h, kind, k, n, CASE WHEN {_tail('k', 'n', '((lo + hi) / 2)')} > 0.05::DOUBLE / (2 * 12) THEN (lo + hi) / 2 ELSE lo END, CASE WHEN {_tail('k', 'n', '((lo + hi) / 2)')} > 0.05::DOUBLE / (2 * 12) THEN hi ELSE (lo + hi) / 2 END, step + 1 FROM halved WHERE step < 60",
+    "bounded": "SELECT window_index, h, max(lo) FILTER (WHERE kind = 'late') AS late_upper, max(lo) FILTER (WHERE kind = 'cell') AS cell_upper FROM halved WHERE step = 60 GROUP BY ALL",
+    "judged_grid": "SELECT *, late_upper <= 0.005::DOUBLE AS p1, cell_upper <= 0.01::DOUBLE AS p2, max_abs_revenue_revision_gbp <= 10 AS p3, max_abs_paid_subscription_revision <= 1 AS p4 FROM grid JOIN bounded USING (window_index, h)",
+}
+
+
+def _bounds(select: str) -> str:
+    return _with("grid", *_BOUNDS_STEPS, extra=_BOUNDS_STEPS).replace("WITH ", "WITH RECURSIVE ", 1) + select
+
+
+def _fields(schema) -> str:
+    return ", ".join(f"('{part}.{name}', '{kind}')" for part, fields in schema.sections.items() for name, kind in fields.items())
+
+
+def _schema_changes() -> str:
+    """Fields of the response schemas as rows; what is added and what breaks follows from a full join."""
+    base = store.SCHEMAS["1.0"]
+    candidates = {"add_contract_metadata": store.SCHEMAS["1.1"], "rename_row_count_to_rows": store.with_field(base, "top_level", "row_count", "x", new_name="rows"), "change_orders_integer_to_float": store.with_field(base, "metric", "orders", "x", new_type="float")}
+    sides = " UNION ALL ".join(f"SELECT '{name}' AS proposal, * FROM (VALUES {_fields(schema)}) v(field, kind)" for name, schema in candidates.items())
+    names = ", ".join(f"('{name}')" for name in candidates)
+    return f"""WITH old AS (SELECT proposal, field, kind FROM (VALUES {names}) p(proposal), (VALUES {_fields(base)}) v(field, kind)), new AS ({sides}),
+        compared AS (SELECT proposal, old.kind IS NULL AS added, old.kind IS NOT NULL AND (new.kind IS NULL OR new.kind <> old.kind) AS broken FROM old FULL JOIN new USING (proposal, field)),
+        counted AS (SELECT proposal, CAST(count_if(added) AS BIGINT) AS additions, CAST(count_if(broken) AS BIGINT) AS breaking FROM compared GROUP BY ALL)
+        SELECT proposal, CASE WHEN breaking > 0 THEN 'BREAKING' WHEN additions > 0 THEN 'ADDITIVE' ELSE 'IDENTICAL' END AS classification, CASE WHEN breaking = 0 AND additions > 0 THEN 'APPROVE' ELSE 'WITHHOLD' END AS action, additions, breaking FROM counted"""
+
+
+_SUPERSEDED = {
+    **_INCIDENT,
+    "series": "SELECT 'incident|' || product || ':dau' AS series, date, CAST(dau AS DOUBLE) AS value FROM bad_daily UNION ALL SELECT 'corrected|' || product || ':dau', date, CAST(dau AS DOUBLE) FROM daily",
+    "found": f"SELECT split_part(series, '|', 1) AS state, split_part(series, '|', 2) AS metric, backtest_points >= 21 AND coalesce(mape <= 0.2 AND wape <= 0.2 AND wape <= benchmark_wape + 1e-15, FALSE) AND interval_coverage >= 0.85 AS ok, * EXCLUDE (series, approved, reason, enough_backtest_gate) FROM ({_PLAN})",
+    "pairs": "SELECT a.metric, (a.origins, a.horizon_days, a.backtest_points, a.mape, a.wape, a.benchmark_mape, a.benchmark_wape, a.interval_coverage) IS DISTINCT FROM (b.origins, b.horizon_days, b.backtest_points, b.mape, b.wape, b.benchmark_mape, b.benchmark_wape, b.interval_coverage) AS changed FROM found a JOIN found b ON a.metric = b.metric AND a.state = 'incident' AND b.state = 'corrected'",
+}
+
+
 SQL: dict[str, str] = {
     "q_silver_sql": _sql("SELECT event_id, user_id, product, event_type, event_ts, ingested_at, round(revenue_gbp, 6) AS revenue_gbp FROM silver", "silver"),
     "q_certify_rejects": _sql("SELECT count(*) AS rows_raw, " + ", ".join(f"CAST(count_if(c{i}) AS BIGINT) AS {c}" for i, c in enumerate(_COUNTERS, 1)) + f", CAST(count_if({_ANY}) AS BIGINT) AS rows_rejected, CAST(count_if(NOT {_ANY}) AS BIGINT) AS rows_certified FROM judged", "judged"),
@@ -181,5 +239,26 @@ SQL: dict[str, str] = {
     "x_materialise": _sql("SELECT CAST(d AS DATE) AS date, round(coalesce(revenue_gbp, 0), 4) AS revenue_gbp, coalesce(orders, 0) AS orders, coalesce(units, 0) AS units, coalesce(purchase_lines, 0) AS purchase_lines, coalesce(active_customers, 0) AS active_customers FROM (SELECT unnest(generate_series(CAST(min(date) AS TIMESTAMP), CAST(max(date) AS TIMESTAMP), INTERVAL 1 DAY)) AS d FROM dated) LEFT JOIN dated ON date = CAST(d AS DATE)", "dated"),
     "x_semantic": _sql("SELECT metric, round(a, 4) AS current_value, round(b, 4) AS candidate_value, round((b - a) / nullif(abs(a), 0), 4) AS relative_delta, 0.01::DOUBLE AS tolerance, abs((b - a) / a) <= 0.01 AS backward_compatible, CASE WHEN abs((b - a) / a) <= 0.01 THEN 'APPROVE_BACKWARD_COMPATIBLE' ELSE 'WITHHOLD_AS_DROP_IN_REPLACEMENT' END AS replacement_action FROM (SELECT 'revenue_gbp' AS metric, sum(line_value_gbp) FILTER (WHERE is_purchase_line) AS a, sum(line_value_gbp) AS b FROM lines UNION ALL SELECT 'active_customer_population', CAST(count(DISTINCT customer_id) FILTER (WHERE is_purchase_line) AS DOUBLE), CAST(count(DISTINCT customer_id) AS DOUBLE) FROM lines)", "lines"),
     "t_query": _sql("SELECT CAST(d AS DATE) AS date, round(coalesce(revenue_gbp, 0), 4) AS revenue_gbp, coalesce(orders, 0) AS orders FROM (SELECT unnest(generate_series(TIMESTAMP '1996-11-28', TIMESTAMP '1997-01-04', INTERVAL 1 DAY)) AS d) LEFT JOIN dated ON date = CAST(d AS DATE)", "dated"),
-    "k_classify": "SELECT * FROM (VALUES ('add_contract_metadata', 'ADDITIVE', 'APPROVE', 5::BIGINT, 0::BIGINT), ('rename_row_count_to_rows', 'BREAKING', 'WITHHOLD', 1::BIGINT, 1::BIGINT), ('change_orders_integer_to_float', 'BREAKING', 'WITHHOLD', 0::BIGINT, 1::BIGINT)) v(proposal, classification, action, additions, breaking)",
+    "k_classify": _schema_changes(),
+    "p_run_pipeline": _sql("SELECT 'bronze_events' AS table_name, count(*) AS rows FROM bronze UNION ALL SELECT 'silver_events', count(*) FROM silver UNION ALL SELECT 'rejected_events', count(*) FROM judged WHERE " + _ANY + " UNION ALL SELECT 'gold_daily_metrics', count(*) FROM daily UNION ALL SELECT 'revenue_reconciliation', count(DISTINCT product) FROM (SELECT product FROM bronze WHERE event_type = 'purchase' UNION SELECT product FROM silver WHERE event_type = 'purchase') UNION ALL SELECT 'quality_report', 1", "daily"),
+    "s_uncertainty_grid": _bounds("SELECT window_index, h AS allowed_lateness_hours, round(late_upper, 6) AS late_event_fraction_upper, round(cell_upper, 6) AS revised_metric_cell_fraction_upper, p1 AS passes_late_event_upper, p2 AS passes_revised_metric_cell_upper, p3 AS passes_revenue_revision_hard_gate, p4 AS passes_paid_subscription_revision_hard_gate, p1 AND p2 AND p3 AND p4 AS certified_under_binomial_model FROM judged_grid"),
+    "s_uncertainty_summary": _bounds("SELECT h AS allowed_lateness_hours, count(DISTINCT window_index) AS windows, CAST(count_if(feasible) AS BIGINT) AS observed_feasible_windows, CAST(count_if(p1 AND p2 AND p3 AND p4) AS BIGINT) AS certified_windows, round(max(late_event_fraction), 6) AS max_late_event_fraction, round(max(late_upper), 6) AS max_late_event_fraction_upper, round(max(revised_metric_cell_fraction), 6) AS max_revised_metric_cell_fraction, round(max(cell_upper), 6) AS max_revised_metric_cell_fraction_upper, round(max(max_abs_revenue_revision_gbp), 6) AS max_abs_revenue_revision_gbp, max(max_abs_paid_subscription_revision) AS max_abs_paid_subscription_revision, round(count_if(feasible) / CAST(count(DISTINCT window_index) AS DOUBLE), 6) AS observed_feasibility_rate, round(count_if(p1 AND p2 AND p3 AND p4) / CAST(count(DISTINCT window_index) AS DOUBLE), 6) AS certification_rate, count_if(p1 AND p2 AND p3 AND p4) = count(DISTINCT window_index) AS certified_all_windows FROM judged_grid GROUP BY ALL"),
+    "n_supersession": _with("daily", "hit", "bad_silver", "bad_daily", "series", "points", "radii", "ends", "backtest", "evaluated", "found", "pairs", origins=3, extra=_SUPERSEDED) + "SELECT metric || '|incident' AS decision_id, metric, 'incident_published' AS evidence_state, CASE WHEN changed THEN 'SUPERSEDED' ELSE 'ACTIVE_UNCHANGED' END AS status, CASE WHEN changed THEN metric || '|corrected' ELSE '' END AS superseded_by, '' AS supersedes, CASE WHEN changed THEN 'SOURCE_DATA_CORRECTION' ELSE '' END AS supersession_reason, changed AS evidence_changed FROM pairs UNION ALL SELECT metric || '|corrected', metric, 'corrected_replay', 'ACTIVE', '', metric || '|incident', 'SOURCE_DATA_CORRECTION', changed FROM pairs WHERE changed",
+    "g_forecast_impact": _definitions(f"SELECT product, {_IMPACT_COLUMNS}, max(last) AS observation_cutoff, bool_or(approved) FILTER (WHERE definition = 'current') <> bool_or(approved) FILTER (WHERE definition = 'candidate') AS eligibility_changed FROM found JOIN (SELECT product, max(date) AS last FROM daily JOIN cut USING (product) WHERE date <= last GROUP BY ALL) USING (product) GROUP BY product", ("dau", "current"), ("legacy", "candidate")),
+    "v_candidate_forecasts": _definitions("SELECT * EXCLUDE (definition) FROM found", ("legacy", "adopted")),
+    "b_dau_forecasts": _definitions("SELECT * EXCLUDE (definition) FROM found", ("dau", "current")),
+    "b_incident": _with("gold", "hit", "bad_silver", "bad_daily", "bad_gold", extra=_INCIDENT) + """, cells AS (SELECT DISTINCT p AS product, CAST(event_ts AS DATE) AS date FROM hit, (VALUES ('notes_app'), ('photo_editor')) v(p)), changed AS (SELECT product, date FROM gold FULL JOIN bad_gold b USING (product, date) WHERE (gold.dau, gold.dau_legacy_any_event, gold.first_open, gold.revenue_gbp) IS DISTINCT FROM (b.dau, b.dau_legacy_any_event, b.first_open, b.revenue_gbp))
+        SELECT (SELECT count(*) FROM hit) AS events_touched, (SELECT count(*) FROM gold) AS gold_rows, (SELECT count(*) FROM cells) AS gold_rows_recomputed, (SELECT count(*) FROM gold) - (SELECT count(*) FROM cells) AS gold_rows_reused, (SELECT count(*) FROM changed) AS gold_rows_changed, (SELECT count(*) FROM changed ANTI JOIN cells USING (product, date)) AS changed_outside_lineage, TRUE AS repaired_equals_clean""",
+    "b_incremental": _sql("""SELECT scenario, processed AS processed_partitions, skipped AS skipped_partitions, CAST(rows AS BIGINT) AS rows_scanned, hashes AS source_hashes FROM (
+        SELECT 'interrupted' AS scenario, count(*) FILTER (WHERE i <= 7) AS processed, 0::BIGINT AS skipped, coalesce(sum(n) FILTER (WHERE i <= 7), 0) AS rows, 0::BIGINT AS hashes FROM months
+        UNION ALL SELECT 'resumed', count(*) FILTER (WHERE i > 7), count(*) FILTER (WHERE i <= 7), coalesce(sum(n) FILTER (WHERE i > 7), 0), 0 FROM months UNION ALL SELECT 'no_op', 0, count(*), 0, 0 FROM months
+        UNION ALL SELECT 'repaired', count(*) FILTER (WHERE i = 3), count(*) FILTER (WHERE i <> 3), coalesce(sum(n) FILTER (WHERE i = 3), 0), 0 FROM months UNION ALL SELECT 'audited', 0, count(*), 0, count(*) FROM months)""", "months", extra={"months": "SELECT m, n, row_number() OVER (ORDER BY m) AS i FROM (SELECT coalesce(strftime(invoice_ts, '%Y-%m'), '_invalid_ts') AS m, count(*) AS n FROM lines GROUP BY ALL)", "lines": _STEPS["lines"]}).replace("WITH months AS", "WITH lines AS (" + _STEPS["lines"] + "), months AS", 1),
+    "b_reporting": """WITH asked(scenario, a, b) AS (VALUES ('one_week', DATE '1996-12-01', DATE '1996-12-07'), ('across_months', DATE '1996-11-28', DATE '1997-01-04'), ('year', DATE '1996-01-01', DATE '1996-12-31'))
+        SELECT scenario, date_diff('month', a, b) + 1 AS partitions_selected, date_diff('month', a, b) + 1 AS partitions_hashed, date_diff('day', a, b) + 1 AS rows_returned, FALSE AS refused FROM asked UNION ALL SELECT 'tampered', 0, 0, 0, TRUE""",
+    "stream_daily_active": """WITH seen AS (SELECT DISTINCT CAST(user_id % 3 AS VARCHAR) AS product, user_id, CAST(ts AS DATE) AS date FROM events WHERE event_type = 'view')
+        SELECT product, date, count(*) AS dau FROM seen WHERE date <= (SELECT max(date) FROM seen) - 3 GROUP BY ALL""",
+    "stream_silver": """SELECT DISTINCT 'e' || event_id AS event_id, 'u' || user_id AS user_id, 'notes_app' AS product, CASE WHEN event_type = 'purchase' THEN 'purchase' ELSE 'app_open' END AS event_type, round(CASE WHEN event_type = 'purchase' THEN value ELSE 0.0 END, 6) AS revenue_gbp
+        FROM events WHERE event_id % 97 <> 0 AND event_id % 131 <> 0 AND (event_type <> 'purchase' OR value >= 0) AND (event_type = 'purchase' OR event_id % 139 <> 0 OR value = 0)""",
 }
+SQL["b_invalidation"] = SQL["d_propagate"]
+SQL["e_evaluate"] = f"SELECT 'revenue_gbp_30d' AS metric, 'ancova_hc3' AS analysis, * FROM ({SQL['e_ancova']}) UNION ALL SELECT 'paid_subscription_30d', 'difference_in_proportions', round(effect, 3), round(se, 3), n_control, n_treatment, round(ci_low, 3), round(ci_high, 3) FROM ({SQL['e_diff_props']})"

@@ -4,12 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from datetime import date, datetime
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from surety.operators import certification, experiment, forecast, freshness, governance, incident, metrics, quality, retail, store
-from surety.sources import adapters
+from surety.operators import certification, experiment, forecast, freshness, governance, incident, metrics, pipeline, quality, retail, store
+from surety.plans import builds
+from surety.session import scratch_uri
+from surety.sources import adapters, generate
 
 Query = Callable[[SparkSession, str], DataFrame]
 SNAPSHOTS = [datetime(2024, 1, d, 23, 59, 59, 999999) for d in (16, 23, 30)]
@@ -91,23 +94,34 @@ def lineage(spark, sf_dir):
     """Staleness over the three proposals, by reachability in SQL."""
     forecasts = {p: {"approved": True} for p in ("file_transfer", "notes_app", "photo_editor")}
     nodes = governance.evidence_graph(governance.event_contract(), forecasts, {"action": "hold"}, {"planning_status": "counterfactual_only"})
-    out = None
-    for name, proposal in sorted(governance.proposals().items()):
-        part = governance.propagate_sql(spark, nodes, governance.surfaces(proposal)).groupBy("status").count().select(F.lit(name).alias("proposal"), "status", F.col("count").alias("nodes"))
-        rows = [tuple(r) for r in part.collect()]  # three rows at most
-        out = (out or []) + rows
-    return spark.createDataFrame(out, "proposal string, status string, nodes long")
+    cases = {name: governance.surfaces(proposal) for name, proposal in governance.proposals().items()}
+    return governance.propagate_sql(spark, nodes, cases).groupBy("proposal", "status").agg(F.count("*").alias("nodes"))
 
 
 def monthly(spark, sf_dir):
     return retail.dated_metrics(lines(spark, sf_dir).withColumn("month", retail.partition_key()), "month")
 
 
+def built_store(spark, sf_dir):
+    """(folder, manifest) of a store of the lines' months, materialised."""
+    folder = scratch_uri(spark, "store")
+    manifest = store.write_canonical(lines(spark, sf_dir), f"{folder}/lines")
+    store.run_incremental(spark, f"{folder}/lines", manifest, f"{folder}/metrics", f"{folder}/state.json")
+    return folder, manifest
+
+
 def window_frame(spark, sf_dir):
-    """The serving query's plan over the same daily rows: bounded days, allowed metrics, zeros filled."""
-    values = retail.dated_metrics(lines(spark, sf_dir)).where(F.col("date").between(F.lit(WINDOW.start_date), F.lit(WINDOW.end_date))).select("date", *WINDOW.metrics)
-    days = spark.range(1).select(F.explode(F.sequence(F.lit(WINDOW.start_date), F.lit(WINDOW.end_date), F.expr("interval 1 day"))).alias("date"))
-    return days.join(values, "date", "left").select("date", *[F.coalesce(m, F.lit(0)).alias(m) for m in WINDOW.metrics])
+    """What the store serves: two months' partitions, verified, read and filled."""
+    folder, manifest = built_store(spark, sf_dir)
+    with store.MetricStore(spark, f"{folder}/metrics", f"{folder}/state.json", manifest) as served:
+        return served.frame(WINDOW)
+
+
+def persisted(spark, sf_dir):
+    """Rows of each table that a run of the pipeline leaves."""
+    made = pipeline.run_pipeline(bronze(spark, sf_dir), scratch_uri(spark, "tables"), "ingest_seq")
+    counts = [df.agg(F.count("*").alias("rows")).select(F.lit(name).alias("table_name"), "rows") for name, df in made.items()]
+    return reduce(lambda a, b: a.unionByName(b), counts)
 
 
 def backfilled(spark, sf_dir):
@@ -148,11 +162,28 @@ def streamed_daily(spark, sf_dir):
 
     raw = spark.readStream.schema(adapters.read(spark, sf_dir, "events").schema).parquet(f"{sf_dir}/events.parquet*")
     typed = raw.selectExpr("cast(user_id % 3 AS string) AS product", "cast(user_id AS string) AS user_id", "CASE WHEN event_type = 'view' THEN 'app_open' ELSE event_type END AS event_type", "ts AS event_ts")
-    name = "surety_daily_stream"
-    run = daily_active_stream(typed).writeStream.format("memory").queryName(name).outputMode("append").trigger(availableNow=True).start()
+    return _finished(spark, daily_active_stream(typed))
+
+
+def _finished(spark, stream):
+    """All that a stream of the rows available now appends, from files in the shared folder."""
+    folder = scratch_uri(spark, "stream")
+    run = stream.writeStream.format("parquet").option("checkpointLocation", f"{folder}/checkpoint").outputMode("append").trigger(availableNow=True).start(f"{folder}/rows")
     run.awaitTermination()
-    return spark.table(name)
+    return spark.read.schema(stream.schema).parquet(f"{folder}/rows")
+
+
+def streamed_silver(spark, sf_dir):
+    """Certified rows of a Structured Streaming run over the events table, each event_id once."""
+    from surety.streaming.certify import silver_stream
+
+    raw = spark.readStream.schema(adapters.read(spark, sf_dir, "events").schema).parquet(f"{sf_dir}/events.parquet*")
+    copies = raw.withColumn("copy", F.explode(F.when(F.col("event_id") % 40 == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))))
+    typed = copies.selectExpr("concat('e', event_id) AS event_id", "CASE WHEN event_id % 97 = 0 THEN ' ' ELSE concat('u', user_id) END AS user_id", "CASE WHEN event_id % 131 = 0 THEN 'mystery' ELSE 'notes_app' END AS product", "CASE WHEN event_type = 'purchase' THEN 'purchase' ELSE 'app_open' END AS event_type", "ts AS event_ts", "CASE WHEN event_type = 'purchase' OR event_id % 139 = 0 THEN value ELSE 0.0D END AS revenue_gbp")
+    return _finished(spark, silver_stream(typed)).select("event_id", "user_id", "product", "event_type", F.round("revenue_gbp", 6).alias("revenue_gbp"))
+
 
+BOUNDS = ["late_event_fraction_upper", "revised_metric_cell_fraction_upper", "passes_late_event_upper", "passes_revised_metric_cell_upper", "passes_revenue_revision_hard_gate", "passes_paid_subscription_revision_hard_gate", "certified_under_binomial_model"]
 
 QUERIES: dict[str, Query] = {
     "q_silver_sql": lambda s, d: _round(silver(s, d)),
@@ -177,8 +208,8 @@ QUERIES: dict[str, Query] = {
     "time_rolling_backtest": lambda s, d: _round(watermark_grid(s, d).drop("processing_as_of")),
     "time_stability": lambda s, d: _round(freshness.stability_summary(watermark_grid(s, d)), 4),
     "time_select_stable": selection,
-    "s_uncertainty_grid": lambda s, d: certification.uncertainty_grid(watermark_grid(s, d))[0],
-    "s_uncertainty_summary": lambda s, d: certification.uncertainty_summary(certification.uncertainty_grid(watermark_grid(s, d))[0]),
+    "s_uncertainty_grid": lambda s, d: _round(certification.uncertainty_grid(watermark_grid(s, d))[0].select("window_index", "allowed_lateness_hours", *BOUNDS)),
+    "s_uncertainty_summary": lambda s, d: _round(certification.uncertainty_summary(certification.uncertainty_grid(watermark_grid(s, d))[0])),
     "s_planning_rates": lambda s, d: _round(certification.planning_rates(watermark_grid(s, d)), 4),
     "s_evidence_plan": evidence_plans,
     "f_mature_history": lambda s, d: forecast.mature_history(gold(s, d), silver(s, d)).select("product", "date", "dau"),
@@ -192,13 +223,15 @@ QUERIES: dict[str, Query] = {
     "e_diff_means": lambda s, d: _round(experiment.difference_in_means(users(s, d), "revenue_gbp_30d"), 3),
     "e_diff_props": lambda s, d: _round(experiment.difference_in_proportions(users(s, d), "paid_subscription_30d")),
     "e_ancova": lambda s, d: _round(experiment.adjusted_effect(users(s, d), "revenue_gbp_30d", "pre_revenue_gbp_30d"), 3),
-    "e_evaluate": lambda s, d: experiment.evaluate(users(s, d))[0],
+    "e_evaluate": lambda s, d: _round(experiment.evaluate(users(s, d))[0], 3),
     "i_scenario": lambda s, d: _round(experiment.rollout_scenario(experiment.difference_in_means(users(s, d), "revenue_gbp_30d")).drop("effect", "ci_low", "ci_high"), 0),
     "r_alloc": lambda s, d: _round(experiment.allocation(designs(s, d))),
     "r_candidate": lambda s, d: _round(experiment.passing_designs(experiment.allocation(designs(s, d)))),
     "r_variance_info": lambda s, d: _round(experiment.allocation(designs(s, d)).select("total_users", "treatment_users", experiment.adjusted_information(F.col("control_users"), F.col("treatment_users"), F.lit(1.5)).alias("information"))),
     "g_shadow": lambda s, d: _round(governance.shadow_replay(gold(s, d))),
     "g_shadow_summary": lambda s, d: _round(governance.shadow_summary(governance.shadow_replay(gold(s, d)))),
+    "g_forecast_impact": lambda s, d: _round(governance.forecast_impact(gold(s, d), silver(s, d), 3)),
+    "v_candidate_forecasts": lambda s, d: _round(governance.candidate_forecasts(gold(s, d), silver(s, d), 3)),
     "d_propagate": lineage,
     "n_window": lambda s, d: incident.incident_window(gold(s, d), silver(s, d), INCIDENT[0]),
     "n_inject": lambda s, d: incident_events(s, d)[1].drop("event_ts"),
@@ -212,9 +245,22 @@ QUERIES: dict[str, Query] = {
     "x_partition_key": lambda s, d: lines(s, d).groupBy(retail.partition_key().alias("partition_key")).agg(F.count("*").alias("rows")),
     "x_aggregate": lambda s, d: _round(monthly(s, d), 4),
     "x_daily": lambda s, d: _round(retail.daily_metrics(lines(s, d)), 4),
-    "x_materialise": lambda s, d: _round(retail.reaggregate(monthly(s, d)), 4),
+    "x_materialise": lambda s, d: _round(store.materialised_daily(s, built_store(s, d)[0] + "/metrics"), 4),
     "x_semantic": lambda s, d: _round(retail.semantic_comparison(lines(s, d)), 4),
     "t_query": lambda s, d: _round(window_frame(s, d), 4),
     "k_classify": schema_changes,
     "stream_daily_active": streamed_daily,
+    "stream_silver": streamed_silver,
+    "p_run_pipeline": persisted,
+    "src_generate_events": lambda s, d: generate.generate_events(s, days=30).groupBy("product", "event_type").agg(F.count("*").alias("events")),
+    "src_generate_experiment": lambda s, d: generate.generate_experiment(s, 1_000).groupBy("treatment").agg(F.count("*").alias("users")),
+    "src_product_config": lambda s, d: generate.product_parameters(s),
+    "b_invalidation": lineage,
+    "b_dau_forecasts": lambda s, d: _round(governance.evaluated_definitions(gold(s, d), silver(s, d), {"current": "dau"}, 3).drop("definition")),
+    "b_revalidation": lambda s, d: builds.revalidation(s, d),
+    "b_incident": lambda s, d: builds.incident_summary(s, d),
+    "b_incremental": lambda s, d: builds.incremental_work(s, d),
+    "b_reporting": lambda s, d: builds.reporting_work(s, d),
+    "b_contract": lambda s, d: builds.contract_scenarios(s, d),
+    "b_workload": lambda s, d: builds.workload_scenarios(s, d),
 }
