@@ -63,8 +63,15 @@ def watermark_grid(spark, sf_dir):
     return freshness.watermark_backtest(silver(spark, sf_dir), SNAPSHOTS)
 
 
+def kept_silver(spark, sf_dir):
+    """Silver written once, for plans that start from it several times."""
+    path, df = scratch_uri(spark, "silver"), silver(spark, sf_dir)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def incident_events(spark, sf_dir):
-    certified = silver(spark, sf_dir)
+    certified = kept_silver(spark, sf_dir)
     return incident.inject_routing_error(certified, *INCIDENT, incident.incident_window(metrics.daily_metrics(certified), certified, INCIDENT[0]))
 
 
